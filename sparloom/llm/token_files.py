@@ -30,6 +30,7 @@ from sparloom.llm.common import free_name, materialize, slices, text_bytes
 BLOCK = 128
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4sIQQ")  # magic, documents, ids, blocks
+AT_ONCE = 512  # blocks that are packed together, to bound what the bits take
 FIXED = 6  # of a block: minimum (4), width (1), exceptions (1)
 
 
@@ -56,11 +57,12 @@ def encode_ids(ids: np.ndarray, percentile: float = 90.0) -> tuple[np.ndarray, n
     out[at + 4] = width
     out[at + 5] = extra
     for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
-        if w:
-            bits = (delta[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-            packed = np.packbits(bits.astype(np.uint8).reshape(len(rows), BLOCK * w), axis=1, bitorder="little")
-            out[at[rows][:, None] + FIXED + np.arange(BLOCK // 8 * w)] = packed
+        every = np.flatnonzero(width == w) if w else ()
+        size = 1 if w <= 8 else 2 if w <= 16 else 4
+        for i in range(0, len(every), AT_ONCE):
+            rows = every[i : i + AT_ONCE]
+            bits = np.unpackbits(delta[rows].astype(f"<u{size}").view(np.uint8).reshape(-1, size), axis=1, bitorder="little")[:, :w]
+            out[at[rows][:, None] + FIXED + np.arange(BLOCK // 8 * w)] = np.packbits(bits.reshape(len(rows), BLOCK * w), axis=1, bitorder="little")
     row, pos = np.nonzero(odd)
     if len(row):
         nth = np.arange(len(row)) - np.repeat(np.cumsum(extra) - extra, extra)
@@ -79,13 +81,13 @@ def decode_ids(starts: np.ndarray, payload: np.ndarray, n: int) -> np.ndarray:
     width, extra = payload[at + 4].astype(np.int64), payload[at + 5].astype(np.int64)
     out = np.zeros((len(at), BLOCK), np.uint32)
     for w in np.unique(width):
-        if w:
-            rows = np.flatnonzero(width == w)
-            bits = np.unpackbits(payload[at[rows][:, None] + FIXED + np.arange(BLOCK // 8 * w)], axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-            value = np.zeros((len(rows), BLOCK), np.uint32)
-            for k in range(w):
-                value |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
-            out[rows] = value
+        every = np.flatnonzero(width == w) if w else ()
+        size = 1 if w <= 8 else 2 if w <= 16 else 4
+        for i in range(0, len(every), AT_ONCE):
+            rows = every[i : i + AT_ONCE]
+            bits = np.zeros((len(rows) * BLOCK, 8 * size), np.uint8)
+            bits[:, :w] = np.unpackbits(payload[at[rows][:, None] + FIXED + np.arange(BLOCK // 8 * w)], axis=1, bitorder="little").reshape(-1, w)
+            out[rows] = np.packbits(bits, axis=1, bitorder="little").view(f"<u{size}").reshape(len(rows), BLOCK)
     row = np.repeat(np.arange(len(at)), extra)
     if len(row):
         nth = np.arange(len(row)) - np.repeat(np.cumsum(extra) - extra, extra)
@@ -133,27 +135,41 @@ class TokenFile:
 class ChunkEncoder(dict):
     """Ids of whole texts as little-endian bytes, from a tokenizer whose pre-tokens never cross ASCII white space.
 
-    Maps a chunk between white space to its ids; a chunk is encoded when it is first seen. `memo` bounds the kept chunks;
-    then they start anew. The tokenizer lower-cases and splits letters from stops, so a chunk of ASCII letters with at
-    most one final stop or comma is looked up as its lower-case letters and that sign; letters alone are one pre-token
-    for the BPE model.
+    Maps a chunk between white space to its ids; a chunk is encoded when it is first seen. `memo` bounds the kept chunks:
+    when it is reached, those not met since the last time are dropped. The tokenizer composes, lower-cases and splits letters from stops, so a chunk of Latin-1 letters
+    with at most one final stop or comma is looked up as its lower-case letters and that sign; letters alone are one
+    pre-token, whose bytes the BPE model takes as printable characters.
     """
 
-    def __init__(self, path: str, memo: int = 500_000) -> None:
+    def __init__(self, path: str, memo: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.memo = Tokenizer.from_file(path), memo
+        self.tokenizer, self.memo, self.older = Tokenizer.from_file(path), memo, {}
         self.model = self.tokenizer.model
+        # byte-level BPE: printable Latin-1 stands for itself, the other bytes are dealt out in order from U+0100 on
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [x for x in range(256) if x not in plain]
+        self.printable = {x: 256 + i for i, x in enumerate(rest)}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= self.memo:
+        if 2 * len(self) >= self.memo:
+            self.older = dict(self)
             self.clear()
-        core = chunk[:-1] if chunk[-1:] in (b".", b",") else chunk
-        if core.isalpha():  # for bytes: ASCII letters only
-            ids = self[core.lower()] + self[chunk[-1:]] if len(core) < len(chunk) else self[core.lower()] if not core.islower() else struct.pack(f"<{len(got := self.model.tokenize(core.decode()))}I", *[t.id for t in got])
+        if (ids := self.older.get(chunk)) is not None:
+            self[chunk] = ids
+            return ids
+        word = chunk.decode()
+        core = word[:-1] if word[-1:] in (".", ",") else word
+        if core.isalpha() and ord(max(core)) < 256:
+            low = core.lower()
+            if low == word:
+                got = self.model.tokenize(word if word.isascii() else chunk.decode("latin-1").translate(self.printable))
+                ids = struct.pack(f"<{len(got)}I", *[t.id for t in got])
+            else:
+                ids = self[low.encode()] + (self[chunk[-1:]] if len(core) < len(word) else b"")
         else:
-            ids = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         self[chunk] = ids
         return ids
 
