@@ -61,6 +61,9 @@ def encode_ids(ids: np.ndarray, percentile: float = 90.0) -> tuple[np.ndarray, n
         size = 1 if w <= 8 else 2 if w <= 16 else 4
         for i in range(0, len(every), AT_ONCE):
             rows = every[i : i + AT_ONCE]
+            if w == 8 * size:
+                out[at[rows][:, None] + FIXED + np.arange(BLOCK * size)] = delta[rows].astype(f"<u{size}").view(np.uint8)
+                continue
             bits = np.unpackbits(delta[rows].astype(f"<u{size}").view(np.uint8).reshape(-1, size), axis=1, bitorder="little")[:, :w]
             out[at[rows][:, None] + FIXED + np.arange(BLOCK // 8 * w)] = np.packbits(bits.reshape(len(rows), BLOCK * w), axis=1, bitorder="little")
     row, pos = np.nonzero(odd)
@@ -85,8 +88,12 @@ def decode_ids(starts: np.ndarray, payload: np.ndarray, n: int) -> np.ndarray:
         size = 1 if w <= 8 else 2 if w <= 16 else 4
         for i in range(0, len(every), AT_ONCE):
             rows = every[i : i + AT_ONCE]
+            packed = payload[at[rows][:, None] + FIXED + np.arange(BLOCK // 8 * w)]
+            if w == 8 * size:
+                out[rows] = packed.view(f"<u{size}")
+                continue
             bits = np.zeros((len(rows) * BLOCK, 8 * size), np.uint8)
-            bits[:, :w] = np.unpackbits(payload[at[rows][:, None] + FIXED + np.arange(BLOCK // 8 * w)], axis=1, bitorder="little").reshape(-1, w)
+            bits[:, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(-1, w)
             out[rows] = np.packbits(bits, axis=1, bitorder="little").view(f"<u{size}").reshape(len(rows), BLOCK)
     row = np.repeat(np.arange(len(at)), extra)
     if len(row):
@@ -141,38 +148,44 @@ class ChunkEncoder(dict):
     pre-token, whose bytes the BPE model takes as printable characters.
     """
 
-    def __init__(self, path: str, memo: int = 600_000) -> None:
+    def __init__(self, path: str, memo: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.memo, self.older = Tokenizer.from_file(path), memo, {}
         self.model = self.tokenizer.model
+        self.packers = [struct.Struct(f"<{n}I").pack for n in range(32)]
         # byte-level BPE: printable Latin-1 stands for itself, the other bytes are dealt out in order from U+0100 on
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [x for x in range(256) if x not in plain]
         self.printable = {x: 256 + i for i, x in enumerate(rest)}
 
     def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            if chunk.isalpha() and chunk.islower():  # for bytes: ASCII letters only
+                ids = self._pack([t.id for t in self.model.tokenize(chunk.decode())])
+            else:
+                ids = self._encode_other(chunk)
         if 2 * len(self) >= self.memo:
             self.older = dict(self)
             self.clear()
-        if (ids := self.older.get(chunk)) is not None:
-            self[chunk] = ids
-            return ids
-        word = chunk.decode()
-        core = word[:-1] if word[-1:] in (".", ",") else word
-        if core.isalpha() and ord(max(core)) < 256:
-            low = core.lower()
-            if low == word:
-                got = self.model.tokenize(word if word.isascii() else chunk.decode("latin-1").translate(self.printable))
-                ids = struct.pack(f"<{len(got)}I", *[t.id for t in got])
-            else:
-                ids = self[low.encode()] + (self[chunk[-1:]] if len(core) < len(word) else b"")
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         self[chunk] = ids
         return ids
 
+    def _pack(self, ids: list[int]) -> bytes:
+        return self.packers[len(ids)](*ids) if len(ids) < len(self.packers) else struct.pack(f"<{len(ids)}I", *ids)
+
+    def _encode_other(self, chunk: bytes) -> bytes:
+        word = chunk.decode()
+        core = word[:-1] if word[-1:] in (".", ",") else word
+        if not core.isalpha() or ord(max(core)) > 255:
+            return self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        low = core.lower()
+        if low != word:
+            return self[low.encode()] + (self[chunk[-1:]] if len(core) < len(word) else b"")
+        return self._pack([t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(self.printable))])
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         get = self.__getitem__
         return [b"".join(map(get, t.split())) for t in texts]
