@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparloom.llm.common import table
 from sparloom.llm.decontaminate import benchmark_matches
+from sparloom.llm.mixing import mixing_plan
 from sparloom.llm.simhash import near_duplicates
 from sparloom.llm.token_files import read_token_files, write_token_files
 
@@ -24,6 +25,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing_plan(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -43,8 +49,33 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op4_mixing": op4_mixing,
     "op6_decontamination": op6_decontamination,
     "op8_token_files": op8_token_files,
 }
 
-SQL: dict[str, str] = {}
+#: Sources of r = 3 * size / weight below the level are full; the level is that of the first source that is not.
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS draw
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+  FROM d GROUP BY source),
+f AS (
+  SELECT *, 3.0::DOUBLE * source_size / weight AS r, CAST(sum(source_size) OVER () AS DOUBLE) AS total,
+         CAST(coalesce(sum(source_size) OVER w, 0) AS DOUBLE) AS held, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS free
+  FROM s WINDOW w AS (ORDER BY 3.0::DOUBLE * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT coalesce(arg_min((total - 3.0::DOUBLE * held) / free, r) FILTER (WHERE (total - 3.0::DOUBLE * held) / free < r), 0.0::DOUBLE) AS share FROM f),
+t AS (
+  SELECT source, source_size, CASE WHEN weight * share >= 3.0::DOUBLE * source_size THEN 3.0::DOUBLE * source_size ELSE weight * share END AS target,
+         CASE WHEN source_size = 0 THEN 0.0::DOUBLE WHEN weight * share >= 3.0::DOUBLE * source_size THEN 3.0::DOUBLE ELSE weight * share / source_size END AS rate
+  FROM s, l)
+SELECT d.doc_id, d.size, t.source_size, t.target,
+       CAST((floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+
+SQL: dict[str, str] = {"op4_mixing": OP4_SQL}
