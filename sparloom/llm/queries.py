@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparloom.llm.common import table
 from sparloom.llm.decontaminate import benchmark_matches
+from sparloom.llm.kd_shards import kd_shards
 from sparloom.llm.mixing import mixing_plan
 from sparloom.llm.simhash import near_duplicates
 from sparloom.llm.token_files import read_token_files, write_token_files
@@ -47,11 +48,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kd_shards(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op6_decontamination": op6_decontamination,
     "op8_token_files": op8_token_files,
+    "op10_kd_shards": op10_kd_shards,
 }
 
 #: Sources of r = 3 * size / weight below the level are full; the level is that of the first source that is not.
