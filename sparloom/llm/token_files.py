@@ -148,7 +148,7 @@ class ChunkEncoder(dict):
     pre-token, whose bytes the BPE model takes as printable characters.
     """
 
-    def __init__(self, path: str, memo: int = 400_000) -> None:
+    def __init__(self, path: str, memo: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
