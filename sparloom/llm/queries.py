@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparloom.llm.common import table
 from sparloom.llm.decontaminate import benchmark_matches
 from sparloom.llm.kd_shards import kd_shards
+from sparloom.llm.media import media_columns
 from sparloom.llm.mixing import mixing_plan
 from sparloom.llm.simhash import near_duplicates
 from sparloom.llm.token_files import read_token_files, write_token_files
@@ -21,6 +22,22 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media_columns(table(spark, sf_dir, "documents"))
+    size = F.octet_length("payload")
+    prints = F.concat(F.to_binary(F.concat(F.lit("t"), F.array_join("times", ",")), F.lit("utf-8")), F.to_binary(F.concat(F.lit("p"), F.array_join("prints", ",")), F.lit("utf-8")))
+    return found.select(
+        "doc_id",
+        F.col("n_bytes"),
+        size.cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).cast("long").alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.size("prints"), F.sha2(prints, 256)).alias("feature"),
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -54,6 +71,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_media": op2_media,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op6_decontamination": op6_decontamination,

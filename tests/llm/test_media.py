@@ -1,0 +1,57 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from sparloom.llm import media as M
+from sparloom.llm import queries as Q
+
+
+def slow_pairs(payload):
+    x = np.frombuffer(payload, np.uint8).astype(np.float32) - np.float32(127.5)
+    n = 1 + max(0, -(-(len(x) - M.FRAME) // M.HOP))
+    x = np.concatenate([x, np.zeros((n - 1) * M.HOP + M.FRAME - len(x), np.float32)])
+    peaks = []
+    for t in range(n):
+        p = np.abs(np.fft.rfft(x[t * M.HOP : t * M.HOP + M.FRAME] * M._WINDOW)).astype(np.float32)
+        p[:2] = 0
+        tops = [f for f in range(1, len(p) - 1) if p[f] > p[f - 1] and p[f] >= p[f + 1] and p[f] > p.mean()]
+        peaks += [(t, f) for f in sorted(tops, key=lambda f: -p[f])[: M.PEAKS]]
+    return sorted((t, f << 20 | g << 8 | u - t) for t, f in peaks for u, g in peaks if 0 < u - t <= M.AHEAD)
+
+
+def test_pairs_match_brute_force():
+    rng = random.Random(4)
+    for n in (0, 1, 500, 576, 577, 5000):
+        text = bytes(rng.choice(b"abcdefgh  .\n") for _ in range(n))
+        payload = M.payload_of(text)
+        assert len(payload) % 576 == 0 and payload.startswith(text) and set(payload[n:]) <= {255}
+        assert M.from_wav(M.to_wav(payload)) == payload
+        t, p = M.pair_prints(payload)
+        assert list(zip(t.tolist(), p.tolist())) == slow_pairs(payload)
+
+
+def test_runs_of_frames_do_not_matter(monkeypatch):
+    payload = M.payload_of(b"some words and others " * 4000)
+    want = M.pair_prints(payload)
+    monkeypatch.setattr(M, "RUN", 7)
+    got = M.pair_prints(payload)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_query_digests(spark, tmp_path):
+    texts = [None, "", "x", "é" * 288, "é" * 289, "a long one " * 30_000, "x"]
+    docs = spark.createDataFrame([(i, t, "m", 3) for i, t in enumerate(texts)], "doc_id long, text string, media string, n_bytes int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in Q.op2_media(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        p = b + b"\xff" * (-len(b) % 576 if b else 576)
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(b), len(p), hashlib.sha256(p).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(p[-32:]), len(p) + 44, hashlib.sha256(M.to_wav(p)).hexdigest())
+    assert got[0].feature == got[1].feature and got[2].feature == got[6].feature != got[5].feature
+    assert M.media_columns(docs.limit(0)).count() == 0
+    assert M.media_columns(docs).where(F.size("prints") != F.size("times")).count() == 0
