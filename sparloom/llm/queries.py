@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparloom.llm.common import table
@@ -12,6 +12,7 @@ from sparloom.llm.decontaminate import benchmark_matches
 from sparloom.llm.kd_shards import kd_shards
 from sparloom.llm.media import media_columns
 from sparloom.llm.mixing import mixing_plan
+from sparloom.llm.secrets import KINDS, secret_spans
 from sparloom.llm.simhash import near_duplicates
 from sparloom.llm.token_files import read_token_files, write_token_files
 
@@ -61,6 +62,27 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spelled(spans: Column, kinds: tuple[str, ...]) -> Column:
+    """kind:start:end of spans by start, then kind as listed, then end; each once; comma-joined."""
+    rank = lambda k: F.array_position(F.array(*[F.lit(x) for x in kinds]), k)
+    keyed = F.array_sort(F.array_distinct(F.transform(spans, lambda x: F.struct(x["start"].alias("a"), rank(x["kind"]).alias("k"), x["end"].alias("b"), x["kind"].alias("n")))))
+    return F.array_join(F.transform(keyed, lambda x: F.concat_ws(":", x["n"], x["a"], x["b"])), ",")
+
+
+def counted(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[counted(F.col("base"), k).alias(f"n_{k}") for k in KINDS[:3]],
+        F.sha2(spelled(F.col("base"), KINDS), 256).alias("base_sha256"),
+        spelled(F.concat("base", "inner"), KINDS).alias("spans"),
+    )
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -75,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op6_decontamination": op6_decontamination,
+    "op7_secrets": op7_secrets,
     "op8_token_files": op8_token_files,
     "op10_kd_shards": op10_kd_shards,
 }
