@@ -15,6 +15,7 @@ from sparloom.llm.mixing import mixing_plan
 from sparloom.llm.secrets import KINDS, secret_spans
 from sparloom.llm.simhash import near_duplicates
 from sparloom.llm.token_files import read_token_files, write_token_files
+from sparloom.llm.toxicity import held_out, toxicity_scores, train_on
 
 
 def tokenizer_path() -> str:
@@ -23,6 +24,12 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity_scores(docs, train_on(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media_columns(table(spark, sf_dir, "documents"))
     size = F.octet_length("payload")
@@ -93,6 +100,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_media": op2_media,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
