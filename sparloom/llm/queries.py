@@ -12,6 +12,8 @@ from sparloom.llm.decontaminate import benchmark_matches
 from sparloom.llm.kd_shards import kd_shards
 from sparloom.llm.media import media_columns
 from sparloom.llm.mixing import mixing_plan
+from sparloom.llm.pii import KINDS as PII_KINDS
+from sparloom.llm.pii import pii_spans
 from sparloom.llm.secrets import KINDS, secret_spans
 from sparloom.llm.simhash import near_duplicates
 from sparloom.llm.token_files import read_token_files, write_token_files
@@ -56,6 +58,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[counted(F.col("base"), k).alias(f"n_{k}") for k in PII_KINDS[:4]],
+        F.sha2(spelled(F.col("base"), PII_KINDS), 256).alias("base_sha256"),
+        spelled(F.concat("base", "terms"), PII_KINDS).alias("spans"),
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -104,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
+    "op5_pii": op5_pii,
     "op6_decontamination": op6_decontamination,
     "op7_secrets": op7_secrets,
     "op8_token_files": op8_token_files,
