@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparloom.llm.common import table
 from sparloom.llm.decontaminate import benchmark_matches
 from sparloom.llm.kd_shards import kd_shards
+from sparloom.llm.licenses import license_matches
 from sparloom.llm.media import media_columns
 from sparloom.llm.mixing import mixing_plan
 from sparloom.llm.pii import KINDS as PII_KINDS
@@ -106,6 +107,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_matches(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses.name", ",").alias("licenses"), F.round(F.array_max("licenses.containment"), 4).alias("containment"))
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = kd_shards(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -120,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_secrets": op7_secrets,
     "op8_token_files": op8_token_files,
+    "op9_licenses": op9_licenses,
     "op10_kd_shards": op10_kd_shards,
 }
 
