@@ -133,7 +133,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = near_duplicates(docs, id_col, text_col).where("representative").groupBy(F.col("row_key").alias(key)).agg(F.count("*").alias(free_name(docs, "_n")))
     n = kept.columns[1]
     kept = materialize(kept, "kept")
-    rows = docs.withColumn(key, row_key(docs)).join(kept, key)
+    # the kept keys grow with the documents: a merge join at every size, one shuffle of the documents
+    rows = docs.withColumn(key, row_key(docs)).join(kept.hint("merge"), key)
     out = rows.where(F.col(n) == 1)
     if kept.where(F.col(n) > 1).limit(1).count():
         out = out.union(rows.where(F.col(n) > 1).dropDuplicates([key]))
