@@ -191,23 +191,23 @@ class ChunkEncoder(dict):
         return [b"".join(map(get, t.split())) for t in texts]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple[str, int], ChunkEncoder] = {}
 
 
-def chunk_encoder(path: str) -> ChunkEncoder:
+def chunk_encoder(path: str, memo: int) -> ChunkEncoder:
     """One for each path in a Python worker, which Spark uses again for later tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are dealt out by Spark
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    if (path, memo) not in _encoders:
+        _encoders[path, memo] = ChunkEncoder(path, memo)
+    return _encoders[path, memo]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, ids_per_file: int = 1 << 20, percentile: float = 90.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, ids_per_file: int = 1 << 20, percentile: float = 90.0, id_col: str = "doc_id", text_col: str = "text", memo: int = 1_000_000) -> DataFrame:
     """Write the files of all documents in ascending order of id_col; returns the shard table.
 
     Columns: part int, seq int (files are in the order of these two), n_docs long, n_ids long, before long (ids of the part in earlier files), data binary.
     Documents are dealt by ranges of id_col, so that each task holds one run of them; a file closes after the document
-    that fills `ids_per_file`.
+    that fills `ids_per_file`. memo: chunks whose ids a worker keeps (about 200 bytes each).
     """
     tie = free_name(docs, "_tie")
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn(tie, F.xxhash64("text"))
@@ -218,7 +218,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, ids_per_
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        encoder = chunk_encoder(tokenizer)
+        encoder = chunk_encoder(tokenizer, memo)
         docs_, parts, size, before = [], [], 0, 0
 
         def closed() -> pa.RecordBatch:

@@ -39,7 +39,7 @@ from sparloom.llm.common import free_name, per_text
 ORDER, DECAY, LONGEST, SYMBOLS = 3, 0.6, 24, 64
 LETTERS = re.compile(r"[^\W\d_]+")
 START, END = 1, 2
-MEMO = 300_000  # words whose margin a task keeps
+MEMO = 150_000  # words whose margin a task keeps
 
 
 def symbol(c: str) -> int:
