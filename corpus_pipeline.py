@@ -35,7 +35,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row of the mix, in the order of the files: doc_id, start, n_tokens, ids_crc32."""
-    return read_token_files(write_token_files(docs, tokenizer_path()))
+    return read_token_files(write_token_files(docs, tokenizer_path(), memo=400_000))
 
 
 STAGES = [
