@@ -44,7 +44,6 @@ HINTS = {
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 BLOCK = 128  # matches whose places are summed together
 WINDOW = 80
-FEW_TERMS = 50_000  # sought terms that are broadcast
 #: Cuts a string at every sign that is not a letter or digit, on both of its sides.
 BOUNDARY = r"(?<=[^\p{L}\p{N}])|(?=[^\p{L}\p{N}])"
 TERM = r"^(?=.*\p{L})[\p{L}\p{N}]{3,}$"
@@ -110,11 +109,8 @@ def disclosing_terms(rows: DataFrame, mentions: DataFrame, text: str, support: i
     passes = lambda d_t: (content > 0) & (tells(d_t) >= disclosure * content)
     maybe = materialize(pairs.join(d_e, "entity").join(near, "term").where(passes(F.col("d_t"))).select("entity", "term", "d_te", "d_e"), "maybe")
     words = F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"))
-    sought, every = maybe.select("term").distinct(), rows.select(F.explode(words).alias("term"))
-    if sought.count() <= FEW_TERMS:
-        whole = every.join(F.broadcast(sought), "term").groupBy("term").agg(F.count("*").alias("whole"))
-    else:  # counted in each task before the shuffle
-        whole = every.groupBy("term").agg(F.count("*").alias("whole")).join(sought, "term")
+    # counted in each task before the shuffle; what is joined is one row for each term
+    whole = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("whole"))
     return maybe.join(whole, "term").where(passes(F.col("whole"))).select("entity", "term")
 
 
