@@ -1,4 +1,392 @@
-"""Catalogue of queries and their SQL."""
+"""Catalogue of queries over the driver's tables, each with its SQL where SQL can express it."""
+
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparloom.functions import turns as X
+from sparloom.functions.labels import Guardrails, Taxonomy, apply_guardrails, normalize_label, one_hot, select_labels
+from sparloom.functions.text import normalized_label, py_json_success, repetition_counts, token_estimate
+from sparloom.operators import labeling, reports, subsets
+from sparloom.operators.quality import filtered
+from sparloom.plans import sql as S
+from sparloom.plans.adapters import canon_conv, canon_docs, canon_events, labelled, raw_turns, table
+from sparloom.schema import sample_errors
+from sparloom.sources.parsers import sample_type
+from sparloom.streaming.ingest import conversion_stats, converted
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+SEED = "sparloom-1"
+
+
+def query(text: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if text:
+            SQL[f.__name__] = text
+        return f
+
+    return add
+
+
+def both() -> tuple[Taxonomy, Taxonomy]:
+    return Taxonomy.load(), Taxonomy.load(axis="domains")
+
+
+@query(S.conv("SELECT 'conv-' || conv_id AS id, CAST(pos AS INTEGER) AS pos, role, type, trainable, CAST(length(content) AS INTEGER) AS n_chars FROM turns"))
+def canonical_turns(spark, sf_dir):
+    rows = canon_conv(spark, sf_dir).select("id", F.posexplode("messages").alias("pos", "m"))
+    return rows.select("id", "pos", "m.role", "m.type", "m.trainable", F.length("m.content").alias("n_chars"))
+
+
+@query(S.conv(", x AS (SELECT id, conv_id % 5 AS k FROM samples) SELECT CASE WHEN k = 0 THEN '' ELSE id END AS id, CASE k WHEN 0 THEN 'id' WHEN 1 THEN 'sample_type' WHEN 2 THEN 'quality_score' WHEN 3 THEN 'trainable_role' ELSE '' END AS error_codes FROM x"))
+def raw_schema_validate(spark, sf_dir):
+    """Conversations with one planted fault each (none for every fifth)."""
+    k = F.col("row_idx") % 5
+    rows = canon_conv(spark, sf_dir).withColumns(
+        {
+            "id": F.when(k == 0, "").otherwise(F.col("id")),
+            "sample_type": F.when(k == 1, "other").otherwise(F.col("sample_type")),
+            "quality_score": F.when(k == 2, 1.5).otherwise(F.col("quality_score")),
+            "messages": F.when(k == 3, F.transform("messages", lambda m: m.withField("trainable", F.lit(True)))).otherwise(F.col("messages")),
+        }
+    )
+    return rows.select("id", F.array_join(sample_errors(), ",").alias("error_codes"))
+
+
+@query(f"WITH {S.DOCS} SELECT id, tokens FROM docs")
+def token_estimates(spark, sf_dir):
+    return canon_docs(spark, sf_dir).select("id", token_estimate(X.joined_text(F.col("messages"))).alias("tokens"))
+
+
+@query(
+    f"WITH {S.DOCS}, g AS (SELECT id, CASE WHEN len(w) < 10 THEN CAST([] AS VARCHAR[]) ELSE [array_to_string(w[i + 1:i + 5], chr(1)) FOR i IN range(len(w) - 5)] END AS g FROM docs)"
+    " SELECT id, CAST(len(g) AS INTEGER) AS n_ngrams, CAST(len(g) - len(list_distinct(g)) AS INTEGER) AS n_dup FROM g"
+)
+def repetition(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("id"), repetition_counts(F.col("text")).alias("c"))
+    return rows.select("id", "c.n_ngrams", "c.n_dup")
+
+
+@query(S.conv("SELECT id, tokens FROM samples JOIN reps USING (conv_id) WHERE NOT malformed AND tokens BETWEEN 64 AND 32768 AND repetition <= 0.2"))
+def basic_filter_conv(spark, sf_dir):
+    return filtered(canon_conv(spark, sf_dir)).select("id", "tokens")
+
+
+@query(S.lab("SELECT id, quality_score, success FROM scored"))
+def quality_score(spark, sf_dir):
+    return labelled(spark, sf_dir).select("id", "quality_score", "success")
+
+
+@query(
+    """SELECT 'doc-' || doc_id AS id, CASE WHEN regexp_matches(h, 'repo|coding|code|python|javascript') THEN 'coding' WHEN regexp_matches(h, 'tool|terminal|shell|browser') THEN 'agent' ELSE 'reasoning' END AS sample_type
+FROM (SELECT doc_id, lower(lang || '   ' || left(text, 2000)) AS h FROM documents)"""
+)
+def sample_types(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    return rows.select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("id"), sample_type(F.col("text"), F.col("lang"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("sample_type"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN v IN ('1', 'true', 'success', 'passed', 'pass') THEN true WHEN v IN ('0', 'false', 'failure', 'failed', 'fail') THEN false END AS success
+FROM (SELECT doc_id, lower(trim(CASE doc_id % 4 WHEN 0 THEN ' ' || quality || ' ' WHEN 1 THEN CASE quality WHEN 1 THEN 'Passed' ELSE 'FAILED' END WHEN 2 THEN CASE quality WHEN 1 THEN 'True' ELSE 'false' END ELSE 'maybe' END)) AS v FROM labels)"""
+)
+def success_parse(spark, sf_dir):
+    q, k = F.col("quality"), F.col("doc_id") % 4
+    said = F.when(k == 0, F.concat(F.lit(" "), q, F.lit(" "))).when(k == 1, F.when(q == 1, "Passed").otherwise("FAILED")).when(k == 2, F.when(q == 1, "True").otherwise("false")).otherwise("maybe")
+    return table(spark, sf_dir, "labels").select("doc_id", py_json_success(said).alias("success"))
+
+
+@query(
+    S.conv(
+        """, t AS (SELECT id, CASE WHEN length(rendered) <= 1200 THEN rendered ELSE left(rendered, 600) || E'\\n\\n[...truncated...]\\n\\n' || right(rendered, 600) END AS ct, left(coalesce(asked, joined), 500) AS tt FROM samples)
+SELECT id, CAST(length(ct) AS INTEGER) AS n_classifier, sha256(ct) AS classifier_sha, CAST(length(tt) AS INTEGER) AS n_task, sha256(tt) AS task_sha FROM t"""
+    )
+)
+def texts(spark, sf_dir):
+    rows = canon_conv(spark, sf_dir).select("id", X.classifier_text(F.col("messages"), 1200).alias("ct"), X.task_text(F.col("messages"), 500).alias("tt"))
+    return rows.select("id", F.length("ct").alias("n_classifier"), F.sha2("ct", 256).alias("classifier_sha"), F.length("tt").alias("n_task"), F.sha2("tt", 256).alias("task_sha"))
+
+
+@query(S.lab("SELECT 'conv-' || conv_id AS id, axis, label, score FROM ev"))
+def weak_evidence(spark, sf_dir):
+    caps, doms = labeling.evidence_of(X.task_text(F.col("messages"), 24000), *both())
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), e.alias("e")) for a, e in (("capabilities", caps), ("domains", doms))]))
+    return canon_conv(spark, sf_dir).select("id", each.alias("x")).select("id", "x.axis", F.explode("x.e").alias("e")).select("id", "axis", "e.label", "e.score")
+
+
+@query(S.lab("SELECT id, axis, label FROM long"))
+def relabel(spark, sf_dir):
+    axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("ls")) for a in ("capabilities", "domains")]))
+    return labelled(spark, sf_dir).select("id", axes.alias("x")).select("id", "x.axis", F.explode("x.ls").alias("label"))
+
+
+@query(
+    f"WITH a AS ({S.alias_rows()}), r AS (SELECT DISTINCT p_type AS raw FROM part UNION SELECT DISTINCT c_mktsegment FROM customer UNION SELECT DISTINCT lang FROM documents UNION SELECT unnest(['English ', 'The-Code', 'code']))"
+    " , n AS (SELECT raw, trim(regexp_replace(lower(trim(raw)), '[^a-zA-Z0-9]+', '_', 'g'), '_') AS normalized FROM r) SELECT raw, normalized, label FROM n LEFT JOIN (SELECT alias, label FROM a WHERE axis = 'domains') ON alias = normalized"
+)
+def alias_normalize(spark, sf_dir):
+    raw = table(spark, sf_dir, "part").select(F.col("p_type").alias("raw")).union(table(spark, sf_dir, "customer").select("c_mktsegment")).union(table(spark, sf_dir, "documents").select("lang")).distinct()
+    raw = raw.union(spark.createDataFrame([("English ",), ("The-Code",), ("code",)], "raw string"))
+    return raw.select("raw", normalized_label(F.col("raw")).alias("normalized"), normalize_label(F.col("raw"), both()[1]).alias("label"))
+
+
+@query(S.lab(f", n AS ({S.name_rows()}) SELECT id, label, CAST(list_contains(CASE axis WHEN 'domains' THEN domains ELSE capabilities END, label) AS INTEGER) AS bit FROM scored, n"))
+def one_hot_labels(spark, sf_dir):
+    caps, doms = both()
+    names = F.array(*[F.lit(n) for n in (*caps.names, *doms.names)])
+    bits = F.concat(one_hot(F.col("capabilities"), caps), one_hot(F.col("domains"), doms))
+    return labelled(spark, sf_dir).select("id", F.explode(F.arrays_zip(names.alias("label"), bits.alias("bit"))).alias("x")).select("id", "x.label", "x.bit")
+
+
+@query(
+    S.lab(
+        """, l AS (SELECT * FROM long),
+r AS (SELECT 'rows' AS section, NULL AS k1, NULL AS k2, count(*) AS n FROM scored UNION ALL SELECT 'empty', NULL, NULL, count(*) FILTER (WHERE len(capabilities) = 0 AND len(domains) = 0) FROM scored
+ UNION ALL SELECT 'sources', source_dataset, NULL, count(*) FROM scored GROUP BY 2 UNION ALL SELECT 'sample_types', sample_type, NULL, count(*) FROM scored GROUP BY 2
+ UNION ALL SELECT axis, label, NULL, count(*) FROM l GROUP BY 1, 2
+ UNION ALL SELECT axis || '_by_source', source_dataset, label, count(*) FROM l GROUP BY 1, 2, 3 UNION ALL SELECT axis || '_by_sample_type', sample_type, label, count(*) FROM l GROUP BY 1, 2, 3
+ UNION ALL SELECT a || '_by_source', source_dataset, NULL, 0 FROM (SELECT DISTINCT source_dataset, unnest(['capabilities', 'domains']) AS a FROM scored) x WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.axis = x.a AND l.source_dataset = x.source_dataset)
+ UNION ALL SELECT a || '_by_sample_type', sample_type, NULL, 0 FROM (SELECT DISTINCT sample_type, unnest(['capabilities', 'domains']) AS a FROM scored) x WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.axis = x.a AND l.sample_type = x.sample_type))
+SELECT section, CAST(k1 AS VARCHAR) AS k1, CAST(k2 AS VARCHAR) AS k2, CAST(n AS BIGINT) AS n FROM r"""
+    )
+)
+def label_report(spark, sf_dir):
+    return reports.label_report(labelled(spark, sf_dir)).select("section", "k1", "k2", "n")
+
+
+@query(S.lab("SELECT axis, label, CAST(rank AS INTEGER) AS rank, id FROM (SELECT *, row_number() OVER (PARTITION BY axis, label ORDER BY conv_id) AS rank FROM long) WHERE rank <= 3"))
+def label_examples_topk(spark, sf_dir):
+    return reports.label_examples(labelled(spark, sf_dir), 3)
+
+
+@query(
+    S.lab(
+        ", c AS (SELECT target, count(*) AS n, sum(tokens) AS tokens FROM met GROUP BY 1) SELECT t.target, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens, CASE WHEN coalesce(n, 0) >= 25 THEN 'ready' WHEN n > 0 THEN 'thin' ELSE 'empty' END AS status FROM targets t LEFT JOIN c USING (target)"
+    )
+)
+def target_report(spark, sf_dir):
+    return reports.target_report(labelled(spark, sf_dir), reports.load_targets())
+
+
+@query(S.lab("SELECT target, 'source' AS dim, source_dataset AS key, CAST(count(*) AS BIGINT) AS n FROM met GROUP BY 1, 3 UNION ALL SELECT target, 'sample_type', sample_type, CAST(count(*) AS BIGINT) FROM met GROUP BY 1, 3"))
+def target_histograms(spark, sf_dir):
+    return reports.target_histograms(labelled(spark, sf_dir), reports.load_targets())
+
+
+def probed(spark):
+    return reports.probe_compare(labeling.relabel(reports.probes(spark), *both(), min_score=0.45))
+
+
+@query()
+def probe_compare(spark, sf_dir):
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return probed(spark).select("id", "axis", joined("hit"), joined("missing"), joined("extra"), "coverage", "exact")
+
+
+@query()
+def probe_report(spark, sf_dir):
+    return reports.probe_report(probed(spark))
+
+
+@query(S.lab("SELECT id, source_dataset, CAST(length(left(coalesce(asked, joined), 4000)) AS INTEGER) AS text_len FROM scored WHERE list_contains(domains, 'GERMAN_PROSE') ORDER BY conv_id LIMIT 5"))
+def inspect_label(spark, sf_dir):
+    return reports.inspect(labelled(spark, sf_dir), label="GERMAN_PROSE").select("id", "source_dataset", F.length("text").alias("text_len"))
+
+
+@query(f"WITH {S.DOCS} SELECT id, grp FROM (SELECT id, source AS grp, row_number() OVER (PARTITION BY source ORDER BY sha256('{SEED}|' || id), id) AS r FROM docs) WHERE r <= 10")
+def stratified_sample(spark, sf_dir):
+    return reports.stratified_sample(canon_docs(spark, sf_dir), seed=SEED).select("id", "grp")
+
+
+@query(f"WITH {S.DOCS} SELECT id, {S.hashed(SEED + '|eval|')} < 0.1 AS is_eval FROM docs")
+def hash_split(spark, sf_dir):
+    rows = canon_docs(spark, sf_dir).withColumn("group_key", subsets.group_key())
+    return rows.select("id", (subsets.unit_score(F.concat(F.lit(f"{SEED}|eval|"), "group_key")) < 0.1).alias("is_eval"))
+
+
+@query(f"WITH {S.DOCS} SELECT id FROM docs WHERE group_key NOT IN (SELECT group_key FROM docs WHERE {S.hashed(SEED + '|eval|')} < 0.1 ORDER BY sha256('{SEED}|eval|' || group_key || '|' || id) LIMIT 20)")
+def leakage_anti_join(spark, sf_dir):
+    rows = canon_docs(spark, sf_dir).withColumn("group_key", subsets.group_key())
+    held = rows.where(subsets.unit_score(F.concat(F.lit(f"{SEED}|eval|"), "group_key")) < 0.1).orderBy(subsets.order_key(f"{SEED}|eval")).limit(20)
+    return rows.join(F.broadcast(held.select("group_key").distinct()), "group_key", "left_anti").select("id")
+
+
+BUDGET = 50_000
+
+
+@query(
+    f"""WITH RECURSIVE {S.DOCS}, o AS (SELECT id, tokens, row_number() OVER (ORDER BY sha256('{SEED}|' || group_key || '|' || id)) AS r FROM docs),
+g AS (SELECT r, CAST(tokens AS BIGINT) AS total, true AS taken, id, tokens FROM o WHERE r = 1
+  UNION ALL SELECT o.r, CASE WHEN g.total + o.tokens <= {BUDGET} THEN g.total + o.tokens ELSE g.total END, g.total + o.tokens <= {BUDGET}, o.id, o.tokens FROM g JOIN o ON o.r = g.r + 1)
+SELECT id, tokens FROM g WHERE taken"""
+)
+def token_budget_select(spark, sf_dir):
+    rows = measured_tokens(canon_docs(spark, sf_dir)).withColumn("group_key", subsets.group_key()).withColumn("key", subsets.order_key(SEED)).select("id", "key", "tokens")
+    chosen = subsets.select_by_budget(rows.select("key", "tokens"), BUDGET)
+    return rows.where(chosen.condition(F.col("key"), F.col("tokens"))).select("id", "tokens")
+
+
+def measured_tokens(samples: DataFrame) -> DataFrame:
+    return samples.withColumn("tokens", token_estimate(X.joined_text(F.col("messages"))))
+
+
+@query()
+def build_subsets(spark, sf_dir):
+    got = subsets.build_subsets(labelled(spark, sf_dir), domains=["ENGLISH_PROSE"], max_train_tokens=20_000, min_quality=0.3, seed=SEED)
+    named = [(n, d) for n, d in (("specialist", got.specialist), ("general", got.general), ("evaluation", got.evaluation))]
+    out = None
+    for n, d in named:
+        part = d.select(F.lit(n).alias("subset"), "id", "tokens")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query(
+    """WITH s AS (SELECT user_id, event_type, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY user_id) AS score FROM events GROUP BY 1, 2),
+r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_type) AS rank FROM s WHERE score >= 0.15) SELECT user_id, CAST(rank AS INTEGER) AS rank, event_type AS label FROM r WHERE rank <= 3"""
+)
+def select_labels_topk(spark, sf_dir):
+    n = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    rows = n.groupBy("user_id").agg(F.sum("n").alias("t"), F.collect_list(F.struct("event_type", "n")).alias("e"))
+    scores = F.map_from_entries(F.transform("e", lambda e: F.struct(e["event_type"], e["n"] / F.col("t"))))
+    return rows.select("user_id", F.posexplode(select_labels(scores, 0.15, 3)).alias("pos", "label")).select("user_id", (F.col("pos") + 1).alias("rank"), "label")
+
+
+@query(S.guardrail_sql())
+def guardrails(spark, sf_dir):
+    given = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    g = apply_guardrails(Guardrails.load(), F.col("sample_type"), X.task_text(F.col("messages"), 24000), given("CRITIQUE", "SYNTHESIS", "TOOL_USE"), given("ENGLISH_PROSE"), 3, 2)
+    rows = canon_conv(spark, sf_dir).select("id", g.alias("g"))
+    joined = lambda c, n: F.array_join(f"g.{c}", ",").alias(n)
+    return rows.select("id", joined("capabilities", "capabilities"), joined("domains", "domains"), joined("dropped_capabilities", "dropped"), joined("added_capabilities", "added"), "g.coding_frame", "g.applied")
+
+
+@query()
+def llm_label_stub(spark, sf_dir):
+    rows = labeling.llm_label(canon_conv(spark, sf_dir), labeling.stub_generator, *both(), concurrency=4, rules=Guardrails.load())
+    return rows.select("id", F.array_join("capabilities", ",").alias("capabilities"), F.array_join("domains", ",").alias("domains"), F.col("payload.error").isNull().alias("parsed_ok"), F.col("payload.recovery").isNotNull().alias("recovered"))
+
+
+@query()
+def model_label_stub(spark, sf_dir):
+    def scorer():
+        return lambda texts, candidates: [[((len(t) + 7 * i) % 10) / 10 for i, _ in enumerate(candidates)] for t in texts]
+
+    rows = labeling.model_label(canon_conv(spark, sf_dir), scorer, *both())
+    return rows.select("id", F.array_join("capabilities", ",").alias("capabilities"), F.array_join("domains", ",").alias("domains"))
+
+
+EVENT_TEXT = """CASE event_type WHEN 'click' THEN '<tool_call>{"a":1}</tool_call> saw event_' || (event_id - 1) WHEN 'purchase' THEN '<tool_call> {broken} </tool_call> patch' ELSE 'nothing to do' END"""
+
+
+def generations(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("event_type <> 'view'")
+    text = F.when(F.col("event_type") == "click", F.concat(F.lit('<tool_call>{"a":1}</tool_call> saw event_'), F.col("event_id") - 1)).when(F.col("event_type") == "purchase", "<tool_call> {broken} </tool_call> patch").otherwise("nothing to do")
+    from sparloom.sources.parsers import turn
+
+    seen = F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("Event_"), F.col("event_id") - F.col("event_id") % 2, F.lit(" gone")))
+    return e.select(F.concat(F.lit("m"), F.col("user_id") % 3).alias("model_name"), F.col("event_id").alias("sample_id"), F.array(turn("tool", "observation", seen, False)).alias("messages"), text.alias("generation"), F.lit(0.5).alias("latency_seconds"), (F.col("event_id") % 100).alias("generated_tokens"))
+
+
+EVAL = f"""g AS (SELECT 'm' || (user_id % 3) AS model_name, event_id, {EVENT_TEXT} AS t, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'Event_' || (event_id - event_id % 2) || ' gone' END AS o FROM events WHERE event_type <> 'view'),
+w AS (SELECT *, list_distinct([lower(x) FOR x IN regexp_extract_all(o, '[A-Za-z_][A-Za-z0-9_]{{3,}}')]) AS ow, list_distinct([lower(x) FOR x IN regexp_extract_all(t, '[A-Za-z_][A-Za-z0-9_]{{3,}}')]) AS tw FROM g),
+m AS (SELECT model_name, event_id AS sample_id, contains(t, '<tool_call>') AS valid_tool_call, CASE WHEN len(ow) > 0 THEN len(list_intersect(ow, tw))::DOUBLE / len(ow) END AS overlap, contains(t, 'patch') AS patch_intent, event_id FROM w)"""
+
+
+@query(f"WITH {EVAL} SELECT model_name, sample_id, valid_tool_call, overlap AS observation_overlap, coalesce(overlap >= 0.1, false) AS observation_grounded, patch_intent FROM m")
+def eval_score(spark, sf_dir):
+    return reports.score_generations(generations(spark, sf_dir)).select("model_name", "sample_id", "valid_tool_call", "observation_overlap", "observation_grounded", "patch_intent")
+
+
+@query(
+    f"WITH {EVAL} SELECT model_name, CAST(count(*) AS BIGINT) AS count, round(avg(valid_tool_call::INT), 6) AS valid_tool_call_rate, round(avg(patch_intent::INT), 6) AS patch_intent_rate, round(avg((overlap >= 0.1)::INT), 6) AS observation_grounded_rate, round(avg(event_id % 100), 6) AS avg_generated_tokens FROM m GROUP BY 1"
+)
+def eval_summary(spark, sf_dir):
+    rows = reports.summarize(reports.score_generations(generations(spark, sf_dir)))
+    return rows.select("model_name", "count", *[F.round(c, 6).alias(c) for c in ("valid_tool_call_rate", "patch_intent_rate", "observation_grounded_rate", "avg_generated_tokens")])
+
+
+NAMED = "CASE role || ' ' || type WHEN 'system message' THEN 'system' WHEN 'user message' THEN 'user' WHEN 'assistant reasoning' THEN 'assistant_reasoning' WHEN 'assistant tool_call' THEN 'assistant_tool_call' WHEN 'assistant final' THEN 'assistant_final' END"
+SEGMENTS = f"segs AS (SELECT conv_id, 2 * pos AS seg, '<|' || {NAMED} || E'|>\\n' AS text, false AS trainable FROM turns UNION ALL SELECT conv_id, 2 * pos + 1, trim(content, {S.BLANK}) || E'\\n', trainable FROM turns)"
+
+
+@query(S.conv(f", {SEGMENTS} SELECT 'conv-' || conv_id AS id, CAST(seg AS INTEGER) AS seg, trainable, CAST(length(text) AS INTEGER) AS n FROM segs"))
+def transcript_segments(spark, sf_dir):
+    return canon_conv(spark, sf_dir).select("id", F.posexplode(X.segments(F.col("messages"))).alias("seg", "s")).select("id", "seg", "s.trainable", F.length("s.text").alias("n"))
+
+
+@query(S.conv(f", f AS (SELECT conv_id, min(pos) AS p FROM turns WHERE role = 'assistant' GROUP BY 1), s AS (SELECT t.conv_id, coalesce(string_agg('<|' || {NAMED} || E'|>\\n' || trim(content, {S.BLANK}) || E'\\n', '' ORDER BY pos) FILTER (WHERE f.p IS NULL OR pos < f.p), '') || E'<|assistant_final|>\\n' AS p FROM turns t LEFT JOIN f USING (conv_id) GROUP BY 1) SELECT 'conv-' || conv_id AS id, sha256(p) AS prompt_sha FROM s"))
+def eval_prompt(spark, sf_dir):
+    return canon_conv(spark, sf_dir).select("id", F.sha2(X.eval_prompt(F.col("messages")), 256).alias("prompt_sha"))
+
+
+class CodePoints:
+    """A tokenizer of one id per character."""
+
+    eos_id = 0
+
+    def __call__(self, text: str) -> list[int]:
+        return [ord(c) for c in text]
+
+
+@query(S.conv(f", {SEGMENTS}, n AS (SELECT conv_id, sum(length(text)) AS a, sum(length(text)) FILTER (WHERE trainable) AS t, arg_max(trainable, seg) AS last FROM segs GROUP BY 1) SELECT 'conv-' || conv_id AS id, CAST(a + 1 AS INTEGER) AS n_ids, CAST(coalesce(t, 0) + last::INT AS INTEGER) AS n_trained FROM n"))
+def loss_mask(spark, sf_dir):
+    rows = reports.loss_mask(canon_conv(spark, sf_dir), CodePoints, 1 << 30)
+    return rows.select("id", F.size("input_ids").alias("n_ids"), F.size(F.filter("labels", lambda x: x != X.IGNORED)).alias("n_trained"))
+
+
+@query("SELECT source, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT 'conversations' AS source, conv_id AS i FROM conversations JOIN documents ON conv_id = doc_id UNION ALL SELECT 'documents', doc_id FROM documents UNION ALL SELECT DISTINCT 'events', user_id FROM events) GROUP BY 1")
+def union_sources(spark, sf_dir):
+    parts = [f(spark, sf_dir).withColumn("from", F.lit(n)) for n, f in (("conversations", canon_conv), ("documents", canon_docs), ("events", canon_events))]
+    every = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    return every.groupBy(F.col("from").alias("source")).agg(F.count("*").alias("n"))
+
+
+def raw_lines(spark, sf_dir):
+    """Conversations as raw JSON rows; every seventh has a role that no one knows."""
+    t = raw_turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("t"))
+    role = lambda x: F.when((F.col("conv_id") % 7 == 0) & (x["turn"] == 0), "narrator").otherwise(x["role"])
+    msgs = F.transform("t", lambda x: F.struct(role(x).alias("role"), x["content"].alias("content")))
+    return t.select(F.col("conv_id").alias("row_idx"), F.to_json(F.struct(F.concat(F.lit("conv-"), F.col("conv_id")).alias("id"), (F.col("conv_id") % 2).alias("reward"), msgs.alias("messages"))).alias("value"))
+
+
+@query(
+    """WITH c AS (SELECT conv_id, conv_id % 7 = 0 AND bool_or(turn = 0) AS bad FROM conversations GROUP BY 1)
+SELECT metric, CAST(n AS BIGINT) AS n FROM (SELECT 'seen' AS metric, count(*) AS n FROM c UNION ALL SELECT 'parsed', count(*) FROM c WHERE NOT bad UNION ALL SELECT 'errors', count(*) FROM c WHERE bad UNION ALL SELECT 'error:ValueError', count(*) FROM c WHERE bad HAVING count(*) > 0)"""
+)
+def stream_convert_stats(spark, sf_dir):
+    stats = conversion_stats(converted(raw_lines(spark, sf_dir), "agenttrove", "landing", 0.45, *both()))
+    return stats.where("metric not in ('written', 'skipped')").select("metric", F.col("value").alias("n"))
+
+
+@query()
+def stream_ingest(spark, sf_dir):
+    """Landed JSON lines through the streaming converter, and what it wrote."""
+    from sparloom.streaming.ingest import stream_convert
+
+    base = tempfile.mkdtemp(prefix="sparloom-stream-")
+    raw_lines(spark, sf_dir).select("value").write.text(f"{base}/in")
+    stream_convert(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", "agenttrove", "landing").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("id", "sample_type", F.size("messages").alias("n_turns"), "success", "quality_score")
+
+
+@query()
+def classifier_export(spark, sf_dir):
+    rows = labeling.classifier_rows(canon_conv(spark, sf_dir), *both(), min_score=0.5)
+    return rows.select("id", F.array_join("labels", ",").alias("labels"), F.array_join("domains", ",").alias("domains"), F.array_join(F.transform("label_vector", lambda x: x.cast("string")), "").alias("bits"))
+
+
+@query()
+def labeling_prompts(spark, sf_dir):
+    rows = labelled(spark, sf_dir)
+    shots = labeling.icl_examples(rows, *both(), per_label=1, max_chars=200, allow_weak=True)
+    return labeling.prompt_rows(rows, *both(), shots, 2000).select("id", F.length("prompt").alias("n_chars"))
+
 
-QUERIES = {}
-SQL = {}
