@@ -33,10 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, wide: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    Tables of keys and counts go to at most two files for each core of the cluster, which keeps all cores busy and files few;
+    `wide` tables, in proportion to the texts, keep their partitions.
+    """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if wide else df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

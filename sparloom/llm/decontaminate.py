@@ -209,9 +209,9 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     if len(parts) == 1:
         out = parts[0]
     else:
-        every = materialize(parts[0], "matches")
+        every = materialize(parts[0], "matches", wide=True)
         for p in parts[1:]:
-            every = every.union(materialize(p, "matches"))
+            every = every.union(materialize(p, "matches", wide=True))
         sort = F.array_sort(F.flatten(F.collect_list("runs")))
         every = every.groupBy(key).agg(F.first(ident).alias(ident), F.first("n_words").alias("n_words"), sort.alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"), (F.count("*") / len(parts)).cast("int").alias("_copies"))
         out = every.withColumn("runs", F.expr(UNITE)).withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies"))))

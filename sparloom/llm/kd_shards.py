@@ -103,7 +103,7 @@ def kd_shards(docs: DataFrame, shards: int = 40, whole_share: float = 0.25, slac
         code(F.col(lang_col)).alias("lang"),
         code(F.col(source_col)).alias("source"),
     )
-    rows = materialize(rows, "sizes")
+    rows = materialize(rows, "sizes", wide=True)
     total = rows.agg(F.sum("size")).first()[0] or 0
     limit = max(1.0, total / shards * whole_share)
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.max("size").alias("one"), F.min("lang").alias("lang"), F.min("source").alias("source"))

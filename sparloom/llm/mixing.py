@@ -36,7 +36,7 @@ def numbered(keys: DataFrame, column: str) -> DataFrame:
     spark = keys.sparkSession
     order = F.col(column).asc_nulls_last()
     dealt = keys.repartitionByRange(order).sortWithinPartitions(order)
-    local = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33).cast("int")).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)), "numbered")
+    local = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33).cast("int")).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)), "numbered", wide=True)
     counts = sorted((r["_part"], r["count"]) for r in local.groupBy("_part").count().collect())  # a row for each task
     base, before = [], 0
     for part, n in counts:

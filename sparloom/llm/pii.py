@@ -119,7 +119,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     ident, key, text = (free_name(docs, x) for x in ("_doc", "_key", "_text"))
     rows = docs.select(F.col(id_col).alias(ident), row_key(docs).alias(key), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text))
     found = base_spans(rows, text)
-    found = materialize(found.select(F.col(ident).alias("doc_id"), F.col(key).alias("key"), F.concat(*PATTERNS).alias("found")), "base")
+    found = materialize(found.select(F.col(ident).alias("doc_id"), F.col(key).alias("key"), F.concat(*PATTERNS).alias("found")), "base", wide=True)
     held = found.where(F.size("found") > 0).groupBy("key").agg(F.first("found").alias("found"), F.count("*").alias("rows"))
     mention = held.select("key", "rows", F.explode("found").alias("x"))
     mention = mention.select("key", "rows", F.concat_ws(":", "x.kind", F.lower("x.value")).alias("entity"), F.xxhash64("x.before", "x.after").alias("context"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.before").alias("before"), F.col("x.after").alias("after"))

@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ident, key = free_name(docs, "_doc"), free_name(docs, "_key")
     rows = docs.withColumn(key, row_key(docs)).withColumn(ident, F.col(id_col).cast("long"))
-    printed = materialize(fingerprints(rows, [ident, key], text_col).toDF("doc_id", "row_key", "fp"), "fingerprints")
+    printed = materialize(fingerprints(rows, [ident, key], text_col).toDF("doc_id", "row_key", "fp"), "fingerprints", wide=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
     distinct = materialize(printed.groupBy("fp").agg(first), "distinct")
     linked = components(links(distinct, crowd))

@@ -237,7 +237,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, ids_per_
         if docs_:
             yield closed()
 
-    return materialize(dealt.mapInArrow(write, "part int, seq int, n_docs long, n_ids long, before long, data binary"), "tokens")
+    return materialize(dealt.mapInArrow(write, "part int, seq int, n_docs long, n_ids long, before long, data binary"), "tokens", wide=True)
 
 
 def read_token_files(shards: DataFrame) -> DataFrame:

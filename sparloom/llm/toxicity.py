@@ -113,21 +113,6 @@ def self_kernels(codes: np.ndarray) -> np.ndarray:
     return np.concatenate([raw_kernel(codes[i : i + step], codes[i : i + step]) for i in range(0, len(codes), step)])
 
 
-def kernel_matrix(units: list[str], others: list[str]) -> np.ndarray:
-    """Normalised kernels of all units with all others."""
-    out = np.zeros((len(units), len(others)))
-    right = coded(others)
-    for at, rows in coded(units).values():
-        own = self_kernels(rows)
-        for to, cols in right.values():
-            norm = np.sqrt(np.outer(own, self_kernels(cols)))
-            for j, col in enumerate(cols):
-                step = max(1, 2_000_000 // (rows.shape[1] * len(col)))
-                got = np.concatenate([raw_kernel(rows[i : i + step], np.broadcast_to(col, (len(rows[i : i + step]), len(col)))) for i in range(0, len(rows), step)])
-                out[at, to[j]] = got / norm[:, j]
-    return out
-
-
 @cache
 def triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places of all subsequences in a word of n symbols, and their weights."""
@@ -136,26 +121,50 @@ def triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return i[use], j[use], k[use], (DECAY ** (k[use] - i[use] + 1)).astype(np.float32)
 
 
+def subsequences(codes: np.ndarray) -> np.ndarray:
+    """Numbers of all subsequences of words of one length, in the order of triples()."""
+    i, j, k, _ = triples(codes.shape[1])
+    return (codes[:, i] * SYMBOLS + codes[:, j]) * SYMBOLS + codes[:, k]
+
+
+def kernel_matrix(units: list[str], others: list[str]) -> np.ndarray:
+    """Normalised kernels of all units with all others, as sums over the subsequences that any of the others has."""
+    right = [(to, subsequences(codes), triples(codes.shape[1])[3], self_kernels(codes)) for to, codes in coded(others).values()]
+    place = np.zeros(SYMBOLS**3, np.int32)
+    used = np.unique(np.concatenate([ids.ravel() for _, ids, *_ in right]))
+    place[used] = np.arange(1, len(used) + 1)
+    table = np.zeros((len(used) + 1, len(others)), np.float32)  # row 0: what none of them has
+    for to, ids, w, own in right:
+        np.add.at(table, (place[ids], to[:, None]), w / np.sqrt(own)[:, None])
+    out = np.zeros((len(units), len(others)))
+    for at, codes in coded(units).values():
+        w, own = triples(codes.shape[1])[3], np.sqrt(self_kernels(codes))
+        step = max(1, 4_000_000 // (len(w) * len(others)))
+        for i in range(0, len(at), step):
+            rows = table[place[subsequences(codes[i : i + step])]]
+            out[at[i : i + step]] = np.matmul(w[None, None, :], rows)[:, 0] / own[i : i + step, None]
+    return out
+
+
 class Machine:
     """The trained machine as one weight for each subsequence, and the map from a text's margin to its score."""
 
     def __init__(self, landmarks: list[str], beta: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0) -> None:
         self.weights = np.zeros(SYMBOLS**3, np.float64)
         for at, codes in coded(landmarks).values():
-            i, j, k, w = triples(codes.shape[1])
             scale = beta[at] / np.sqrt(self_kernels(codes))
-            np.add.at(self.weights, ((codes[:, i] * SYMBOLS + codes[:, j]) * SYMBOLS + codes[:, k]).ravel(), (scale[:, None] * w).ravel())
+            np.add.at(self.weights, subsequences(codes).ravel(), (scale[:, None] * triples(codes.shape[1])[3]).ravel())
         self.weights = self.weights.astype(np.float32)
         self.bias, self.slope, self.shift = bias, slope, shift
 
     def margins(self, units: list[str]) -> np.ndarray:
         out = np.zeros(len(units))
         for at, codes in coded(units).values():
-            i, j, k, w = triples(codes.shape[1])
+            w = triples(codes.shape[1])[3]
             step = max(1, 1_000_000 // len(w))
             for a in range(0, len(at), step):
                 c = codes[a : a + step]
-                out[at[a : a + step]] = self.weights[(c[:, i] * SYMBOLS + c[:, j]) * SYMBOLS + c[:, k]] @ w / np.sqrt(self_kernels(c))
+                out[at[a : a + step]] = self.weights[subsequences(c)] @ w / np.sqrt(self_kernels(c))
         return out + self.bias
 
     def scores(self, margins: np.ndarray) -> np.ndarray:
@@ -281,10 +290,12 @@ def one_of_copies(docs: list[list[str]], labels: list[int], tries: int = 4) -> l
     half of the units of both.
     """
     keep, sets = list(range(len(docs))), [set(d) for d in docs]
+    hashes = [np.array([zlib.crc32(u.encode()) for u in d] or [0], np.uint64) for d in docs]
+    odd = np.random.default_rng(1).integers(1 << 62, (1 << 63) - 1, (tries, 2), dtype=np.uint64) | np.uint64(1)
     for t in range(tries):
         seen: dict[tuple, int] = {}
         for i in keep:
-            low = [min((zlib.crc32(f"{t}{h}{u}".encode()) for u in docs[i]), default=0) for h in "ab"]
+            low = [int((hashes[i] * m >> np.uint64(20)).min()) for m in odd[t]]
             other = seen.setdefault((labels[i], *low), i)
             if 2 * len(sets[i] & sets[other]) < len(sets[i] | sets[other]):
                 seen[labels[i], *low, i] = i
@@ -327,7 +338,8 @@ def calibrated(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[flo
 
 
 def held_out(ident: Column) -> Column:
-    return (F.crc32(ident.cast("string").cast("binary")) % 5 == 0).cast("boolean")
+    """Rows that are never learned from; a null id is none of them, and is not learned from either."""
+    return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = 1500, negatives: int = 3000, max_chars: int = 20_000) -> Machine | None:
