@@ -30,10 +30,33 @@ from sparloom.llm.common import free_name, materialize, slices, text_bytes
 BLOCK = 128
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4sIQQ")  # magic, documents, ids, blocks
-AT_ONCE = 512  # blocks that are packed together, to bound what the bits take
+AT_ONCE = 1024  # blocks that are packed together, to bound what the bits take
 FIXED = 6  # of a block: minimum (4), width (1), exceptions (1)
 
 
+def pack_bits(values: np.ndarray, w: int) -> bytes:
+    """Rows of BLOCK values at w bits each, in little-endian 64-bit words: one step for each place of 64 values."""
+    v = np.ascontiguousarray(values.T).astype(np.uint64) & np.uint64((1 << w) - 1)
+    words = np.zeros((BLOCK // 64 * w, len(values)), np.uint64)
+    for j in range(BLOCK):
+        at, shift = divmod(j * w, 64)
+        words[at] |= v[j] << np.uint64(shift)
+        if shift + w > 64:
+            words[at + 1] |= v[j] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).astype("<u8").tobytes()
+
+
+def unpack_bits(data: bytes, w: int) -> np.ndarray:
+    words = np.ascontiguousarray(np.frombuffer(data, "<u8").reshape(-1, BLOCK // 64 * w).T)
+    out = np.empty((BLOCK, words.shape[1]), np.uint64)
+    for j in range(BLOCK):
+        at, shift = divmod(j * w, 64)
+        out[j] = words[at] >> np.uint64(shift)
+        if shift + w > 64:
+            out[j] |= words[at + 1] << np.uint64(64 - shift)
+    return (out & np.uint64((1 << w) - 1)).astype(np.uint32).T
+
+
 def encode_ids(ids: np.ndarray, percentile: float = 90.0) -> tuple[np.ndarray, np.ndarray]:
     """(block starts, payload bytes) of unsigned 32-bit ids."""
     n = len(ids)
@@ -46,33 +69,35 @@ def encode_ids(ids: np.ndarray, percentile: float = 90.0) -> tuple[np.ndarray, n
     low = grid.min(axis=1)
     delta = grid - low[:, None]
     rank = max(0, int(np.ceil(BLOCK * percentile / 100)) - 1)
-    width = np.frexp(np.partition(delta, rank, axis=1)[:, rank].astype(np.float64))[1].astype(np.int64)
+    width = np.full(blocks, int(delta.max()).bit_length(), np.int64)
+    narrow = np.arange(blocks)
+    while len(narrow) and width[narrow[0]]:  # one bit less for the blocks in which enough ids still fit
+        narrow = narrow[(delta[narrow] >> np.uint32(width[narrow[0]] - 1) == 0).sum(axis=1) > rank]
+        width[narrow] -= 1
     high = delta >> width[:, None].astype(np.uint32) if width.max() < 32 else (delta.astype(np.uint64) >> width[:, None].astype(np.uint64)).astype(np.uint32)
     odd = high != 0
     extra = odd.sum(axis=1)
     starts = np.concatenate([[0], np.cumsum(FIXED + BLOCK // 8 * width + 5 * extra)]).astype(np.int64)
-    out = np.zeros(starts[-1], np.uint8)
-    at = starts[:-1]
-    out[at[:, None] + np.arange(4)] = low.astype("<u4").view(np.uint8).reshape(-1, 4)
-    out[at + 4] = width
-    out[at + 5] = extra
+    head = np.empty((blocks, FIXED), np.uint8)
+    head[:, :4] = low.astype("<u4").view(np.uint8).reshape(-1, 4)
+    head[:, 4], head[:, 5] = width, extra
+    packed = [b""] * blocks
     for w in np.unique(width):
         every = np.flatnonzero(width == w) if w else ()
-        size = 1 if w <= 8 else 2 if w <= 16 else 4
         for i in range(0, len(every), AT_ONCE):
             rows = every[i : i + AT_ONCE]
-            if w == 8 * size:
-                out[at[rows][:, None] + FIXED + np.arange(BLOCK * size)] = delta[rows].astype(f"<u{size}").view(np.uint8)
-                continue
-            bits = np.unpackbits(delta[rows].astype(f"<u{size}").view(np.uint8).reshape(-1, size), axis=1, bitorder="little")[:, :w]
-            out[at[rows][:, None] + FIXED + np.arange(BLOCK // 8 * w)] = np.packbits(bits.reshape(len(rows), BLOCK * w), axis=1, bitorder="little")
+            flat, n = pack_bits(delta[rows], int(w)), BLOCK // 8 * int(w)
+            for j, r in enumerate(rows.tolist()):
+                packed[r] = flat[j * n : (j + 1) * n]
     row, pos = np.nonzero(odd)
-    if len(row):
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(extra) - extra, extra)
-        lists = at[row] + FIXED + BLOCK // 8 * width[row]
-        out[lists + nth] = pos
-        out[(lists + extra[row] + 4 * nth)[:, None] + np.arange(4)] = high[row, pos].astype("<u4").view(np.uint8).reshape(-1, 4)
-    return at.astype(np.uint64), out
+    places, values = pos.astype(np.uint8).tobytes(), high[row, pos].astype("<u4").tobytes()
+    heads, parts, e = head.tobytes(), [], 0
+    for r, n in enumerate(extra.tolist()):
+        parts += (heads[FIXED * r : FIXED * (r + 1)], packed[r])
+        if n:
+            parts += (places[e : e + n], values[4 * e : 4 * (e + n)])
+            e += n
+    return starts[:-1].astype(np.uint64), np.frombuffer(b"".join(parts), np.uint8)
 
 
 def decode_ids(starts: np.ndarray, payload: np.ndarray, n: int) -> np.ndarray:
@@ -83,18 +108,13 @@ def decode_ids(starts: np.ndarray, payload: np.ndarray, n: int) -> np.ndarray:
     low = payload[at[:, None] + np.arange(4)].copy().view("<u4")[:, 0]
     width, extra = payload[at + 4].astype(np.int64), payload[at + 5].astype(np.int64)
     out = np.zeros((len(at), BLOCK), np.uint32)
+    data, first = payload.data, (at + FIXED).tolist()
     for w in np.unique(width):
         every = np.flatnonzero(width == w) if w else ()
-        size = 1 if w <= 8 else 2 if w <= 16 else 4
+        wide = BLOCK // 8 * int(w)
         for i in range(0, len(every), AT_ONCE):
             rows = every[i : i + AT_ONCE]
-            packed = payload[at[rows][:, None] + FIXED + np.arange(BLOCK // 8 * w)]
-            if w == 8 * size:
-                out[rows] = packed.view(f"<u{size}")
-                continue
-            bits = np.zeros((len(rows) * BLOCK, 8 * size), np.uint8)
-            bits[:, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(-1, w)
-            out[rows] = np.packbits(bits, axis=1, bitorder="little").view(f"<u{size}").reshape(len(rows), BLOCK)
+            out[rows] = unpack_bits(b"".join([data[first[r] : first[r] + wide] for r in rows.tolist()]), int(w))
     row = np.repeat(np.arange(len(at)), extra)
     if len(row):
         nth = np.arange(len(row)) - np.repeat(np.cumsum(extra) - extra, extra)
@@ -148,7 +168,7 @@ class ChunkEncoder(dict):
     pre-token, whose bytes the BPE model takes as printable characters.
     """
 
-    def __init__(self, path: str, memo: int = 1_000_000) -> None:
+    def __init__(self, path: str, memo: int = 1_200_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -187,8 +207,9 @@ class ChunkEncoder(dict):
         return self._pack([t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(self.printable))])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text. A-Z are lowered first, as the tokenizer does, unless that could spell a special token."""
         get = self.__getitem__
-        return [b"".join(map(get, t.split())) for t in texts]
+        return [b"".join(map(get, (t if b"<|" in t else t.lower()).split())) for t in texts]
 
 
 _encoders: dict[tuple[str, int], ChunkEncoder] = {}
@@ -202,7 +223,7 @@ def chunk_encoder(path: str, memo: int) -> ChunkEncoder:
     return _encoders[path, memo]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, ids_per_file: int = 1 << 20, percentile: float = 90.0, id_col: str = "doc_id", text_col: str = "text", memo: int = 1_000_000) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, ids_per_file: int = 1 << 20, percentile: float = 90.0, id_col: str = "doc_id", text_col: str = "text", memo: int = 1_200_000) -> DataFrame:
     """Write the files of all documents in ascending order of id_col; returns the shard table.
 
     Columns: part int, seq int (files are in the order of these two), n_docs long, n_ids long, before long (ids of the part in earlier files), data binary.
