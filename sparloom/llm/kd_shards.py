@@ -2,7 +2,8 @@
 
 A document's size is its UTF-8 bytes plus 16. Equal texts form a group; a group is one unit of the tree unless it is heavier
 than `whole_share` of a shard: then its rows are dealt by a hash of doc_id to as many units as needed. A unit has a place
-in metadata space: log of the text's bytes, language and source (the smallest of its rows), each from 0 to 1.
+in metadata space: language and source (the smallest of its rows) and, if asked for, the log of the text's bytes
+("bytes_at"), each from 0 to 1. Without the bytes, long texts are spread over all shards, which evens out their weight.
 
 The tree splits a node that is to hold k shards in floor(k / 2) and ceil(k / 2), along the dimension in which its units lie
 widest apart, at the weighted quantile that divides its bytes alike; equal values are ordered by the hash of the text. The
@@ -92,7 +93,7 @@ def sort_key(value: Column) -> Column:
     return F.shiftleft((value * float(TOP)).cast("long"), HASH_BITS).bitwiseOR(F.col("tie"))
 
 
-def kd_shards(docs: DataFrame, shards: int = 40, whole_share: float = 0.25, slack: float = 0.01, slot_bins: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def kd_shards(docs: DataFrame, shards: int = 40, whole_share: float = 0.5, slack: float = 0.01, slot_bins: int = 64, dims: tuple[str, ...] = ("lang", "source"), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Per row of docs: doc_id, size long, text_crc32 long, shard int, slot long."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
@@ -114,7 +115,7 @@ def kd_shards(docs: DataFrame, shards: int = 40, whole_share: float = 0.25, slac
     spread = rows.join(F.broadcast(heavy.select("group")), "group").groupBy("group", "part").agg(F.sum("size").alias("weight"))
     units = groups.select("group", F.lit(0).alias("part"), F.col("bytes").alias("weight"), "one", "lang", "source").join(F.broadcast(heavy.select("group")), "group", "left_anti")
     units = units.union(spread.join(groups, "group").select("group", "part", "weight", "one", "lang", "source"))
-    dims = ["bytes_at", "lang", "source"]
+    dims = list(dims)
     units = units.select("group", "part", "weight", F.least(F.lit(1.0), F.log2("one") / 40.0).alias("bytes_at"), "lang", "source", F.shiftrightunsigned(F.xxhash64("group", "part"), 64 - HASH_BITS).alias("tie"))
     units = materialize(units, "units")
     placed = split_units(units, shards, dims, slack).select("group", "part", F.col("node").alias("shard"))
