@@ -93,7 +93,7 @@ def sort_key(value: Column) -> Column:
     return F.shiftleft((value * float(TOP)).cast("long"), HASH_BITS).bitwiseOR(F.col("tie"))
 
 
-def kd_shards(docs: DataFrame, shards: int = 40, whole_share: float = 0.5, slack: float = 0.01, slot_bins: int = 64, dims: tuple[str, ...] = ("lang", "source"), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def kd_shards(docs: DataFrame, shards: int = 40, whole_share: float = 0.25, slack: float = 0.01, slot_bins: int = 64, dims: tuple[str, ...] = ("lang", "source"), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Per row of docs: doc_id, size long, text_crc32 long, shard int, slot long."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
