@@ -4,11 +4,13 @@ A document's size is its number of words between ASCII white space. Sizes are su
 `total` (the sum of all sizes unless given) by weight, and no target exceeds `most` (3) times its source's size: what is
 above is shared again among the others by weight until none is above. A source's rate is its target over its size; each
 of its documents is taken floor(rate) times, and once more if a hash of its doc_id and the seed, read as a number from 0 to
-1, is below the fraction of the rate. Equal inputs and seed give equal mixes, however rows are dealt to tasks.
+1, is below the fraction of the rate. A few large documents can draw a source far from its target, so the draws are made
+for `SEEDS` seeds at once, and each source takes the first of those whose words come nearest. Equal inputs give equal
+mixes, however rows are dealt to tasks.
 
 Weights: sources in the order of their UTF-8 bytes (which is that of code points), null last, weigh `weights` in turn.
 
-Only the table of sources is shuffled for the plan, and documents meet their source's rate in a join that may be split
+Only sums for each source are shuffled for the plan, and documents meet their source's rate in a join that may be split
 by Spark for a hot source. The source table is numbered by ranges and shared out by sums, so it may be of any size.
 
 Defined cases: a null text has size 0. A null source is a source. Sources of size 0 get target 0 and their documents no
@@ -25,6 +27,7 @@ from sparloom.llm.common import WORD_RE, free_name, materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
+SEEDS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -68,23 +71,42 @@ def source_rates(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: f
     return ranked.select("source", "source_size", target.alias("target"), rate.cast("double").alias("rate"))
 
 
-def drawn(ident: Column, text: Column, seed: int) -> Column:
+def name_of(ident: Column, text: Column) -> Column:
+    """What is hashed for a row: its id, or the MD5 of its text where that is null."""
+    return F.coalesce(ident.cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit("")))))
+
+
+def drawn(name: Column, seed: int, pick: Column) -> Column:
     """A number from 0 to 1 (excluded) from the first 52 bits of an MD5."""
-    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(ident.cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit(""))))))
-    return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), pick.cast("string"), name)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def picked(narrow: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+    """rates with `pick`: of the candidate seeds, the first whose words come nearest the source's target.
+
+    narrow: (source, size, name) of all rows; the sums of all candidates are made in one pass, in each task first.
+    """
+    rows = narrow.where("size > 0").join(rates, narrow.source.eqNullSafe(rates.source)).select(rates.source, "size", "name", (F.col("rate") - F.floor("rate")).alias("part"))
+    sums = rows.groupBy("source").agg(*[F.sum(F.when(drawn(F.col("name"), seed, F.lit(k)) < F.col("part"), F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(SEEDS)])
+    near = rates.join(sums.withColumnRenamed("source", "_source"), rates.source.eqNullSafe(F.col("_source")), "left")
+    miss = lambda k: F.abs(F.floor("rate") * F.col("source_size") + F.coalesce(f"s{k}", F.lit(0)) - F.col("target"))
+    best = F.array_min(F.array(*[F.struct(miss(k).alias("miss"), F.lit(k).alias("k")) for k in range(SEEDS)]))["k"]
+    return materialize(near.select("source", "source_size", "target", "rate", best.alias("pick")), "picks")
 
 
 def mixing_plan(docs: DataFrame, seed: int = 42, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, total: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns (doc_id if none are named) and size, source_size, target, rate, copies of each row."""
+    """`keep` columns (doc_id if none are named) and size, source_size, target, rate, pick, copies of each row."""
     keep = [id_col] if keep is None else keep
-    source, size, draw = (free_name(docs, x) for x in ("_source", "_size", "_draw"))
-    rows = docs.select(*keep, F.col(source_col).alias(source), word_count(F.col(text_col)).alias(size), drawn(F.col(id_col), F.col(text_col), seed).alias(draw))
-    sizes = docs.select(F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
-    rates = source_rates(materialize(sizes, "sizes"), weights, most, total).select(*[F.col(c).alias(f"_{c}_of") for c in ("source", "source_size", "target", "rate")])
+    source, size, name = (free_name(docs, x) for x in ("_source", "_size", "_name"))
+    rows = docs.select(*keep, F.col(source_col).alias(source), word_count(F.col(text_col)).alias(size), name_of(F.col(id_col), F.col(text_col)).alias(name))
+    narrow = materialize(docs.select(F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), name_of(F.col(id_col), F.col(text_col)).alias("name")), "narrow", wide=True)
+    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rates = picked(narrow, source_rates(materialize(sizes, "sizes"), weights, most, total), seed)
+    rates = rates.select(*[F.col(c).alias(f"_{c}_of") for c in ("source", "source_size", "target", "rate", "pick")])
     out = rows.join(rates, F.col(source).cast("string").eqNullSafe(F.col("_source_of")))
     whole = F.floor("_rate_of")
-    copies = (whole + (F.col(draw) < F.col("_rate_of") - whole).cast("int")).cast("int")
-    return out.select(*keep, F.col(size).alias("size"), F.col("_source_size_of").alias("source_size"), F.col("_target_of").alias("target"), F.col("_rate_of").alias("rate"), copies.alias("copies"))
+    copies = (whole + (drawn(F.col(name), seed, F.col("_pick_of")) < F.col("_rate_of") - whole).cast("int")).cast("int")
+    return out.select(*keep, F.col(size).alias("size"), F.col("_source_size_of").alias("source_size"), F.col("_target_of").alias("target"), F.col("_rate_of").alias("rate"), F.col("_pick_of").alias("pick"), copies.alias("copies"))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:

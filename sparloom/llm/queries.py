@@ -133,7 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS draw
+         coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, ''))) AS name
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -147,10 +147,13 @@ l AS (SELECT coalesce(arg_min((total - 3.0::DOUBLE * held) / free, r) FILTER (WH
 t AS (
   SELECT source, source_size, CASE WHEN weight * share >= 3.0::DOUBLE * source_size THEN 3.0::DOUBLE * source_size ELSE weight * share END AS target,
          CASE WHEN source_size = 0 THEN 0.0::DOUBLE WHEN weight * share >= 3.0::DOUBLE * source_size THEN 3.0::DOUBLE ELSE weight * share / source_size END AS rate
-  FROM s, l)
-SELECT d.doc_id, d.size, t.source_size, t.target,
-       CAST((floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken
-FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM s, l),
+c AS (
+  SELECT d.doc_id, d.size, t.*, k, floor(rate) + CASE WHEN CAST('0x' || substr(md5('42:' || k || ':' || name), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS copies
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source, range(32) r(k)),
+p AS (SELECT source, arg_min(k, (miss, k)) AS pick FROM (SELECT source, k, abs(sum(copies * size) - min(target)) AS miss FROM c GROUP BY 1, 2) GROUP BY 1)
+SELECT c.doc_id, c.size, c.source_size, c.target, CAST(copies * c.size AS BIGINT) AS taken
+FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source AND c.k = p.pick
 """
 
 #: Windows as joined words; a hit is a word position that an occurrence of a window covers.

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as C
 from sparloom.llm.queries import tokenizer_path
 from test_decontaminate import slow as slow_hits
-from test_mixing import slow_copies, slow_targets
+from test_mixing import slow_copies, slow_pick, slow_targets
 from test_simhash import slow_components, slow_fingerprint
 from test_toxicity import BAD, VOCAB
 
@@ -64,7 +64,9 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     for i in want:
         source[by[i][3]] = source.get(by[i][3], 0) + sizes[i]
     goal = slow_targets(source)
-    mixed = sorted((i for i in want for _ in range(slow_copies(i, by[i][1], goal[by[i][3]] / source[by[i][3]]) if source[by[i][3]] else 0)))
+    rate = {s: goal[s] / n if n else 0 for s, n in source.items()}
+    pick = {s: slow_pick([(i, by[i][1], sizes[i]) for i in want if by[i][3] == s], rate[s], goal[s]) for s in source}
+    mixed = sorted(i for i in want for _ in range(slow_copies(i, by[i][1], rate[by[i][3]], pick[by[i][3]])))
     assert sorted(r.doc_id for r in kept["mixing"]) == mixed
     tk, start, rows = Tokenizer.from_file(tokenizer_path()), 0, []
     for i in mixed:
