@@ -231,8 +231,29 @@ def loss_mask(samples: DataFrame, make_tokenizer, max_length: int = 8192, add_eo
 
 
 def padded(examples: DataFrame, pad_id: int, batch: int) -> DataFrame:
-    """Examples in batches of `batch` in the order of id, padded on the right to the longest of their batch."""
-    rows = examples.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("id")) - 1) / batch))
-    width = F.max(F.size("input_ids")).over(Window.partitionBy("batch"))
-    fill = lambda c, v: F.concat(c, F.array_repeat(F.lit(v), (F.col("width") - F.size(c)).cast("int")))
-    return rows.withColumn("width", width).select("id", "batch", fill("input_ids", pad_id).alias("input_ids"), fill("labels", X.IGNORED).alias("labels"), fill("attention_mask", 0).alias("attention_mask"))
+    """Examples in batches of at most `batch` neighbours in the order of id, padded on the right to the longest of their batch.
+
+    Each task fills batches from its own range of ids, so only the last batch of a range may be short.
+    """
+
+    def run(parts):
+        import pandas as pd
+        from pyspark import TaskContext
+
+        number, left = TaskContext.get().partitionId() << 33, None
+
+        def filled(rows):
+            wide = max(map(len, rows["input_ids"]))
+            fill = lambda column, value: [[*x, *[value] * (wide - len(x))] for x in rows[column]]
+            return pd.DataFrame({"id": rows["id"], "batch": number, "input_ids": fill("input_ids", pad_id), "labels": fill("labels", X.IGNORED), "attention_mask": fill("attention_mask", 0)})
+
+        for part in parts:
+            left = part if left is None else pd.concat([left, part], ignore_index=True)
+            while len(left) >= batch:
+                yield filled(left[:batch])
+                left, number = left[batch:], number + 1
+        if left is not None and len(left):
+            yield filled(left)
+
+    rows = examples.select("id", "input_ids", "labels", "attention_mask").repartitionByRange("id").sortWithinPartitions("id")
+    return rows.mapInPandas(run, "id string, batch long, input_ids array<int>, labels array<int>, attention_mask array<int>")

@@ -323,8 +323,18 @@ def test_loss_mask_and_padding(spark):
     text = "<|user|>\nq\n<|assistant_final|>\na\n"
     assert got["id0"].input_ids == [*map(ord, text), 0] and got["id0"].labels == [-100] * (len(text) - 2) + [97, 10, 0]
     assert R.loss_mask(rows, Points, 5).first().input_ids == [ord(c) for c in text[:5]]
-    wide = R.padded(R.loss_mask(rows, Points, 1000), 7, 2).orderBy("id").collect()
-    assert len({len(r.input_ids) for r in wide}) == 1 and wide[0].input_ids[-1] == 7 and wide[0].labels[-1] == -100 and wide[0].attention_mask[-1] == 0
+    many = R.loss_mask(frame(spark, [sample(i, "q", "a" * (1 + i % 5)) for i in range(23)]), Points, 1000)
+    wide = R.padded(many, 7, 4).collect()
+    size, by = {r.id: len(r.input_ids) for r in many.collect()}, {}
+    for r in wide:
+        by.setdefault(r.batch, []).append(r)
+    assert len(wide) == 23 and max(map(len, by.values())) <= 4
+    for rows in by.values():
+        most = max(size[r.id] for r in rows)
+        for r in rows:
+            n = most - size[r.id]
+            assert len(r.input_ids) == len(r.labels) == len(r.attention_mask) == most
+            assert r.input_ids[size[r.id] :] == [7] * n and r.labels[size[r.id] :] == [-100] * n and sum(r.attention_mask) == size[r.id]
 
 
 def test_measures_are_kept(spark):
