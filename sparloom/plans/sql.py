@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from sparloom.functions.labels import Guardrails, Taxonomy
 from sparloom.operators.reports import load_targets
 
@@ -111,10 +109,6 @@ def hashed(prefix: str) -> str:
     return f"(('0x' || substr(sha256('{prefix}' || group_key), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE)"
 
 
-def rules() -> dict:
-    return json.loads(json.dumps(Guardrails.load().__dict__))
-
-
 def guardrail_sql() -> str:
     g = Guardrails.load()
     any_of = lambda cues: "(" + " OR ".join(f"contains(low, {quoted(c)})" for c in cues) + ")"
@@ -127,4 +121,4 @@ c AS (SELECT *, [x FOR x IN due IF NOT list_contains(kept, x)] AS added FROM b),
 d AS (SELECT id, framed, list_concat(kept, added) AS every, added, dropped0, doms,
   CASE WHEN framed THEN [{quoted(g.frame_domain)}] WHEN len(cued) > 0 THEN cued[1:2] ELSE doms END AS final_doms FROM c)
 SELECT id, array_to_string(every[1:3], ',') AS capabilities, array_to_string(final_doms, ',') AS domains, array_to_string(list_concat(dropped0, every[4:]), ',') AS dropped, array_to_string(added, ',') AS added, framed AS coding_frame,
-  (len(dropped0) > 0 OR len(every) > 3 OR len(added) > 0 OR final_doms <> doms) AS applied FROM d""").replace("WITH ", "WITH ", 1)
+  (len(dropped0) > 0 OR len(every) > 3 OR len(added) > 0 OR final_doms <> doms) AS applied FROM d""")
