@@ -7,7 +7,7 @@ paired with the peaks of the next `ahead` frames; a pair is the number (f1 << 20
 with the time code of its first peak. The transform goes over a payload in runs of frames, so a long text needs no more
 memory than its samples and pairs.
 
-Defined cases: a null text is empty, its payload is `unit` bytes of 255, which has no peaks. Equal texts give equal values.
+Defined cases: a null text is empty, its payload is `unit` bytes of 255. Equal texts give equal values.
 Rows with the same doc_id, and equal rows, each get a row; an empty table gives an empty result.
 """
 
