@@ -2,9 +2,10 @@
 
 A text is scanned for assignments, access keys and long hex runs. Then its encoded stretches are unwrapped: percent codes,
 Unicode escapes, base64, and gzip, zlib, bzip2 or xz data inside base64. Each decoded layer joins a worklist, is
-scanned by the same rules and unwrapped again, until no new layer comes up; a layer whose text was seen before under the
-same document is not taken again, so cycles end. Each decoded character keeps the stretch of the root text that it came
-from, so a finding in any layer has a span there; what was compressed maps to its whole encoded stretch.
+scanned by the same rules and unwrapped again, until no new layer comes up. A layer is left out only if the same stretch of
+the root text has given the same text before, so cycles end and equal stretches at several places are all reported. Each
+decoded character keeps the stretch of the root text that it came from, so a finding in any layer has a span there; what was
+compressed maps to its whole encoded stretch, and what is inside equal compressed texts is worked out once for a document.
 
 Memory: decompression stops at `max_layer` characters of output; such a stretch is reported whole, as kind `packed`.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -41,6 +43,7 @@ ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f
 ONE_ESCAPE = re.compile(r"\\(?:u\{([0-9A-Fa-f]+)\}|[uUx]([0-9A-Fa-f]+))")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 MAGIC = {b"\x1f\x8b": "gzip", b"x\x01": "zlib", b"x\x5e": "zlib", b"x\x9c": "zlib", b"x\xda": "zlib", b"BZh": "bzip2", b"\xfd7zXZ": "xz"}
+PACKED = frozenset(MAGIC.values())
 MAX_LAYER = 32 << 20
 
 
@@ -178,21 +181,45 @@ def unwrapped(layer: Layer, limit: int) -> Iterator[tuple[str, Layer | tuple[int
             yield "base64", layer.inner(inside, m.start() + (last - sizes) * 4 // 3, np.minimum(m.start() - (-last * 4 // 3), m.end()))
 
 
+def contents(text: str, limit: int) -> set[tuple[int, str]]:
+    """(kind, codings) of what a compressed text holds; all of it has one stretch in the root, so a text is taken once."""
+    found, seen, work = set(), {text}, [(Layer(text), "")]
+    while work:
+        layer, path = work.pop()
+        found |= {(k, path) for _, k, _ in base_spans(layer.text)}
+        for coding, inner in unwrapped(layer, limit):
+            way = f"{path}>{coding}".lstrip(">")
+            if coding == "packed":
+                found.add((3, way))
+            elif inner.text not in seen:
+                seen.add(inner.text)
+                work.append((inner, way))
+    return found
+
+
 def scan(text: str, limit: int = MAX_LAYER) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, str]]]:
     """Base spans (start, kind, end), and those of the layers inside (start, kind, end, codings from the outside in)."""
     base = base_spans(text)
-    found, seen, work = set(), {text}, [(Layer(text), "")]
+    found, seen, inside, work = set(), {(0, len(text), text)}, {}, [(Layer(text), "")]
     while work:
         layer, path = work.pop()
         if path:
             found |= {((r := layer.root(a, b))[0], k, r[1], path) for a, k, b in base_spans(layer.text)}
         for coding, inner in unwrapped(layer, limit):
+            way = f"{path}>{coding}".lstrip(">")
             if coding == "packed":
                 a, b = layer.root(*inner)
-                found.add((a, 3, b, f"{path}>{coding}".lstrip(">")))
-            elif inner.text not in seen:
-                seen.add(inner.text)
-                work.append((inner, f"{path}>{coding}".lstrip(">")))
+                found.add((a, 3, b, way))
+                continue
+            a, b = inner.root(0, len(inner.text))
+            if coding in PACKED:
+                key = hashlib.sha256(inner.text.encode()).digest()
+                if key not in inside:
+                    inside[key] = contents(inner.text, limit)
+                found |= {(a, k, b, f"{way}>{p}".rstrip(">")) for k, p in inside[key]}
+            elif (a, b, inner.text) not in seen:
+                seen.add((a, b, inner.text))
+                work.append((inner, way))
     return base, sorted(found)
 
 

@@ -65,6 +65,18 @@ def test_mapping_points_at_the_encoded_part():
     assert wide[a:b] == "token=abcd1234"
 
 
+@pytest.mark.parametrize("path", ["url", "unicode", "base64", "gzip", "zlib>url", "base64>gzip"])
+def test_equal_encoded_secrets_are_found_at_every_place(path):
+    text = SECRET
+    for k in reversed(path.split(">")):
+        text = WRAPS[k](text)
+    root = f"{text} x {text}\n\n{text}"
+    places = [m.start() for m in re.finditer(re.escape(text), root)]
+    hits = [(a, b) for a, k, b, p in S.scan(root)[1] if k == 0 and p == path]
+    assert len(hits) == 3
+    assert all(at <= a < b <= at + len(text) for at, (a, b) in zip(places, hits))
+
+
 def test_cycles_bombs_and_damage():
     assert S.scan("%2525252525")[1] == []
     assert S.scan("aGVsbG8gd29ybGQhIQ== " * 500)[1] == []
