@@ -1,7 +1,8 @@
 """Secret scan with a recursive decoding worklist (operator 7).
 
 A text is scanned for assignments, access keys and long hex runs. Then its encoded stretches are unwrapped: percent codes,
-Unicode escapes, base64, and gzip, zlib, bzip2 or xz data inside base64. Each decoded layer joins a worklist, is
+Unicode escapes, base64, and gzip, zlib, bzip2 or xz data inside base64. Codes are decoded together with the words
+beside them, so an assignment may have some of its parts encoded and spaces between them. Each decoded layer joins a worklist, is
 scanned by the same rules and unwrapped again, until no new layer comes up. A layer is left out only if the same stretch of
 the root text has given the same text before, so cycles end and equal stretches at several places are all reported. Each
 decoded character keeps the stretch of the root text that it came from, so a finding in any layer has a span there; what was
@@ -25,6 +26,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 ONE_ESCAPE = re.compile(r"\\(?:u\{([0-9A-Fa-f]+)\}|[uUx]([0-9A-Fa-f]+))")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+RUN = re.compile(r"\S+")
+LINE_END = re.compile(r"[\x20\t]*(?:\r\n|\n|\r)[\x20\t]*")
 MAGIC = {b"\x1f\x8b": "gzip", b"x\x01": "zlib", b"x\x5e": "zlib", b"x\x9c": "zlib", b"x\xda": "zlib", b"BZh": "bzip2", b"\xfd7zXZ": "xz"}
 PACKED = frozenset(MAGIC.values())
 MAX_LAYER = 32 << 20
@@ -60,10 +64,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text with the root span of each character; None stands for the root itself."""
+    """A text with the root span of each character; None stands for the root itself.
+
+    `known` are base spans of the layer around this one, in its characters, and `at` and `to` the stretch there of each
+    character here: a layer of codes holds their neighbourhood too, and what was found there without them isn't found again.
+    """
 
     def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> None:
         self.text, self.starts, self.ends = text, starts, ends
+        self.known: set[tuple[int, int, int]] = set()
+        self.at = self.to = None
 
     def root(self, a: int, b: int) -> tuple[int, int]:
         """The root span of characters a to b; they may come out of one stretch."""
@@ -77,20 +87,75 @@ class Layer:
             return Layer(text, a, b)
         return Layer(text, self.starts[a], self.ends[b - 1])
 
+    def spans(self) -> list[tuple[int, int, int]]:
+        """Base spans of the text, but for those that stand in the layer around it as they are, with no code beside them."""
+        found = base_spans(self.text)
+        if not self.known:
+            return found
+        plain = lambda i: not 0 <= i < len(self.text) or self.to[i] - self.at[i] == 1
+        return [(a, k, b) for a, k, b in found if (int(self.at[a]), k, int(self.to[b - 1])) not in self.known or not (plain(a - 1) and plain(b))]
+
 
-def joined(layer: Layer, at: int, end: int, pieces: list[tuple[int, int, list[tuple[str, int, int]]]]) -> Layer:
-    """The stretch at:end with each piece (start, end, decoded characters and their stretches) put in its place."""
-    text, a, b, here = [], [], [], at
-    for start, stop, chars in [*pieces, (end, end, [])]:
-        text.append(layer.text[here:start])
-        a += range(here, start)
-        b += range(here + 1, start + 1)
-        for c, x, y in chars:
-            text.append(c)
-            a.append(x)
-            b.append(y)
-        here = stop
-    return layer.inner("".join(text), np.array(a, np.int64), np.array(b, np.int64))
+def decoded(layer: Layer, codes: re.Pattern, decode) -> Iterator[Layer]:
+    """Layers with all codes of a part decoded: all that a match or a base64 run with one of the codes in it may cover.
+
+    An assignment has up to two stretches of spaces in it, so a part is the run without white space around the codes and two
+    runs more on each side, over spaces only; and over line ends, as base64 is wrapped, any number of runs. Parts that
+    share a run are one.
+    """
+    text = layer.text
+    found = list(codes.finditer(text))
+    if not found:
+        return
+    known = set(base_spans(text))
+    runs = [m.span() for m in RUN.finditer(text)]
+    gaps = [text[a:b] for (_, a), (b, _) in pairwise(runs)]
+    near, wrap = [not g.strip(" ") for g in gaps], [LINE_END.fullmatch(g) is not None for g in gaps]
+
+    last_line = list(range(len(runs)))
+    for i in range(len(gaps) - 1, -1, -1):
+        if wrap[i]:
+            last_line[i] = last_line[i + 1]
+
+    def right_of(i: int) -> int:
+        return last_line[i] if last_line[i] > i else i + (i < len(gaps) and near[i]) * (1 + (i + 1 < len(gaps) and near[i + 1]))
+
+    def left_of(i: int) -> int:
+        if i and wrap[i - 1]:
+            while i and wrap[i - 1]:
+                i -= 1
+            return i
+        return i - (i > 0 and near[i - 1]) * (1 + (i > 1 and near[i - 2]))
+
+    parts: list[list[int]] = []
+    i, last = 0, -1
+    for m in found:
+        while runs[i][1] <= m.start():
+            i += 1
+        if i == last:
+            continue
+        last = i
+        left = i if parts and parts[-1][1] >= i else left_of(i)
+        right = right_of(i)
+        if parts and left <= parts[-1][1]:
+            parts[-1][1] = max(parts[-1][1], right)
+        else:
+            parts.append([left, right])
+    k = 0
+    for left, right in parts:
+        here, end = runs[left][0], runs[right][1]
+        out, a, b = [], [], []
+        while k < len(found) and found[k].start() < end:
+            m = found[k]
+            chars = decode(m[0], m.start())
+            out += [text[here : m.start()], "".join(c for c, _, _ in chars)]
+            a += [np.arange(here, m.start()), np.array([x for _, x, _ in chars], np.int64)]
+            b += [np.arange(here + 1, m.start() + 1), np.array([y for _, _, y in chars], np.int64)]
+            here, k = m.end(), k + 1
+        at, to = np.concatenate([*a, np.arange(here, end)]), np.concatenate([*b, np.arange(here + 1, end + 1)])
+        inner = layer.inner("".join([*out, text[here:end]]), at, to)
+        inner.known, inner.at, inner.to = known, at, to
+        yield inner
 
 
 def utf8_chars(data: bytes, offset: int, step: int) -> list[tuple[str, int, int]]:
@@ -115,24 +180,6 @@ def escaped_chars(run: str, offset: int) -> list[tuple[str, int, int]]:
     return [("\ufffd" if "\ud800" <= c <= "\udfff" else c, a, b) for c, a, b in out]
 
 
-def stretches(text: str, codes: re.Pattern, decode) -> Iterator[tuple[int, int, list]]:
-    """Runs without white space that hold codes: (start, end, pieces)."""
-    here: list = []
-    start = end = -1
-    for m in codes.finditer(text):
-        if m.start() >= end:
-            if here:
-                yield start, end, here
-            start, end, here = m.start(), m.end(), []
-            while start and not text[start - 1].isspace():
-                start -= 1
-            while end < len(text) and not text[end].isspace():
-                end += 1
-        here.append((m.start(), m.end(), decode(m[0], m.start())))
-    if here:
-        yield start, end, here
-
-
 def unpack(data: bytes, kind: str, limit: int) -> bytes | None:
     """Decompressed data; None if it is damaged. Over `limit`: limit + 1 bytes."""
     try:
@@ -155,11 +202,11 @@ def unwrapped(layer: Layer, limit: int) -> Iterator[tuple[str, Layer | tuple[int
     """(coding, layer inside), or ("packed", stretch) for what would be over the limit."""
     text = layer.text
     if "%" in text:
-        for a, b, pieces in stretches(text, PERCENT, lambda run, at: utf8_chars(bytes.fromhex(run.replace("%", "")), at, 3)):
-            yield "url", joined(layer, a, b, pieces)
+        for inside in decoded(layer, PERCENT, lambda run, at: utf8_chars(bytes.fromhex(run.replace("%", "")), at, 3)):
+            yield "url", inside
     if "\\" in text:
-        for a, b, pieces in stretches(text, ESCAPE, escaped_chars):
-            yield "unicode", joined(layer, a, b, pieces)
+        for inside in decoded(layer, ESCAPE, escaped_chars):
+            yield "unicode", inside
     for m in BASE64.finditer(text):
         core = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         if len(core) % 4 == 1:
@@ -186,7 +233,7 @@ def contents(text: str, limit: int) -> set[tuple[int, str]]:
     found, seen, work = set(), {text}, [(Layer(text), "")]
     while work:
         layer, path = work.pop()
-        found |= {(k, path) for _, k, _ in base_spans(layer.text)}
+        found |= {(k, path) for _, k, _ in layer.spans()}
         for coding, inner in unwrapped(layer, limit):
             way = f"{path}>{coding}".lstrip(">")
             if coding == "packed":
@@ -204,7 +251,7 @@ def scan(text: str, limit: int = MAX_LAYER) -> tuple[list[tuple[int, int, int]],
     while work:
         layer, path = work.pop()
         if path:
-            found |= {((r := layer.root(a, b))[0], k, r[1], path) for a, k, b in base_spans(layer.text)}
+            found |= {((r := layer.root(a, b))[0], k, r[1], path) for a, k, b in layer.spans()}
         for coding, inner in unwrapped(layer, limit):
             way = f"{path}>{coding}".lstrip(">")
             if coding == "packed":

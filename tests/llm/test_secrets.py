@@ -77,6 +77,25 @@ def test_equal_encoded_secrets_are_found_at_every_place(path):
     assert all(at <= a < b <= at + len(text) for at, (a, b) in zip(places, hits))
 
 
+@pytest.mark.parametrize(
+    "text, path, part",
+    [
+        (r'{\u0022password\u0022: \u0022hunter2hunter2\u0022}', "unicode", r"password\u0022: \u0022hunter2hunter2"),
+        ("a password%3D hunter2hunter2 b", "url", "password%3D hunter2hunter2"),
+        ("a api_key%22: %22abcdefgh1234 b", "url", "api_key%22: %22abcdefgh1234"),
+        (r"a token%22 \u003d  abcdefgh1234 b", "unicode>url", r"token%22 \u003d  abcdefgh1234"),
+    ],
+)
+def test_assignments_with_codes_and_spaces(text, path, part):
+    base, inner = S.scan(text)
+    assert not base and (text.index(part), 0, text.index(part) + len(part), path) in inner
+
+
+def test_plain_findings_are_not_repeated_by_a_layer_of_codes():
+    base, inner = S.scan(SECRET + " a%20b \\u0041 " + "0a" * 20)
+    assert len(base) == 2 and inner == []
+
+
 def test_cycles_bombs_and_damage():
     assert S.scan("%2525252525")[1] == []
     assert S.scan("aGVsbG8gd29ybGQhIQ== " * 500)[1] == []
