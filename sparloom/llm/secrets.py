@@ -2,7 +2,8 @@
 
 A text is scanned for assignments, access keys and long hex runs. Then its encoded stretches are unwrapped: percent codes,
 Unicode escapes, base64, and gzip, zlib, bzip2 or xz data inside base64. Codes are decoded together with the words
-beside them, so an assignment may have some of its parts encoded and spaces between them. Each decoded layer joins a worklist, is
+beside them, so an assignment may have some of its parts encoded and spaces between them. Base64 is joined over line ends
+and read from every start, and of compressed data all members are read, and what comes before damage. Each decoded layer joins a worklist, is
 scanned by the same rules and unwrapped again, until no new layer comes up. A layer is left out only if the same stretch of
 the root text has given the same text before, so cycles end and equal stretches at several places are all reported. Each
 decoded character keeps the stretch of the root text that it came from, so a finding in any layer has a span there; what was
@@ -18,7 +19,6 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -43,10 +43,17 @@ CUES = ("passw", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 ONE_ESCAPE = re.compile(r"\\(?:u\{([0-9A-Fa-f]+)\}|[uUx]([0-9A-Fa-f]+))")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of base64 that follow each other are joined; any of them may be short.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+|[A-Za-z0-9+/_-]++(?=~[A-Za-z0-9+/_-]))(?:~[A-Za-z0-9+/_-]++)*+={0,2}".replace("~", r"[\x20\t]*+(?:\r\n|\n|\r)[\x20\t]*+"))
+LINE = re.compile("[A-Za-z0-9+/_-]+")
+STANDARD = str.maketrans("-_", "+/")
+#: Findings and encoded stretches consist of these bytes, and none has fewer than LEAST.
+LEAST = 14
+READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{14,}")
 RUN = re.compile(r"\S+")
 LINE_END = re.compile(r"[\x20\t]*(?:\r\n|\n|\r)[\x20\t]*")
 MAGIC = {b"\x1f\x8b": "gzip", b"x\x01": "zlib", b"x\x5e": "zlib", b"x\x9c": "zlib", b"x\xda": "zlib", b"BZh": "bzip2", b"\xfd7zXZ": "xz"}
+PACKED_START = re.compile(b"|".join(map(re.escape, MAGIC)))
 PACKED = frozenset(MAGIC.values())
 MAX_LAYER = 32 << 20
 
@@ -180,22 +187,71 @@ def escaped_chars(run: str, offset: int) -> list[tuple[str, int, int]]:
     return [("\ufffd" if "\ud800" <= c <= "\udfff" else c, a, b) for c, a, b in out]
 
 
-def unpack(data: bytes, kind: str, limit: int) -> bytes | None:
-    """Decompressed data; None if it is damaged. Over `limit`: limit + 1 bytes."""
-    try:
-        make = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[kind]()
-        return make.decompress(data, limit + 1)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
+def member(data: memoryview, kind: str, limit: int) -> tuple[bytes, int]:
+    """What the member at the start inflates to, and the bytes it takes; 0 if it is cut off, damaged or over `limit`.
 
-
-def readable(data: bytes) -> str | None:
-    """Text if the bytes are UTF-8 without control characters other than white space."""
+    Of damaged data there is what comes before the damage. Over `limit`: limit + 1 bytes.
+    """
+    make = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[kind]()
+    out, size, step = [], 0, 256
     try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        for at in range(0, len(data), step):
+            out.append(make.decompress(data[at : at + step], limit + 1 - size))
+            size += len(out[-1])
+            if size > limit:
+                break
+            if make.eof:
+                return b"".join(out), min(at + step, len(data)) - len(make.unused_data)
+    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+        pass
+    return b"".join(out), 0
+
+
+def unpack(data: bytes, start: int, limit: int) -> tuple[bytes, int]:
+    """What all members from start on inflate to, and where they end; -1 if the last is cut off, damaged or over `limit`."""
+    view, out, size, at = memoryview(data), [], 0, start
+    while m := PACKED_START.match(data, at):
+        got, used = member(view[at:], MAGIC[m[0]], limit - size)
+        out.append(got)
+        size += len(got)
+        if not used:
+            return b"".join(out), at if at > start and not got else -1
+        at += used
+        while data[at : at + 4] == bytes(4):  # padding between streams of xz
+            at += 4
+    return b"".join(out), at
+
+
+def in_base64(layer: Layer, core: str, at: np.ndarray, end: int, limit: int) -> Iterator[tuple[str, Layer | tuple[int, int]]]:
+    """What the characters of base64, which stand at the places `at`, hold; what goes on to their end maps to `end`.
+
+    Path signs or letters may stand before or after a code, so all four alignments are decoded; of each, all readable parts
+    and all compressed data are taken, whatever is around them.
+    """
+    for shift in range(4):
+        n = len(core) - shift
+        n -= n % 4 == 1
+        data = binascii.a2b_base64(core[shift : shift + n] + "=" * (-n % 4))
+        if len(data) < LEAST - 2:
+            break
+        to = lambda j: int(at[min(shift - (-j * 4 // 3), len(core)) - 1]) + 1
+        done = 0
+        for m in PACKED_START.finditer(data):
+            if m.start() < done or m.start() % 3:  # a code begins with a group
+                continue
+            plain, stop = unpack(data, m.start(), limit)
+            if len(plain) < LEAST:
+                continue
+            a, b = int(at[shift + m.start() // 3 * 4]), to(stop) if 0 <= stop < len(data) else end
+            if len(plain) > limit:
+                yield "packed", (a, b)
+            else:
+                inside = plain.decode("utf-8", "replace")
+                yield MAGIC[m[0]], layer.inner(inside, np.full(len(inside), a), np.full(len(inside), b))
+                done = max(done, stop)
+        for m in READABLE.finditer(data):
+            j = np.arange(m.start(), m.end())
+            yield "base64", layer.inner(m[0].decode(), at[shift + j * 4 // 3], at[np.minimum(shift - (-(j + 1) * 4 // 3), len(core)) - 1] + 1)
 
 
 def unwrapped(layer: Layer, limit: int) -> Iterator[tuple[str, Layer | tuple[int, int]]]:
@@ -208,24 +264,14 @@ def unwrapped(layer: Layer, limit: int) -> Iterator[tuple[str, Layer | tuple[int
         for inside in decoded(layer, ESCAPE, escaped_chars):
             yield "unicode", inside
     for m in BASE64.finditer(text):
-        core = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(core) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(core + "=" * (-len(core) % 4))
-        except binascii.Error:
+        lines = [x.span() for x in LINE.finditer(m[0])]
+        if sum(b - a for a, b in lines) < 16:
             continue
-        kind = next((k for magic, k in MAGIC.items() if data.startswith(magic)), None)
-        if kind and (plain := unpack(data, kind, limit)):
-            if len(plain) > limit:
-                yield "packed", (m.start(), m.end())
-            else:
-                inside = plain.decode("utf-8", "replace")
-                yield kind, layer.inner(inside, np.full(len(inside), m.start()), np.full(len(inside), m.end()))
-        elif (inside := readable(data)) is not None:
-            sizes = np.fromiter((len(c.encode()) for c in inside), np.int64, len(inside))
-            last = np.cumsum(sizes)
-            yield "base64", layer.inner(inside, m.start() + (last - sizes) * 4 // 3, np.minimum(m.start() - (-last * 4 // 3), m.end()))
+        # lines that only follow each other are codes of their own
+        for part in [lines, *([x] for x in lines if len(lines) > 1 and x[1] - x[0] >= 16)]:
+            core = "".join(m[0][a:b] for a, b in part).translate(STANDARD)
+            at = m.start() + np.concatenate([np.arange(a, b) for a, b in part])
+            yield from in_base64(layer, core, at, m.end() if part[-1] == lines[-1] else int(at[-1]) + 1, limit)
 
 
 def contents(text: str, limit: int) -> set[tuple[int, str]]:

@@ -1,6 +1,8 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import zlib
@@ -96,6 +98,49 @@ def test_plain_findings_are_not_repeated_by_a_layer_of_codes():
     assert len(base) == 2 and inner == []
 
 
+@pytest.mark.parametrize("before", ["/redirect/", "a/", "x-", "_", "ab+", "v1.0/abc/", "/"])
+@pytest.mark.parametrize("path", ["base64", "gzip", "zlib"])
+def test_base64_after_other_signs(before, path):
+    code = WRAPS[path](SECRET)
+    text = f"get {before}{code} end"
+    at = text.index(code)
+    assert any(k == 0 and p == path and at <= a < b <= at + len(code) for a, k, b, p in S.scan(text)[1])
+
+
+@pytest.mark.parametrize("after", ["/next", "-x", "zz"])
+def test_base64_before_other_signs(after):
+    code = WRAPS["base64"](SECRET + "!").rstrip("=")
+    assert (4, 0, "base64") in {(a, k, p) for a, k, _, p in S.scan(f"get {code}{after}")[1]}
+
+
+@pytest.mark.parametrize("width, end", [(10, "\n"), (64, "\n"), (76, "\r\n"), (76, "\n    ")])
+@pytest.mark.parametrize("path", ["base64", "gzip", "zlib>base64"])
+def test_wrapped_base64_is_joined(width, end, path):
+    rng = random.Random(4)
+    text = " ".join(str(rng.random()) for _ in range(80)) + " " + SECRET + " tail"
+    for k in reversed(path.split(">")):
+        text = WRAPS[k](text)
+    root = "see\n\n" + end.join(text[i : i + width] for i in range(0, len(text), width)) + "\n\nend"
+    hits = [(a, b) for a, k, b, p in S.scan(root)[1] if k == 0 and p == path]
+    assert hits and all(5 <= a < b <= len(root) - 5 for a, b in hits)
+
+
+def test_wrapped_secret_maps_to_both_lines():
+    code = WRAPS["base64"]("-" * 40 + SECRET + "!" * 3)
+    root = code[:76] + "\n" + code[76:]
+    spans = [(a, b) for a, _, b, _ in S.scan(root)[1]]
+    # 40 bytes are 53 characters and a third; the secret ends with byte 63, in character 84, behind the line end
+    assert (53, 85) in spans
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_all_members_are_read(pack):
+    code = base64.b64encode(pack(b"first part, nothing in it ") + pack(SECRET.encode())).decode()
+    assert any((a, k, b) == (2, 0, 2 + len(code)) for a, k, b, _ in S.scan("x " + code)[1])
+    cut = base64.b64encode(gzip.compress((SECRET + " " + "".join(map(str, range(900)))).encode())[:-300]).decode()
+    assert any(k == 0 for _, k, _, _ in S.scan(cut)[1])
+
+
 def test_cycles_bombs_and_damage():
     assert S.scan("%2525252525")[1] == []
     assert S.scan("aGVsbG8gd29ybGQhIQ== " * 500)[1] == []
