@@ -11,6 +11,10 @@ PMI(t,e) = log2(D(t,e) N / (D(t) D(e))), at most IC(e). A term discloses e if PM
 at least `support` different contexts, so copies of one text are no evidence. In every context of e such terms are
 spans of kind `term`; `sanitized` puts the kind in the place of a span (a term with digits becomes [NUMBER]).
 
+Scope: with `context`, a context also ends at the next match of the kind, and terms are spans in contexts only. With `row`,
+which the query uses, a context is cut by distance alone, and a term that discloses e is a span at all its places in every
+row that holds e, but for places inside a base span.
+
 D(t) is counted for terms that would disclose something if they occurred in contexts only; D(t) is never less than that,
 so no term is lost.
 
@@ -60,10 +64,10 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(rows: DataFrame, text: str) -> DataFrame:
+def base_spans(rows: DataFrame, text: str, scope: str = "context") -> DataFrame:
     """rows with a column for each base kind: array of (kind, start, end, value, before, after); text is dropped.
 
-    before and after are what stands within WINDOW characters of the span, up to the next match of the kind.
+    before and after are what stands within WINDOW characters of the span; with scope `context`, up to the next match of the kind.
     """
     others = [c for c in rows.columns if c != text]
     t = F.col(text)
@@ -88,7 +92,31 @@ def base_spans(rows: DataFrame, text: str) -> DataFrame:
         cut = r"'^[\\p{L}\\p{N}]+'" if left else r"'[\\p{L}\\p{N}]+$'"
         return f"if(length({gap}) > {WINDOW}, regexp_replace({near}({gap}, {WINDOW}), {cut}, ''), {gap})"
 
-    return placed.select(*others, *[spans(k).alias(k) for k in PATTERNS])
+    if scope == "context":
+        return placed.select(*others, *[spans(k).alias(k) for k in PATTERNS])
+
+    # what is cut to one character over the window still tells where the window ends
+    ends = [F.expr(f"transform({c}_{k}, y -> {near}(y, {WINDOW + 1}))").alias(f"{c}{near[0]}_{k}") for k in PATTERNS for c in "gm" for near in ("left", "right")]
+
+    def sure(k: str) -> Column:
+        every = F.expr(f"transform(p_{k}, (p, i) -> named_struct('kind', '{k}', 'start', p.a, 'end', p.b, 'value', m_{k}[i], 'i', i))")
+        return F.filter(every, lambda x: valid(k, x["value"])).alias(f"v_{k}")
+
+    whole = [sure(k) for k in PATTERNS]
+
+    def beside(k: str, left: bool) -> str:
+        """WINDOW characters beside span x, without a word that the window cuts; a match has two characters at least."""
+        if left:
+            pairs = f"right(concat(array_join(transform(sequence(greatest(x.i - {WINDOW // 2 + 1}, 0), x.i), j -> concat(if(j > greatest(x.i - {WINDOW // 2 + 1}, 0), mr_{k}[j - 1], ''), gr_{k}[j])), '')), {WINDOW + 1})"
+            return cut_at(pairs, "right", r"'^[\\p{L}\\p{N}]+'")
+        pairs = f"left(array_join(transform(sequence(x.i, least(x.i + {WINDOW // 2 + 1}, size(m_{k}) - 1)), j -> concat(if(j > x.i, ml_{k}[j], ''), gl_{k}[j + 1])), ''), {WINDOW + 1})"
+        return cut_at(pairs, "left", r"'[\\p{L}\\p{N}]+$'")
+
+    def cut_at(side: str, near: str, word: str) -> str:
+        return f"transform(array({side}), s -> if(length(s) > {WINDOW}, regexp_replace({near}(s, {WINDOW}), {word}, ''), s))[0]"
+
+    placed = placed.select("*", *ends, *whole)
+    return placed.select(*others, *[F.expr(f"transform(v_{k}, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'value', x.value, 'before', {beside(k, True)}, 'after', {beside(k, False)}))").alias(k) for k in PATTERNS])
 
 
 #: Terms of a context with their places in it.
@@ -96,6 +124,19 @@ TERMS = rf"""aggregate(split(SIDE, '{BOUNDARY}', -1), named_struct('at', 0L, 'ou
   (s, p) -> named_struct('at', s.at + length(p), 'out', if(p rlike '{TERM}', concat(s.out, array(named_struct('t', lower(p), 'a', s.at, 'b', s.at + length(p)))), s.out)), s -> s.out)""".replace("\\", "\\\\")
 
 
+def all_places(texts: DataFrame, text: str, terms: str) -> DataFrame:
+    """texts with column `terms` (array of strings) replaced by the spans of these terms in the text, which is dropped."""
+    w, at = free_name(texts, "_w"), free_name(texts, "_at")
+    others = [c for c in texts.columns if c not in (text, terms)]
+    blocks = f"sequence(0, (size({w}) - 1) div {BLOCK})"
+    cut = texts.select(*others, terms, F.split(text, BOUNDARY, -1).alias(w))
+    cut = cut.select("*", F.expr(f"aggregate(transform({blocks}, b -> aggregate(slice({w}, b * {BLOCK} + 1, {BLOCK}), 0L, (s, x) -> s + length(x))), array(0L), (s, x) -> concat(s, array(element_at(s, -1) + x)))").alias(at))
+    spans = f"""flatten(transform({blocks}, b -> aggregate(slice({w}, b * {BLOCK} + 1, {BLOCK}),
+        named_struct('at', {at}[b], 'out', cast(array() as array<struct<kind:string,start:bigint,end:bigint,value:string>>)),
+        (s, x) -> named_struct('at', s.at + length(x), 'out', if(array_contains({terms}, lower(x)), concat(s.out, array(named_struct('kind', 'term', 'start', s.at, 'end', s.at + length(x), 'value', lower(x)))), s.out)), s -> s.out)))"""
+    return cut.select(*others, F.expr(spans).alias(terms))
+
+
 def disclosing_terms(rows: DataFrame, mentions: DataFrame, text: str, support: int, disclosure: float) -> DataFrame:
     """(entity, term) pairs that pass; mentions has (key, entity, context, term)."""
     n = rows.count()
@@ -114,11 +155,11 @@ def disclosing_terms(rows: DataFrame, mentions: DataFrame, text: str, support: i
     return maybe.join(whole, "term").where(passes(F.col("whole"))).select("entity", "term")
 
 
-def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, disclosure: float = 0.7) -> DataFrame:
+def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, disclosure: float = 0.7, scope: str = "context") -> DataFrame:
     """Per row of docs: doc_id, row_key long, base and terms: arrays of (kind, start, end, value)."""
     ident, key, text = (free_name(docs, x) for x in ("_doc", "_key", "_text"))
     rows = docs.select(F.col(id_col).alias(ident), row_key(docs).alias(key), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text))
-    found = base_spans(rows, text)
+    found = base_spans(rows, text, scope)
     found = materialize(found.select(F.col(ident).alias("doc_id"), F.col(key).alias("key"), F.concat(*PATTERNS).alias("found")), "base", wide=True)
     held = found.where(F.size("found") > 0).groupBy("key").agg(F.first("found").alias("found"), F.count("*").alias("rows"))
     mention = held.select("key", "rows", F.explode("found").alias("x"))
@@ -130,10 +171,19 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     each = terms.select("entity", "context", "term", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"), "key")
     each = each.select("entity", "context", "term", F.xxhash64("key", "copy").alias("key"))
     telling = disclosing_terms(rows, each, text, support, disclosure)
-    marked = terms.join(telling, ["entity", "term"]).groupBy("key").agg(F.collect_set(F.struct(F.lit("term").alias("kind"), F.col("a").alias("start"), F.col("b").alias("end"), F.col("term").alias("value"))).alias("terms"))
+    if scope == "row":
+        told = telling.groupBy("entity").agg(F.collect_list("term").alias("terms"))
+        wanted = mention.select("key", "entity").distinct().join(told, "entity").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+        # only rows that may hold a base span are joined with their terms
+        hit = rows.where(F.greatest(*[h(F.col(text)).cast("int") for h in HINTS.values()]) == 1).select(F.col(key).alias("key"), text)
+        placed = all_places(hit.join(wanted, "key"), text, "terms")
+        marked = placed.groupBy("key").agg(F.first("terms").alias("terms"))
+    else:
+        marked = terms.join(telling, ["entity", "term"]).groupBy("key").agg(F.collect_set(F.struct(F.lit("term").alias("kind"), F.col("a").alias("start"), F.col("b").alias("end"), F.col("term").alias("value"))).alias("terms"))
     base = F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")
-    return found.join(marked, "key", "left").select("doc_id", F.col("key").alias("row_key"), base.alias("base"), F.coalesce("terms", none).alias("terms"))
+    kept = F.filter("terms", lambda t: ~F.exists("found", lambda x: (x["start"] <= t["start"]) & (t["end"] <= x["end"]))) if scope == "row" else F.col("terms")
+    return found.join(marked, "key", "left").select("doc_id", F.col("key").alias("row_key"), base.alias("base"), F.coalesce(kept, none).alias("terms"))
 
 
 def sanitized(text: Column, spans: Column) -> Column:

@@ -60,7 +60,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii_spans(table(spark, sf_dir, "documents"))
+    found = pii_spans(table(spark, sf_dir, "documents"), scope="row")
     return found.select(
         "doc_id",
         *[counted(F.col("base"), k).alias(f"n_{k}") for k in PII_KINDS[:4]],

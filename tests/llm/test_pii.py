@@ -121,3 +121,26 @@ def test_query_and_sanitized(spark, tmp_path):
     span = F.expr("array(named_struct('kind','email','start',4L,'end',13L,'value','bob@x.org'), named_struct('kind','term','start',18L,'end',24L,'value','9lives'), named_struct('kind','term','start',6L,'end',9L,'value','b@x'))")
     assert one.select(P.sanitized(F.col("t"), span)).first()[0] == "see [EMAIL] now [NUMBER]"
     assert P.pii_spans(docs.limit(0)).count() == 0
+
+
+def test_row_scope_reads_across_matches_and_marks_every_place(spark):
+    card, far = "4111 1111 1111 1111", " filler" * 60
+    texts = [f"note {i}: Zorbina Doe, born 19{80 + i}, card {card} ok{far} later zorbina again" for i in range(4)]
+    texts += [f"Zorbi{i} only{far} Kilo 12" for i in range(60)] + [f"{'11 ' * 30}{far} Zorbina {card}"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in P.pii_spans(docs, scope="row").collect():
+        t = texts[r.doc_id]
+        want = {m.span() for m in re.finditer("[Zz]orbina", t)}
+        assert want == {(x.start, x.end) for x in r.terms if x.value == "zorbina"}
+        assert sorted((x.start, P.KINDS.index(x.kind), x.end) for x in r.base) == slow_base(t)
+
+
+def test_row_scope_windows_match_brute_force(spark):
+    texts = made(5) + ["1 " * 300 + "10.0.0.1 " * 40, "11" * 200 + " 10.0.0.1" + "9" * 90, "é" * 90 + "x@y.zz" + "Tür" * 40]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    for r in P.base_spans(rows, "t", "row").collect():
+        t = texts[r.i]
+        for x in [*r.email, *r.ip, *r.card, *r.phone]:
+            before, after = t[: x.start], t[x.end :]
+            assert x.before == (before if len(before) <= P.WINDOW else re.sub(r"^[^\W_]+", "", before[-P.WINDOW :]))
+            assert x.after == (after if len(after) <= P.WINDOW else re.sub(r"[^\W_]+$", "", after[: P.WINDOW]))
