@@ -29,17 +29,27 @@ from sparloom.llm.common import free_name, materialize, row_key
 SHINGLE, CONTAINED, MISS = 5, 0.8, 1e-6
 FEW_TEMPLATES = 5_000  # a table of templates up to this number is broadcast
 
-#: Wording of license notices.
+#: Wording of license notices. Those of one family are so short that a word that differs leaves less than CONTAINED.
 TEMPLATES = {
     "Apache-2.0 (notice)": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0 (header)": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "MIT (notice)": "Released under the MIT License",
     "MIT (permission)": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "GPL-3.0 (notice)": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-3.0 (header)": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-3.0 (header)": "the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "BSD (conditions of 2 and 3 clauses)": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "GPL-2.0 (header)": "the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at",
+    "LGPL-2.1 (header)": "the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at",
+    "LGPL-3.0 (header)": "the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at",
+    "AGPL-3.0 (header)": "the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC-BY-NC-4.0 (notice)": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
