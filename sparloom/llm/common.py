@@ -57,9 +57,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def hash128(*columns: Column) -> Column:
+    """A 128-bit key (struct of two longs) of plain columns and of which of them are null: equal values, equal keys."""
+    nulls = F.concat(*[F.when(c.isNull(), F.lit("0")).otherwise(F.lit("1")) for c in columns])
+    return F.struct(*[F.xxhash64(F.lit(seed), nulls, *columns).alias(name) for seed, name in ((1, "a"), (2, "b"))])
+
+
 def row_key(df: DataFrame) -> Column:
-    """A 64-bit key over all columns of a row; rows that agree in every column share it."""
-    return F.xxhash64(*[F.coalesce(F.to_json(F.struct(df[c])), F.lit("")) if "map" in t or "struct" in t or "array" in t else df[c] for c, t in df.dtypes])
+    """A 128-bit key over all columns of a row; rows that agree in every column, nulls included, share it."""
+    return hash128(*[F.to_json(F.struct(df[c])) if "map" in t or "struct" in t or "array" in t else df[c] for c, t in df.dtypes])
 
 
 def free_name(df: DataFrame, name: str) -> str:

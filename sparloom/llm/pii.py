@@ -4,22 +4,21 @@ Base spans: e-mail addresses, IP numbers, card numbers (Luhn) and phone numbers,
 A match and the text before it give its place: lengths of both are summed in blocks, so a text with very many matches
 takes time in proportion.
 
-Sanitisation: a base span's value is a protected entity e. The words within `WINDOW` characters on either side of it are its
-context, and a word t there may reveal it. Over all rows: D(t) rows hold t, D(e) rows hold e, D(t,e) rows hold t in a
-context of e, N rows in all. Information content IC(e) = log2(N / D(e)); what t tells about e is
-PMI(t,e) = log2(D(t,e) N / (D(t) D(e))), at most IC(e). A term discloses e if PMI(t,e) >= `disclosure` IC(e) and the two meet in
-at least `support` different contexts, so copies of one text are no evidence. In every context of e such terms are
-spans of kind `term`; `sanitized` puts the kind in the place of a span (a term with digits becomes [NUMBER]).
-
-Scope: with `context`, a context also ends at the next match of the kind, and terms are spans in contexts only. With `row`,
-which the query uses, a context is cut by distance alone, and a term that discloses e is a span at all its places in every
-row that holds e, but for places inside a base span.
-
-D(t) is counted for terms that would disclose something if they occurred in contexts only; D(t) is never less than that,
-so no term is lost.
+Sanitisation: a base span's value (of cards and phones the digits, else in lower case) is a protected entity e. A term t is a
+run of letters and digits, in lower case, and may reveal e wherever the two stand in one text. Over all N rows: D(t) rows
+hold t, D(e) rows hold e, D(t,e) rows hold both. Information content IC(e) = log2(N / D(e)); what t tells about e is
+PMI(t,e) = log2(D(t,e) N / (D(t) D(e))), at most IC(e). Few meetings say little, and copies of a text say nothing new, so
+the estimate is drawn in by m / (m + `prior`), where m is the number of different texts in which t and e meet; no pair is
+left out. t discloses e if the estimate reaches `disclosure` IC(e). In every text that holds e, all places of such terms
+outside base spans are spans of kind `term`. In the sanitised text a span is generalised to its kind, and a term with digits
+to [NUMBER].
+
+Size: entities that stand in the same texts tell the same, so they are counted as one class (a class is named by the 128-bit
+sum of its texts' keys). PMI is at most log2(N / D(t)), so terms that are too frequent for the entities of a text go before
+classes and terms are paired; what is left per text is its rare terms. Counts are summed in each task before they are shuffled.
 
 Defined cases: a null text is empty and has no spans. Rows with the same doc_id, and equal rows, each get a row, and count
-as rows. An empty table gives an empty result.
+as rows. An entity in every row has no content, so nothing discloses it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparloom.llm.common import free_name, materialize, row_key
+from sparloom.llm.common import free_name, hash128, materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The base patterns, with possessive repeats where giving back can't lead to a match, and starts only where a leftmost
@@ -47,10 +46,11 @@ HINTS = {
 }
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 BLOCK = 128  # matches whose places are summed together
-WINDOW = 80
 #: Cuts a string at every sign that is not a letter or digit, on both of its sides.
 BOUNDARY = r"(?<=[^\p{L}\p{N}])|(?=[^\p{L}\p{N}])"
-TERM = r"^(?=.*\p{L})[\p{L}\p{N}]{3,}$"
+NOT_TERM = r"[^\p{L}\p{N}]+"
+SLACK = 1e-9  # of comparisons of logarithms
+SPANS = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
 def valid(kind: str, value: Column) -> Column:
@@ -64,16 +64,12 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(rows: DataFrame, text: str, scope: str = "context") -> DataFrame:
-    """rows with a column for each base kind: array of (kind, start, end, value, before, after); text is dropped.
-
-    before and after are what stands within WINDOW characters of the span; with scope `context`, up to the next match of the kind.
-    """
-    others = [c for c in rows.columns if c != text]
-    t = F.col(text)
+def base_spans(rows: DataFrame, text: str) -> DataFrame:
+    """rows with a column for each base kind: array of (kind, start, end, value)."""
+    others, t = rows.columns, F.col(text)
     none = F.array().cast("array<string>")
     found = rows.select(*others, *[c for k, p in PATTERNS.items() for c in (F.when(HINTS[k](t), F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(none).alias(f"m_{k}"), F.when(HINTS[k](t), F.split(t, p, -1)).otherwise(none).alias(f"g_{k}"))])
-    sized = found.select("*", *[F.expr(f"transform(m_{k}, (m, i) -> named_struct('gap', cast(length(g_{k}[i]) as bigint), 'len', cast(length(m) as bigint)))").alias(f"l_{k}") for k in PATTERNS])
+    sized = found.select(*others, *[f"m_{k}" for k in PATTERNS], *[F.expr(f"transform(m_{k}, (m, i) -> named_struct('gap', cast(length(g_{k}[i]) as bigint), 'len', cast(length(m) as bigint)))").alias(f"l_{k}") for k in PATTERNS])
     blocks = "sequence(0, (size(l_{k}) - 1) div {b})"
     offsets = f"aggregate(transform({blocks}, b -> aggregate(slice(l_{{k}}, b * {{b}} + 1, {{b}}), 0L, (s, x) -> s + x.gap + x.len)), array(0L), (s, x) -> concat(s, array(element_at(s, -1) + x)))"
     placed = sized.select("*", *[F.expr(offsets.format(k=k, b=BLOCK)).alias(f"o_{k}") for k in PATTERNS])
@@ -83,45 +79,20 @@ def base_spans(rows: DataFrame, text: str, scope: str = "context") -> DataFrame:
     placed = placed.select("*", *[F.expr(places.format(k=k, b=BLOCK)).alias(f"p_{k}") for k in PATTERNS])
 
     def spans(k: str) -> Column:
-        whole = F.expr(f"transform(p_{k}, (p, i) -> named_struct('kind', '{k}', 'start', p.a, 'end', p.b, 'value', m_{k}[i], 'before', {side(k, 'i', True)}, 'after', {side(k, 'i + 1', False)}))")
+        whole = F.expr(f"transform(p_{k}, (p, i) -> named_struct('kind', '{k}', 'start', p.a, 'end', p.b, 'value', m_{k}[i]))")
         return F.filter(whole, lambda x: valid(k, x["value"]))
 
-    def side(k: str, i: str, left: bool) -> str:
-        """The part of a gap near the span, without a word that the window cuts."""
-        gap, near = f"g_{k}[{i}]", ("right" if left else "left")
-        cut = r"'^[\\p{L}\\p{N}]+'" if left else r"'[\\p{L}\\p{N}]+$'"
-        return f"if(length({gap}) > {WINDOW}, regexp_replace({near}({gap}, {WINDOW}), {cut}, ''), {gap})"
-
-    if scope == "context":
-        return placed.select(*others, *[spans(k).alias(k) for k in PATTERNS])
-
-    # what is cut to one character over the window still tells where the window ends
-    ends = [F.expr(f"transform({c}_{k}, y -> {near}(y, {WINDOW + 1}))").alias(f"{c}{near[0]}_{k}") for k in PATTERNS for c in "gm" for near in ("left", "right")]
+    return placed.select(*others, *[spans(k).alias(k) for k in PATTERNS])
 
-    def sure(k: str) -> Column:
-        every = F.expr(f"transform(p_{k}, (p, i) -> named_struct('kind', '{k}', 'start', p.a, 'end', p.b, 'value', m_{k}[i], 'i', i))")
-        return F.filter(every, lambda x: valid(k, x["value"])).alias(f"v_{k}")
 
-    whole = [sure(k) for k in PATTERNS]
+def words_of(text: str | Column) -> Column:
+    """Distinct terms of a text."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, NOT_TERM), lambda w: w != ""), F.lower))
 
-    def beside(k: str, left: bool) -> str:
-        """WINDOW characters beside span x, without a word that the window cuts; a match has two characters at least."""
-        if left:
-            pairs = f"right(concat(array_join(transform(sequence(greatest(x.i - {WINDOW // 2 + 1}, 0), x.i), j -> concat(if(j > greatest(x.i - {WINDOW // 2 + 1}, 0), mr_{k}[j - 1], ''), gr_{k}[j])), '')), {WINDOW + 1})"
-            return cut_at(pairs, "right", r"'^[\\p{L}\\p{N}]+'")
-        pairs = f"left(array_join(transform(sequence(x.i, least(x.i + {WINDOW // 2 + 1}, size(m_{k}) - 1)), j -> concat(if(j > x.i, ml_{k}[j], ''), gl_{k}[j + 1])), ''), {WINDOW + 1})"
-        return cut_at(pairs, "left", r"'[\\p{L}\\p{N}]+$'")
 
-    def cut_at(side: str, near: str, word: str) -> str:
-        return f"transform(array({side}), s -> if(length(s) > {WINDOW}, regexp_replace({near}(s, {WINDOW}), {word}, ''), s))[0]"
-
-    placed = placed.select("*", *ends, *whole)
-    return placed.select(*others, *[F.expr(f"transform(v_{k}, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'value', x.value, 'before', {beside(k, True)}, 'after', {beside(k, False)}))").alias(k) for k in PATTERNS])
-
-
-#: Terms of a context with their places in it.
-TERMS = rf"""aggregate(split(SIDE, '{BOUNDARY}', -1), named_struct('at', 0L, 'out', cast(array() as array<struct<t:string,a:bigint,b:bigint>>)),
-  (s, p) -> named_struct('at', s.at + length(p), 'out', if(p rlike '{TERM}', concat(s.out, array(named_struct('t', lower(p), 'a', s.at, 'b', s.at + length(p)))), s.out)), s -> s.out)""".replace("\\", "\\\\")
+def entity(x: Column) -> Column:
+    """The protected value of a base span."""
+    return F.concat_ws(":", x["kind"], F.when(x["kind"].isin("card", "phone"), F.regexp_replace(x["value"], "[^0-9]", "")).otherwise(F.lower(x["value"])))
 
 
 def all_places(texts: DataFrame, text: str, terms: str) -> DataFrame:
@@ -132,68 +103,65 @@ def all_places(texts: DataFrame, text: str, terms: str) -> DataFrame:
     cut = texts.select(*others, terms, F.split(text, BOUNDARY, -1).alias(w))
     cut = cut.select("*", F.expr(f"aggregate(transform({blocks}, b -> aggregate(slice({w}, b * {BLOCK} + 1, {BLOCK}), 0L, (s, x) -> s + length(x))), array(0L), (s, x) -> concat(s, array(element_at(s, -1) + x)))").alias(at))
     spans = f"""flatten(transform({blocks}, b -> aggregate(slice({w}, b * {BLOCK} + 1, {BLOCK}),
-        named_struct('at', {at}[b], 'out', cast(array() as array<struct<kind:string,start:bigint,end:bigint,value:string>>)),
+        named_struct('at', {at}[b], 'out', cast(array() as {SPANS})),
         (s, x) -> named_struct('at', s.at + length(x), 'out', if(array_contains({terms}, lower(x)), concat(s.out, array(named_struct('kind', 'term', 'start', s.at, 'end', s.at + length(x), 'value', lower(x)))), s.out)), s -> s.out)))"""
     return cut.select(*others, F.expr(spans).alias(terms))
 
 
-def disclosing_terms(rows: DataFrame, mentions: DataFrame, text: str, support: int, disclosure: float) -> DataFrame:
-    """(entity, term) pairs that pass; mentions has (key, entity, context, term)."""
-    n = rows.count()
-    seen = mentions.groupBy("entity", "term", "context").agg(F.count("*").alias("c"))
-    met = seen.groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    pairs = mentions.select("key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("d_te")).join(met, ["entity", "term"])
-    d_e = mentions.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("d_e"))
-    near = mentions.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("d_t"))
-    tells = lambda d_t: F.log2(F.col("d_te") * n / (d_t * F.col("d_e")))
-    content = F.log2(F.lit(float(max(n, 1))) / F.col("d_e"))
-    passes = lambda d_t: (content > 0) & (tells(d_t) >= disclosure * content)
-    maybe = materialize(pairs.join(d_e, "entity").join(near, "term").where(passes(F.col("d_t"))).select("entity", "term", "d_te", "d_e"), "maybe")
-    words = F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"))
-    # counted in each task before the shuffle; what is joined is one row for each term
-    whole = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("whole"))
-    return maybe.join(whole, "term").where(passes(F.col("whole"))).select("entity", "term")
-
-
-def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, disclosure: float = 0.7, scope: str = "context") -> DataFrame:
-    """Per row of docs: doc_id, row_key long, base and terms: arrays of (kind, start, end, value)."""
+def disclosing_terms(rows: DataFrame, text: str, held: DataFrame, n: int, disclosure: float, prior: float) -> DataFrame:
+    """(key, terms): the terms of each text of `held` that disclose one of its entities; held has (key, rows, base, text)."""
+    bits = lambda d: F.log2(F.lit(float(max(n, 1))) / d)
+    mention = held.select("key", "rows", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
+    entities = mention.groupBy("entity").agg(F.sum("rows").alias("d_e"), F.bit_xor("key.a").alias("a"), F.bit_xor("key.b").alias("b")).where(F.col("d_e") < n)
+    entities = materialize(entities.select("entity", "d_e", F.struct("a", "b").alias("class")), "entities")
+    most = entities.agg(F.max("d_e")).first()[0]
+    if most is None:
+        return held.select("key", F.array().cast("array<string>").alias("terms")).limit(0)
+    classes = materialize(mention.join(entities, "entity").select("key", "rows", "class", "d_e").distinct(), "classes")
+    # D(t) for terms that stand in a text with an entity and are not too frequent for any
+    words = held.select("key", F.explode(words_of("text")).alias("term"))
+    whole = rows.select(F.explode(words_of(text)).alias("term")).groupBy("term").agg(F.count("*").alias("d_t"))
+    known = whole.join(words.groupBy("term").agg(F.count("*").alias("texts")), "term")
+    known = materialize(known.where(bits(F.col("d_t")) >= disclosure * bits(F.lit(float(most))) - SLACK).select("term", "d_t"), "known")
+    rare = words.join(known, "term").join(classes, "key").where(bits(F.col("d_t")) >= disclosure * bits(F.col("d_e")) - SLACK)
+    rare = materialize(rare.select("key", "rows", "class", "term", "d_t", "d_e"), "rare")
+    met = rare.groupBy("class", "term").agg(F.sum("rows").alias("d_te"), F.count("*").alias("m"), F.first("d_t").alias("d_t"), F.first("d_e").alias("d_e"))
+    tells = bits(F.col("d_t") * F.col("d_e") / F.col("d_te")) * F.col("m") / (F.col("m") + F.lit(prior))
+    telling = materialize(met.where(tells >= disclosure * bits(F.col("d_e")) - SLACK).select("class", "term"), "telling")
+    return rare.join(telling, ["class", "term"]).groupBy("key").agg(F.collect_set("term").alias("terms"))
+
+
+def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.7, prior: float = 0.25) -> DataFrame:
+    """Per row of docs: doc_id, base and terms: arrays of (kind, start, end, value), sanitized string (null where the text has no span)."""
     ident, key, text = (free_name(docs, x) for x in ("_doc", "_key", "_text"))
-    rows = docs.select(F.col(id_col).alias(ident), row_key(docs).alias(key), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text))
-    found = base_spans(rows, text, scope)
-    found = materialize(found.select(F.col(ident).alias("doc_id"), F.col(key).alias("key"), F.concat(*PATTERNS).alias("found")), "base", wide=True)
-    held = found.where(F.size("found") > 0).groupBy("key").agg(F.first("found").alias("found"), F.count("*").alias("rows"))
-    mention = held.select("key", "rows", F.explode("found").alias("x"))
-    mention = mention.select("key", "rows", F.concat_ws(":", "x.kind", F.lower("x.value")).alias("entity"), F.xxhash64("x.before", "x.after").alias("context"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.before").alias("before"), F.col("x.after").alias("after"))
-    sides = mention.select("*", F.expr(TERMS.replace("SIDE", "before")).alias("left"), F.expr(TERMS.replace("SIDE", "after")).alias("right"))
-    shift = lambda c, by: F.transform(c, lambda w: F.struct(w["t"].alias("t"), (w["a"] + by).alias("a"), (w["b"] + by).alias("b")))
-    placed = F.concat(shift("left", F.col("start") - F.length("before")), shift("right", F.col("end")))
-    terms = materialize(sides.select("key", "rows", "entity", "context", F.explode(placed).alias("w")).select("key", "rows", "entity", "context", F.col("w.t").alias("term"), F.col("w.a").alias("a"), F.col("w.b").alias("b")), "terms")
-    each = terms.select("entity", "context", "term", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"), "key")
-    each = each.select("entity", "context", "term", F.xxhash64("key", "copy").alias("key"))
-    telling = disclosing_terms(rows, each, text, support, disclosure)
-    if scope == "row":
-        told = telling.groupBy("entity").agg(F.collect_list("term").alias("terms"))
-        wanted = mention.select("key", "entity").distinct().join(told, "entity").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-        # only rows that may hold a base span are joined with their terms
-        hit = rows.where(F.greatest(*[h(F.col(text)).cast("int") for h in HINTS.values()]) == 1).select(F.col(key).alias("key"), text)
-        placed = all_places(hit.join(wanted, "key"), text, "terms")
-        marked = placed.groupBy("key").agg(F.first("terms").alias("terms"))
-    else:
-        marked = terms.join(telling, ["entity", "term"]).groupBy("key").agg(F.collect_set(F.struct(F.lit("term").alias("kind"), F.col("a").alias("start"), F.col("b").alias("end"), F.col("term").alias("value"))).alias("terms"))
-    base = F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")
-    kept = F.filter("terms", lambda t: ~F.exists("found", lambda x: (x["start"] <= t["start"]) & (t["end"] <= x["end"]))) if scope == "row" else F.col("terms")
-    return found.join(marked, "key", "left").select("doc_id", F.col("key").alias("row_key"), base.alias("base"), F.coalesce(kept, none).alias("terms"))
-
-
-def sanitized(text: Column, spans: Column) -> Column:
-    """The text with [KIND] for each span; spans (kind, start, end, value) that overlap become one, named by the first."""
+    rows = docs.select(F.col(id_col).alias(ident), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text))
+    rows = rows.withColumn(key, hash128(F.col(text)))
+    found = base_spans(rows, text).select(F.col(ident).alias("doc_id"), F.col(key).alias("key"), F.concat(*PATTERNS).alias("base"), F.col(text).alias("text"))
+    # only texts with a base span are kept and go on
+    found = materialize(found.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "base", wide=True)
+    held = found.where(F.size("base") > 0).groupBy("key").agg(F.count("*").alias("rows"), F.first("base").alias("base"), F.first("text").alias("text"))
+    held = materialize(held, "held", wide=True)
+    telling = disclosing_terms(rows, text, held, found.count(), disclosure, prior)
+    none = F.array().cast(SPANS)
+    placed = all_places(held.join(telling, "key", "left").select("key", "base", "text", F.col("text").alias("whole"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms")), "text", "terms")
+    placed = placed.withColumn("terms", F.filter("terms", lambda t: ~F.exists("base", lambda x: (x["start"] <= t["start"]) & (t["end"] <= x["end"]))))
+    marked = placed.withColumn("spans", united(F.concat("base", "terms")))
+    marked = materialize(marked.select("key", "terms", sanitized("whole", "spans").alias("sanitized")), "marked", wide=True)
+    out = found.where(F.size("base") > 0).select("doc_id", "key", "base").join(marked, "key").select("doc_id", "base", "terms", "sanitized")
+    return out.union(found.where(F.size("base") == 0).select("doc_id", none.alias("base"), none.alias("terms"), F.lit(None).cast("string").alias("sanitized")))
+
+
+def united(spans: Column) -> Column:
+    """Ordered (start, end, name) of spans (kind, start, end, value); those that overlap become one, named by the first."""
     struct = "array<struct<start:bigint,end:bigint,name:string>>"
     named = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when((x["kind"] == "term") & F.rlike(x["value"], F.lit("[0-9]")), F.lit("NUMBER")).otherwise(F.upper(x["kind"])).alias("name"))))
-    united = F.aggregate(
-        named,
-        F.array().cast(struct),
-        lambda s, x: F.when((F.size(s) > 0) & (F.coalesce(F.try_element_at(s, F.lit(-1))["end"], F.lit(-1)) > x["start"]), F.concat(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(s, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(s, F.lit(-1))["end"], x["end"]).alias("end"), F.try_element_at(s, F.lit(-1))["name"].alias("name"))))).otherwise(F.concat(s, F.array(x))),
-    )
-    done = F.aggregate(united, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit("["), x["name"], F.lit("]")).alias("out")))
-    return F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
+    last = lambda s, f: F.try_element_at(s, F.lit(-1))[f]
+    grown = lambda s, x: F.concat(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.array(F.struct(last(s, "start").alias("start"), F.greatest(last(s, "end"), x["end"]).alias("end"), last(s, "name").alias("name"))))
+    return F.aggregate(named, F.array().cast(struct), lambda s, x: F.when(F.coalesce(last(s, "end"), F.lit(-1)) > x["start"], grown(s, x)).otherwise(F.concat(s, F.array(x))))
+
+
+def sanitized(text: str, spans: str) -> Column:
+    """The text with [NAME] for each span of united()."""
+    cut = F.expr(f"""transform({spans}, (x, i) -> concat(substring({text}, cast(if(i = 0, 0, {spans}[i - 1].end) + 1 as int), cast(x.start - if(i = 0, 0, {spans}[i - 1].end) as int)), '[', x.name, ']'))""")
+    end = F.coalesce(F.try_element_at(F.col(spans), F.lit(-1))["end"], F.lit(0))
+    return F.concat(F.array_join(cut, ""), F.substring(text, (end + 1).cast("int"), F.length(text)))

@@ -60,12 +60,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii_spans(table(spark, sf_dir, "documents"), scope="row")
+    found = pii_spans(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id",
         *[counted(F.col("base"), k).alias(f"n_{k}") for k in PII_KINDS[:4]],
         F.sha2(spelled(F.col("base"), PII_KINDS), 256).alias("base_sha256"),
         spelled(F.concat("base", "terms"), PII_KINDS).alias("spans"),
+        "sanitized",
     )
 
 

@@ -108,7 +108,7 @@ def links(distinct: DataFrame, crowd: int = 16) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 16) -> DataFrame:
-    """Per row of docs: doc_id long, row_key long (of all columns), fp long, component_id long, representative boolean.
+    """Per row of docs: doc_id long, row_key (of all columns), fp long, component_id long, representative boolean.
 
     One row of each component is its representative, the smallest (doc_id, row_key), null doc_id last; rows that are
     equal in every column share the flag.

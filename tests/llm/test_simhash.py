@@ -105,3 +105,13 @@ def test_chain_is_the_pigeonring_condition(spark):
         want = [all(sum(d[(i + j) % 16] for j in range(k)) <= k * 2 // 16 for k in range(1, 17)) for i in range(16)]
         assert list(row) == want
         assert any(want) == (bin(a ^ b).count("1") <= 2)
+
+
+def test_rows_that_differ_in_where_a_null_stands_are_two(spark):
+    from sparloom.llm.common import row_key
+
+    text = "alpha beta gamma delta"
+    rows = [(1, text, None), (1, None, text), (2, "something else that is no copy", None), (2, "something else that is no copy", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    assert docs.select(row_key(docs).alias("k")).distinct().count() == 3
+    assert sorted(map(tuple, S.drop_near_duplicates(docs).collect()), key=str) == sorted(rows[:3], key=str)
