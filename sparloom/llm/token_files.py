@@ -14,7 +14,9 @@ their text; equal rows are interchangeable. A null doc_id comes first. An empty
 
 from __future__ import annotations
 
+import base64
 import itertools
+import json
 import os
 import struct
 import zlib
@@ -159,13 +161,69 @@ class TokenFile:
             at += int(n)
 
 
-class ChunkEncoder(dict):
-    """Ids of whole texts as little-endian bytes, from a tokenizer whose pre-tokens never cross ASCII white space.
+#: The settings of a tokenizer file under which ChunkEncoder's steps give the library's ids.
+CHUNKED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+    "post_processor": None,
+}
+CHUNKED_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+LONG = 64  # bytes from which a chunk is not kept
+#: Fixed value: the pattern that splits text before the merges of rank files.
+RANK_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def is_chunked(settings: dict) -> bool:
+    model = settings.get("model", {})
+    marks = [t["content"] for t in settings.get("added_tokens") or []]
+    plain = all(not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in settings.get("added_tokens") or [])
+    return all(settings.get(k) == v for k, v in CHUNKED.items()) and all(model.get(k) == v for k, v in CHUNKED_MODEL.items()) and plain and all(m.startswith("<|") and not any(c.isspace() for c in m) for m in marks)
+
+
+class WholeEncoder:
+    """Ids of whole texts from any file of the three libraries: .json (tokenizers), .tiktoken (ranks), .model (sentencepiece)."""
+
+    def __init__(self, path: str) -> None:
+        if path.endswith(".tiktoken"):
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            made = tiktoken.Encoding("ranks", pat_str=RANK_PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.ids = lambda texts: [made.encode_ordinary(t) for t in texts]
+        elif path.endswith(".model"):
+            import sentencepiece
+
+            read = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.ids = lambda texts: read.encode(texts, num_threads=1)
+        else:
+            from tokenizers import Tokenizer
+
+            made_ = Tokenizer.from_file(path)
+            self.ids = lambda texts: [e.ids for e in made_.encode_batch(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text; bytes that are not UTF-8 are read as U+FFFD."""
+        return [np.array(ids, "<u4").tobytes() for ids in self.ids([t.decode("utf-8", "replace") for t in texts])]
 
-    Maps a chunk between white space to its ids; a chunk is encoded when it is first seen. `memo` bounds the kept chunks:
-    when it is reached, those not met since the last time are dropped. The tokenizer composes, lower-cases and splits letters from stops, so a chunk of Latin-1 letters
-    with at most one final stop or comma is looked up as its lower-case letters and that sign; letters alone are one
-    pre-token, whose bytes the BPE model takes as printable characters.
+
+class ChunkEncoder(dict):
+    """Ids of whole texts as little-endian bytes, for a tokenizer file whose settings are CHUNKED: its pre-tokens never cross
+    ASCII white space.
+
+    Maps a chunk between white space to its ids; a chunk is encoded when it is first seen. Chunks of over LONG bytes are
+    not kept, and `memo` bounds the number of the others: when it is reached, those not met since the last time are dropped.
+    The tokenizer composes, lower-cases and splits letters from stops, so a chunk of Latin-1 letters with at most one final
+    stop or comma is looked up as its lower-case letters and that sign; letters alone are one pre-token, whose bytes the BPE
+    model takes as printable characters.
     """
 
     def __init__(self, path: str, memo: int = 1_200_000) -> None:
@@ -187,6 +245,8 @@ class ChunkEncoder(dict):
                 ids = self._pack([t.id for t in self.model.tokenize(chunk.decode())])
             else:
                 ids = self._encode_other(chunk)
+        if len(chunk) > LONG:
+            return ids
         if 2 * len(self) >= self.memo:
             self.older = dict(self)
             self.clear()
@@ -197,7 +257,7 @@ class ChunkEncoder(dict):
         return self.packers[len(ids)](*ids) if len(ids) < len(self.packers) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _encode_other(self, chunk: bytes) -> bytes:
-        word = chunk.decode()
+        word = chunk.decode("utf-8", "replace")
         core = word[:-1] if word[-1:] in (".", ",") else word
         if not core.isalpha() or ord(max(core)) > 255:
             return self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
@@ -212,14 +272,18 @@ class ChunkEncoder(dict):
         return [b"".join(map(get, (t if b"<|" in t else t.lower()).split())) for t in texts]
 
 
-_encoders: dict[tuple[str, int], ChunkEncoder] = {}
+_encoders: dict[tuple[str, int], ChunkEncoder | WholeEncoder] = {}
 
 
-def chunk_encoder(path: str, memo: int) -> ChunkEncoder:
+def encoder(path: str, memo: int) -> ChunkEncoder | WholeEncoder:
     """One for each path in a Python worker, which Spark uses again for later tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are dealt out by Spark
     if (path, memo) not in _encoders:
-        _encoders[path, memo] = ChunkEncoder(path, memo)
+        chunked = False
+        if path.endswith(".json"):
+            with open(path, encoding="utf-8") as f:
+                chunked = is_chunked(json.load(f))
+        _encoders[path, memo] = ChunkEncoder(path, memo) if chunked else WholeEncoder(path)
     return _encoders[path, memo]
 
 
@@ -228,7 +292,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, ids_per_
 
     Columns: part int, seq int (files are in the order of these two), n_docs long, n_ids long, before long (ids of the part in earlier files), data binary.
     Documents are dealt by ranges of id_col, so that each task holds one run of them; a file closes after the document
-    that fills `ids_per_file`. memo: chunks whose ids a worker keeps (about 200 bytes each).
+    that fills `ids_per_file`. tokenizer: a .json, .tiktoken or .model file. memo: chunks of at most LONG bytes whose ids a worker
+    keeps (about 200 bytes each).
     """
     tie = free_name(docs, "_tie")
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn(tie, F.xxhash64("text"))
@@ -239,7 +304,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, ids_per_
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        encoder = chunk_encoder(tokenizer, memo)
+        encode = encoder(tokenizer, memo).encode
         docs_, parts, size, before = [], [], 0, 0
 
         def closed() -> pa.RecordBatch:
@@ -248,7 +313,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, ids_per_
 
         for whole in batches:
             for batch in slices(whole, 1):
-                for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(text_bytes(batch.column(1))), strict=True):
+                for doc, ids in zip(batch.column(0).to_pylist(), encode(text_bytes(batch.column(1))), strict=True):
                     docs_.append(doc)
                     parts.append(ids + end)
                     size += len(parts[-1]) // 4

@@ -66,3 +66,37 @@ def test_files_in_order(spark, ids_per_file):
         at += len(ids)
     assert got == want
     assert T.read_token_files(T.write_token_files(docs.limit(0), Q.tokenizer_path())).count() == 0
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"])
+def test_ids_are_the_librarys_for_every_tokenizer(file):
+    import base64
+
+    import public_tokenizers as P
+    import sentencepiece
+    import tiktoken
+
+    path = str(P.path(file))
+    texts = [t for t in ODD if "<|" not in t] + ["Hello the World and more", "  two  blanks\n", "x" * 300]
+    if file.endswith(".json"):
+        want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    elif file.endswith(".model"):
+        want = sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)
+    else:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        one = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        want = [one.encode_ordinary(t) for t in texts]
+    made = T.encoder(path, 100)
+    assert isinstance(made, T.ChunkEncoder) == (file == "word_bpe_49k.json")
+    assert made.encode([t.encode() for t in texts]) == [np.array(ids, "<u4").tobytes() for ids in want]
+
+
+def test_long_chunks_and_bad_bytes():
+    tk, enc = reader()
+    texts = ["".join(chr(0x4E00 + (i * 7 + j) % 5000) for j in range(1000)) for i in range(60)] + ["qx" * 40_000]
+    enc.clear(), enc.older.clear()
+    got = enc.encode([t.encode() for t in texts])
+    assert got[3] == np.array(tk.encode(texts[3], add_special_tokens=False).ids, "<u4").tobytes() and not enc and not enc.older
+    assert enc.encode([b"ab\xff cd"])[0] == np.array(tk.encode("ab\ufffd cd", add_special_tokens=False).ids, "<u4").tobytes()
+    changed = {"normalizer": None, "model": {}, "added_tokens": []}
+    assert not T.is_chunked(changed)
