@@ -9,8 +9,10 @@ the benchmark knows (no other stretch can hold a window), as word numbers, sorte
 item. Every benchmark suffix is searched in it by bisection: the range of suffixes that start with its window gives
 all locations, and the words that go on agreeing there give the longest verbatim match.
 
-The benchmark comes to the workers in blocks of at most `block_bytes` of text each, so no broadcast grows with it; with
-several blocks a document's results are united.
+The benchmark comes to the workers in blocks of at most `block_bytes` of text each (a longer item stands alone), so no
+broadcast grows with it. A block is arrays of word numbers and a dictionary of its distinct words, at most some 30 bytes
+for a byte of its text. Blocks are built, broadcast and released one after the other; with several blocks a document's
+results are united.
 
 Defined cases: a null text has no words. Rows with the same doc_id, and equal rows, each get a row. Benchmark rows with the
 same item_id are one item with the windows of all; a null item_id is named by an empty string. An empty benchmark hits
@@ -38,28 +40,41 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Block:
-    """A part of the benchmark: word numbers, one row of numbers for each distinct window, the items of each window."""
+    """A part of the benchmark as one array of word numbers, -2 around the items, and the distinct windows by size.
+
+    by_size has for each size n: the start of one occurrence of each distinct window, all occurrences ordered by window, and
+    where each window's occurrences begin.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
         self.numbers: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
-        suffixes: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        self.items: list[np.ndarray] = []
+        parts, starts, sizes, self.names = [np.array([-2], np.int32)], [], [], []
+        at = 1
         for name, text in items:
-            ids = [self.numbers.setdefault(w, len(self.numbers)) for w in words_of(text)]
-            if not ids:
+            words = words_of(text)
+            if not words:
                 continue
-            self.items.append(np.array(ids, np.int32))
-            for i in range(max(1, len(ids) - window + 1)):
-                key = tuple(ids[i : i + window])
-                windows.setdefault(key, set()).add(name)
-                suffixes.setdefault(key, []).append((len(self.items) - 1, i))
-        self.windows = list(windows)
-        self.names = [sorted(x) for x in windows.values()]
-        self.suffixes = [suffixes[w] for w in self.windows]
-        self.by_size = {n: np.array([k for k, w in enumerate(self.windows) if len(w) == n]) for n in sorted({len(w) for w in self.windows})}
+            ids = np.fromiter((self.numbers.setdefault(w, len(self.numbers)) for w in words), np.int32, len(words))
+            parts += [ids, np.array([-2], np.int32)]
+            starts.append(at)
+            sizes.append(len(ids))
+            self.names.append(name)
+            at += len(ids) + 1
+        self.tokens, self.starts = np.concatenate(parts), np.array(starts, np.int64)
+        every: dict[int, list[np.ndarray]] = {}
+        for start, n in zip(starts, sizes, strict=True):
+            every.setdefault(min(n, window), []).append(np.arange(start, start + max(1, n - window + 1)))
+        self.by_size = {}
+        for n, found in sorted(every.items()):
+            places = np.concatenate(found)
+            _, first, which = np.unique(self.tokens[places[:, None] + np.arange(n)], axis=0, return_index=True, return_inverse=True)
+            order = np.argsort(which.ravel(), kind="stable")
+            self.by_size[n] = (places[first], places[order], np.searchsorted(which.ravel()[order], np.arange(len(first) + 1)))
         self.shortest = min(self.by_size, default=0)
-        self.deepest = max(map(len, self.items), default=0)
+        self.deepest = max(sizes, default=0)
+
+    def items_at(self, places: np.ndarray) -> list[str]:
+        return [self.names[i] for i in np.unique(np.searchsorted(self.starts, places, "right") - 1)]
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -104,11 +119,11 @@ def search(text: np.ndarray, order: np.ndarray, sought: np.ndarray) -> tuple[np.
     return bound(False), bound(True)
 
 
-def longest_from(text: np.ndarray, at: np.ndarray, item: np.ndarray, start: int) -> np.ndarray:
-    """Words that agree with item[start:] from each of the places `at`."""
+def longest_from(text: np.ndarray, at: np.ndarray, tokens: np.ndarray, start: int) -> np.ndarray:
+    """Words that agree with the item's words from `start` on, from each of the places `at`."""
     size = np.zeros(len(at), np.int64)
     alive = np.arange(len(at))
-    for word in item[start:]:
+    for word in tokens[start:]:
         here = at[alive] + size[alive]
         alive = alive[(here < len(text)) & (text[np.minimum(here, len(text) - 1)] == word)]
         if not len(alive):
@@ -117,6 +132,20 @@ def longest_from(text: np.ndarray, at: np.ndarray, item: np.ndarray, start: int)
     return size
 
 
+def possible(block: Block, text: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the windows all of whose pairs of neighbouring words (one word: the word) stand in the text; others can't be found."""
+    if n == 1:
+        return np.flatnonzero(np.isin(block.tokens[first], text))
+    wide = len(block.numbers) + 1
+    pairs = np.unique(text[:-1].astype(np.int64)[(text[:-1] >= 0) & (text[1:] >= 0)] * wide + text[1:][(text[:-1] >= 0) & (text[1:] >= 0)])
+    left = np.arange(len(first))
+    for i in range(n - 1):
+        code = block.tokens[first[left] + i].astype(np.int64) * wide + block.tokens[first[left] + i + 1]
+        at = np.searchsorted(pairs, code)
+        left = left[(at < len(pairs)) & (pairs[np.minimum(at, len(pairs) - 1)] == code)] if len(pairs) else left[:0]
+    return left
+
+
 def match_shard(texts: list[bytes], block: Block) -> list[tuple[int, list[tuple[int, int]], list[str], int]]:
     """For each text: words, hit runs of words (start, end exclusive), names of the items found, longest match in words."""
     counts, stretches, owner, origin = [], [], [], []
@@ -144,19 +173,22 @@ def match_shard(texts: list[bytes], block: Block) -> list[tuple[int, list[tuple[
         order = suffix_array(text, block.deepest)
         cover = np.zeros(len(text) + 1, np.int32)
         of = np.array(owner)
-        for n, which in block.by_size.items():
-            low, high = search(text, order, np.array([block.windows[k] for k in which], np.int32))
+        for n, (first, occurrences, bounds) in block.by_size.items():
+            which = possible(block, text, first, n)
+            low, high = search(text, order, block.tokens[first[which][:, None] + np.arange(n)])
             for k, a, b in zip(which[high > low], low[high > low], high[high > low], strict=True):
                 places = order[a:b]
                 np.add.at(cover, places, 1)
                 np.add.at(cover, places + n, -1)
                 docs = of[np.searchsorted(starts, places, "right") - 1]
+                there = occurrences[bounds[k] : bounds[k + 1]]
+                items = block.items_at(there)
                 for d in np.unique(docs).tolist():
-                    names[d].update(block.names[k])
-                for item, i in block.suffixes[k]:
-                    if i and (block.items[item][i - 1] == text[places - 1]).all() and (places > 0).all():
+                    names[d].update(items)
+                for i in there.tolist():
+                    if (block.tokens[i - 1] == text[places - 1]).all() and (places > 0).all():
                         continue  # each place is inside a longer match, which the suffix before measures
-                    length = longest_from(text, places, block.items[item], i)
+                    length = longest_from(text, places, block.tokens, i)
                     best = np.zeros(len(texts), np.int64)
                     np.maximum.at(best, docs, length)
                     for d in np.flatnonzero(best).tolist():
@@ -200,21 +232,27 @@ def _maker(shared) -> Callable:
     return make
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 4 << 20) -> DataFrame:
     """Per row of docs: doc_id, n_words long, n_hit long, runs array of (start, end) in words, items array<string>, longest long."""
     sc = docs.sparkSession.sparkContext
     ident, key = free_name(docs, "_doc"), free_name(docs, "_key")
     rows = docs.withColumn(key, row_key(docs)).withColumn(ident, F.col(id_col))
-    parts = [per_text(rows, text_col, [ident, key], SCHEMA, _maker(sc.broadcast(b))) for b in blocks_of(benchmark, item_col, item_text_col, window, block_bytes)]
-    if len(parts) == 1:
-        out = parts[0]
+    blocks = blocks_of(benchmark, item_col, item_text_col, window, block_bytes)
+    block, after, parts = next(blocks), next(blocks, None), []
+    if after is None:
+        out = per_text(rows, text_col, [ident, key], SCHEMA, _maker(sc.broadcast(block)))
     else:
-        every = materialize(parts[0], "matches", wide=True)
+        while block is not None:
+            shared = sc.broadcast(block)
+            found = materialize(per_text(rows, text_col, [ident, key], SCHEMA, _maker(shared)), "matches", wide=True)
+            shared.destroy()
+            parts.append(found.groupBy(key).agg(F.first(ident).alias(ident), F.count("*").alias("_copies"), *[F.first(c).alias(c) for c in ("n_words", "runs", "items", "longest")]))
+            block, after = after, next(blocks, None)
+        every = parts[0]
         for p in parts[1:]:
-            every = every.union(materialize(p, "matches", wide=True))
-        sort = F.array_sort(F.flatten(F.collect_list("runs")))
-        every = every.groupBy(key).agg(F.first(ident).alias(ident), F.first("n_words").alias("n_words"), sort.alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"), (F.count("*") / len(parts)).cast("int").alias("_copies"))
-        out = every.withColumn("runs", F.expr(UNITE)).withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+            every = every.union(p)
+        every = every.groupBy(key).agg(F.first(ident).alias(ident), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"), F.first("_copies").alias("_copies"))
+        out = every.withColumn("runs", F.expr(UNITE)).withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     hit = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
     return out.select(F.col(ident).alias("doc_id"), "n_words", hit.alias("n_hit"), "runs", "items", "longest")
 
@@ -226,12 +264,26 @@ UNITE = """aggregate(runs, cast(array() as array<struct<start:bigint,end:bigint>
        else concat(s, array(r)) end)"""
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
-    """docs without the rows in which a benchmark window occurs; columns and other rows as they were, without a shuffle."""
-    sc = docs.sparkSession.sparkContext
-    for block in blocks_of(benchmark, item_col, item_text_col, window, block_bytes):
-        docs = docs.where(~_touched(sc.broadcast(block), F.col(text_col).cast("string")))
-    return docs
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 4 << 20) -> DataFrame:
+    """docs without the rows in which a benchmark window occurs; columns and other rows as they were.
+
+    With one block nothing is shuffled. With several, the keys of the hit rows are written block by block and taken out by a
+    merge join.
+    """
+    sc, text = docs.sparkSession.sparkContext, F.col(text_col).cast("string")
+    blocks = blocks_of(benchmark, item_col, item_text_col, window, block_bytes)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        return docs.where(~_touched(sc.broadcast(block), text))
+    key, hit = free_name(docs, "_key"), None
+    rows = docs.withColumn(key, row_key(docs))
+    while block is not None:
+        shared = sc.broadcast(block)
+        found = materialize(rows.where(_touched(shared, text)).select(key).distinct(), "hit")
+        shared.destroy()
+        hit = found if hit is None else hit.union(found)
+        block, after = after, next(blocks, None)
+    return rows.join(hit.hint("merge"), key, "left_anti").select(*docs.columns)
 
 
 def _touched(shared, text: Column) -> Column:

@@ -79,6 +79,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.array_join(F.transform("runs", lambda r: F.concat_ws("-", r["start"], r["end"])), ",").alias("hit_runs"),
+        "longest",
     )
 
 
@@ -157,20 +159,25 @@ SELECT c.doc_id, c.size, c.source_size, c.target, CAST(copies * c.size AS BIGINT
 FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source AND c.k = p.pick
 """
 
-#: Windows as joined words; a hit is a word position that an occurrence of a window covers.
+#: Windows as joined words; a hit is a word position that an occurrence of a window covers; hit_runs are start-end of hit
+#: words, longest the words of the longest verbatim match (windows in a row at the same shift).
 OP6_SQL = r"""
-WITH low AS (SELECT 'd' AS side, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
-  UNION ALL SELECT 'b', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
-w AS (SELECT side, id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM low),
-items AS (SELECT DISTINCT id, least(len(w), 10) AS n, array_to_string(w[i + 1:i + least(len(w), 10)], ' ') AS g FROM (SELECT id, w, unnest(range(greatest(len(w) - 9, least(len(w), 1)))) AS i FROM w WHERE side = 'b')),
+WITH low AS (SELECT 'd' AS side, doc_id AS id, 0 AS row, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 'b', item_id, row_number() OVER (), translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT side, id, row, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM low),
+items AS (SELECT id, row, i AS j, least(len(w), 10) AS n, array_to_string(w[i + 1:i + least(len(w), 10)], ' ') AS g FROM (SELECT id, row, w, unnest(range(greatest(len(w) - 9, least(len(w), 1)))) AS i FROM w WHERE side = 'b')),
 sizes AS (SELECT DISTINCT n FROM items),
 grams AS (SELECT w.id AS doc_id, n, i, array_to_string(w[i + 1:i + n], ' ') AS g FROM (SELECT id, w, n, unnest(range(greatest(len(w) - n + 1, 0))) AS i FROM w, sizes WHERE side = 'd') w),
-met AS (SELECT doc_id, grams.n, i, items.id AS item_id FROM grams JOIN items USING (n, g)),
-hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY 1),
+met AS (SELECT doc_id, grams.n, i, j, row, items.id AS item_id FROM grams JOIN items USING (n, g)),
+chains AS (SELECT doc_id, count(*) + min(n) - 1 AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, row, i - j ORDER BY i) AS chain FROM met) GROUP BY doc_id, row, i - j, chain),
+longest AS (SELECT doc_id, max(size) AS longest FROM chains GROUP BY 1),
+places AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM met),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 1 AS b FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM places) GROUP BY doc_id, run),
+hit AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_hit, string_agg(a || '-' || b, ',' ORDER BY a) AS hit_runs FROM runs GROUP BY 1),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM met) GROUP BY 1)
-SELECT w.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN hit ON hit.doc_id = w.id LEFT JOIN named ON named.doc_id = w.id WHERE side = 'd'
+SELECT w.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(hit_runs, '') AS hit_runs, CAST(coalesce(longest, 0) AS BIGINT) AS longest
+FROM w LEFT JOIN hit ON hit.doc_id = w.id LEFT JOIN named ON named.doc_id = w.id LEFT JOIN longest ON longest.doc_id = w.id WHERE side = 'd'
 """
 
 SQL: dict[str, str] = {"op6_decontamination": OP6_SQL, "op4_mixing": OP4_SQL}
