@@ -323,7 +323,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def make():
         def work(texts):
-            got = [scan(t.decode(), limit) for t in texts]
+            got = [scan(t.decode("utf-8", "replace"), limit) for t in texts]
             rows = lambda spans: [{"kind": KINDS[k], "start": a, "end": b, "codings": p} for a, k, b, p in spans]
             return {"base": pa.array([rows((*s, "") for s in b) for b, _ in got], kind), "inner": pa.array([rows(i) for _, i in got], kind)}
 
