@@ -29,6 +29,11 @@ def shown(rows: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in rows.collect()]
 
 
+def read_samples(spark: SparkSession, path) -> DataFrame:
+    """Samples that are valid; the first that is not fails the job, named by path and line."""
+    return read_jsonl(spark, path, validate=True)
+
+
 def convert(spark: SparkSession, a) -> dict:
     """Parse raw lines and score them; --stream also filters, and --skip-errors leaves bad rows out."""
     source = resolve_source(a.source, path=a.input, parser=a.parser)
@@ -38,13 +43,13 @@ def convert(spark: SparkSession, a) -> dict:
         rows = failing(rows)
     rows = rows.persist()
     kept = rows.where("written") if a.stream else rows.where("error is null")
-    write_shards(kept.select("row_idx", *SAMPLE), a.output, a.shard_size) if a.stream else write_jsonl(kept.select(*SAMPLE), a.output)
-    return {r["metric"]: r["value"] for r in conversion_stats(rows).collect()} | {"error_examples": shown(error_examples(rows))}
+    made = {"shards": write_shards(kept.select("row_idx", *SAMPLE), a.output, a.shard_size)} if a.stream else {"rows": write_jsonl(kept.select(*SAMPLE), a.output)}
+    return made | {r["metric"]: r["value"] for r in conversion_stats(rows).collect()} | {"error_examples": shown(error_examples(rows))}
 
 
 def filter_rows(spark: SparkSession, a) -> dict:
-    write_jsonl(filtered(read_jsonl(spark, a.input), min_tokens=a.min_tokens, max_tokens=a.max_tokens, max_repetition=a.max_repetition, require_success=a.require_success).select(*SAMPLE), a.output)
-    return {"written": spark.read.text(a.output).count()}
+    kept = filtered(read_samples(spark, a.input), min_tokens=a.min_tokens, max_tokens=a.max_tokens, max_repetition=a.max_repetition, require_success=a.require_success)
+    return {"written": write_jsonl(kept.select(*SAMPLE), a.output)}
 
 
 def build(spark: SparkSession, a) -> dict:
@@ -59,9 +64,9 @@ def build(spark: SparkSession, a) -> dict:
     got = subsets.build_subsets(union_sources(spark, a.input), caps, doms, a.max_train_tokens, a.target_ratio, a.eval_fraction, a.eval_max_samples, a.min_quality, a.eval_type or [], a.eval_required or [], a.eval_excluded or [], a.seed, prefix, min_tokens=a.min_tokens, max_tokens=a.max_tokens)
     name = got.manifest["output_prefix"]
     sets = {f"{name}.train": got.specialist, f"general_agentic_mix.{name}.train": got.general, f"{name}.eval": got.evaluation}
-    for file, rows in sets.items():
-        write_jsonl(rows.select(*SAMPLE), f"{a.output}/{file}.jsonl")
-    got.manifest["counts"] = {k: spark.read.text(f"{a.output}/{k}.jsonl").count() for k in sets}
+    paths = {k: f"{a.output}/{k}.jsonl" for k in sets}
+    got.manifest |= {"inputs": list(a.input), "paths": paths, "written": {k: write_jsonl(rows.select(*SAMPLE), paths[k]) for k, rows in sets.items()}}
+    got.release()
     write_report(got.manifest, f"{a.output}/{name}.manifest.json")
     return got.manifest
 
@@ -88,12 +93,24 @@ def masked_examples(spark: SparkSession, a) -> dict:
 
 
 def evaluate(spark: SparkSession, a) -> dict:
-    """Score generations that are given as JSON lines (model_name, sample_id, generation, latency_seconds, generated_tokens)."""
+    """Generate with each model of the config, or take generations from JSON lines, and score them.
+
+    models: {name: {"generator": "module:function"} or {"url": server, "model": name, "max_tokens": n}}; generations: a file of
+    (model_name, sample_id, generation, latency_seconds, generated_tokens).
+    """
     config = load_config(a.config)
     samples = limit_rows(read_jsonl(spark, config["samples"]), config.get("limit")).select(F.col("id").alias("sample_id"), "messages", X.eval_prompt(F.col("messages"), config.get("prompt_mode", "initial")).alias("prompt"))
     if not samples.limit(1).count():
         raise ValueError(f"{config['samples']} holds no samples")
-    made = spark.read.schema("model_name string, sample_id string, generation string, latency_seconds double, generated_tokens long").json(config["generations"])
+    if "models" in config:
+        made = None
+        for name, m in config["models"].items():
+            make = labeling.generator_for(named_callable(m["generator"]) if "generator" in m else None, m.get("url"), model=m.get("model", name), max_tokens=m.get("max_tokens", 512))
+            part = reports.generations(samples.select("sample_id", "prompt"), name, make, config.get("concurrency", 1))
+            made = part if made is None else made.unionByName(part)
+        made.write.mode("overwrite").json(f"{config['output']}/generations")
+    folder = f"{config['output']}/generations" if "models" in config else config["generations"]
+    made = spark.read.schema("model_name string, sample_id string, generation string, latency_seconds double, generated_tokens long").json(folder)
     rows = reports.score_generations(made.join(samples, "sample_id"))
     summary = shown(reports.summarize(rows))
     write_report({r["model_name"]: r for r in summary}, f"{config['output']}/summary.json")
@@ -103,28 +120,36 @@ def evaluate(spark: SparkSession, a) -> dict:
 
 
 def relabelled(spark: SparkSession, a) -> dict:
-    rows = labeling.relabel(read_jsonl(spark, a.input), *taxonomies(a), a.min_score, a.max_chars).persist()
+    rows = labeling.relabel(read_samples(spark, a.input), *taxonomies(a), a.min_score, a.max_chars).persist()
     write_jsonl(rows.select(*SAMPLE), a.output)
     return {"counts": shown(labeling.label_counts(rows))}
 
 
+def named_callable(name: str):
+    """What module:function names."""
+    import importlib
+
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
 def llm_labelled(spark: SparkSession, a) -> dict:
-    make = labeling.http_generator(a.base_url, a.model, a.max_new_tokens, a.timeout, a.api_key) if a.base_url else labeling.stub_generator
+    caps, doms = taxonomies(a)
+    schema = labeling.response_schema(caps, doms, a.max_capabilities, a.max_domains) if a.structured_output else None
+    own = named_callable(a.generator) if a.generator else None
+    make = labeling.generator_for(own, a.base_url, labeling.stub_generator if a.stub else None, model=a.model, max_tokens=a.max_new_tokens, timeout=a.timeout, key=a.api_key, schema=schema, parts=a.content_parts)
     rules = None if a.no_guardrails else Guardrails.load(a.guardrails)
-    samples = limit_rows(read_jsonl(spark, a.input), a.limit)
-    rows = labeling.llm_label(samples, make, *taxonomies(a), concurrency=a.concurrency, max_chars=a.max_chars, max_capabilities=a.max_capabilities, max_domains=a.max_domains, rules=rules).persist()
+    samples = limit_rows(read_samples(spark, a.input), a.limit)
+    rows = labeling.llm_label(samples, make, caps, doms, concurrency=a.concurrency, max_chars=a.max_chars, max_capabilities=a.max_capabilities, max_domains=a.max_domains, rules=rules, model=a.model).persist()
     write_jsonl(rows.select(*SAMPLE), a.output)
     empty = rows.where((F.size("capabilities") == 0) & (F.size("domains") == 0)).count()
     return {"written": rows.count(), "empty": empty, "parse_errors": rows.where("payload.error is not null").count(), "counts": shown(labeling.label_counts(rows))}
 
 
 def model_labelled(spark: SparkSession, a) -> dict:
-    """A scorer is named as module:function, which makes a callable (texts, candidates) -> scores."""
-    import importlib
-
-    module, _, name = a.scorer.partition(":")
-    make = getattr(importlib.import_module(module), name)
-    rows = labeling.model_label(limit_rows(read_jsonl(spark, a.input), a.limit), make, *taxonomies(a), batch=a.batch).persist()
+    """A scorer is named as module:function, which makes a callable (texts, candidates, hypothesis) -> scores."""
+    make = named_callable(a.scorer)
+    rows = labeling.model_label(limit_rows(read_samples(spark, a.input), a.limit), make, *taxonomies(a), batch=a.batch, model=a.scorer).persist()
     write_jsonl(rows.select(*SAMPLE), a.output)
     return {"written": rows.count(), "counts": shown(labeling.label_counts(rows))}
 
@@ -132,7 +157,7 @@ def model_labelled(spark: SparkSession, a) -> dict:
 def report_labels(spark: SparkSession, a) -> dict:
     samples = read_jsonl(spark, a.input)
     ordered = reports.label_report(samples).orderBy("section", F.col("n").desc(), "first_idx")
-    out = {"report": shown(ordered.drop("first_idx"))}
+    out = {"report": shown(ordered.drop("first_idx")), **shown(reports.empty_rate(ordered))[0]}
     if a.top_examples:
         out["examples"] = shown(reports.label_examples(samples, a.top_examples))
     if a.output:
@@ -173,7 +198,7 @@ def report_probes(spark: SparkSession, a) -> dict:
 
 
 def export_classifier(spark: SparkSession, a) -> dict:
-    labeling.classifier_rows(read_jsonl(spark, a.input), *taxonomies(a), a.min_score, a.max_chars, a.include_unlabeled).write.mode("overwrite").json(a.output)
+    labeling.classifier_rows(read_samples(spark, a.input), *taxonomies(a), a.min_score, a.max_chars, a.include_unlabeled).write.mode("overwrite").json(a.output)
     return {"written": spark.read.text(a.output).count()}
 
 
@@ -195,7 +220,7 @@ def list_targets(spark, a) -> dict:
 
 
 def rescore(spark: SparkSession, a) -> dict:
-    write_jsonl(scored(read_jsonl(spark, a.input)).select(*SAMPLE), a.output)
+    write_jsonl(scored(read_samples(spark, a.input)).select(*SAMPLE), a.output)
     return {"written": spark.read.text(a.output).count()}
 
 
@@ -212,7 +237,7 @@ COMMANDS = {
     "eval": (evaluate, [("config", {})], {}),
     "relabel-capabilities": (relabelled, [*IO, *TAXONOMY, ("--min-score", {"type": float, "default": 0.65}), ("--max-chars", {"type": int, "default": 24000})], {}),
     "model-label": (model_labelled, [*IO, ("--scorer", {"required": True}), *TAXONOMY, ("--limit", {"type": int}), ("--batch", {"type": int, "default": 16})], {}),
-    "llm-label": (llm_labelled, [*IO, *TAXONOMY, ("--base-url", {}), ("--model", {"default": "model"}), ("--api-key", {}), ("--timeout", {"type": float, "default": 120}), ("--max-new-tokens", {"type": int, "default": 384}), ("--max-chars", {"type": int, "default": 12000}), ("--max-capabilities", {"type": int, "default": 4}), ("--max-domains", {"type": int, "default": 2}), ("--concurrency", {"type": int, "default": 1}), ("--guardrails", {}), ("--no-guardrails", {"action": "store_true"}), ("--limit", {"type": int})], {}),
+    "llm-label": (llm_labelled, [*IO, *TAXONOMY, ("--base-url", {}), ("--model", {"default": "model"}), ("--api-key", {}), ("--timeout", {"type": float, "default": 120}), ("--max-new-tokens", {"type": int, "default": 384}), ("--max-chars", {"type": int, "default": 12000}), ("--max-capabilities", {"type": int, "default": 4}), ("--max-domains", {"type": int, "default": 2}), ("--concurrency", {"type": int, "default": 1}), ("--guardrails", {}), ("--no-guardrails", {"action": "store_true"}), ("--generator", {}), ("--stub", {"action": "store_true"}), ("--structured-output", {"action": "store_true"}), ("--content-parts", {"action": "store_true"}), ("--limit", {"type": int})], {}),
     "label-report": (report_labels, [("input", {}), ("--output", {}), ("--top-examples", {"type": int, "default": 0})], {}),
     "target-report": (report_targets, [("input", {}), ("--output", {}), ("--targets", {}), ("--min-quality", {"type": float, "default": 0.45}), ("--min-target-samples", {"type": int, "default": 25}), ("--top-examples", {"type": int, "default": 0}), *LIMITS], {}),
     "inspect-sample": (inspect_rows, [("input", {}), ("--id", {}), ("--label", {}), ("--axis", {"default": "domains"}), ("--empty", {"action": "store_true"}), ("--parse-errors", {"action": "store_true"}), ("--limit", {"type": int, "default": 5}), ("--max-chars", {"type": int, "default": 4000})], {}),

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import time
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparloom.functions import turns as X
+from sparloom.operators.labeling import generated
 from sparloom.operators.quality import filtered
 from sparloom.schema import CANONICAL
 
@@ -42,6 +44,12 @@ def label_report(samples: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
+def empty_rate(report: DataFrame) -> DataFrame:
+    """One row: the share of rows without a label, from a label report."""
+    count = lambda s: F.sum(F.when(F.col("section") == s, F.col("n")))
+    return report.where(F.col("section").isin("rows", "empty")).agg(F.round(F.coalesce(count("empty"), F.lit(0)) / F.greatest(F.coalesce(count("rows"), F.lit(0)), F.lit(1)), 4).alias("empty_rate"))
+
+
 def label_examples(samples: DataFrame, k: int) -> DataFrame:
     """(axis, label, rank, id): the first k samples of each label in reading order."""
     axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.array_distinct(F.col(a)).alias("labels")) for a in ("capabilities", "domains")]))
@@ -79,7 +87,12 @@ def covered(samples: DataFrame, targets: DataFrame) -> DataFrame:
 def target_report(samples: DataFrame, targets: list[dict], min_quality: float = 0.45, min_target: int = 25, examples: int = 0, **limits) -> DataFrame:
     """(target, n, tokens, status, examples): each target in turn, those without a match as well."""
     table = targets_frame(samples.sparkSession, targets)
-    found = covered(filtered(samples, min_quality, **limits).select("id", "tokens", "capabilities", "domains"), table).groupBy("target").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), *([F.slice(F.array_sort(F.collect_list("id")), 1, examples).alias("examples")] if examples else []))
+    met = covered(filtered(samples, min_quality, **limits).select("row_idx", "id", "tokens", "capabilities", "domains"), table)
+    found = met.groupBy("target").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+    if examples:  # a window that keeps a few rows of each target in every task, before anything is shuffled
+        first = met.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("row_idx", "id"))).where(F.col("rank") <= examples)
+        listed = first.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("x")).select("target", F.col("x.id").alias("examples"))
+        found = found.join(F.broadcast(listed), "target", "left")
     n = F.coalesce("n", F.lit(0))
     status = F.when(n >= min_target, "ready").when(n > 0, "thin").otherwise("empty")
     out = table.join(F.broadcast(found), "target", "left").orderBy("ord")
@@ -188,6 +201,29 @@ def score_generations(generations: DataFrame) -> DataFrame:
     return rows.select("*", "metrics.*").drop("metrics")
 
 
+def generations(prompts: DataFrame, model_name: str, make_generator, concurrency: int = 1) -> DataFrame:
+    """(model_name, sample_id, generation, latency_seconds, generated_tokens) of prompts (sample_id, prompt).
+
+    The generator gives a text, or a pair of a text and its number of tokens; without a number there are none. An error of it
+    fails the task.
+    """
+
+    def make():
+        generate = make_generator()
+
+        def timed(prompt: str) -> str:
+            began = time.perf_counter()
+            got = generate(prompt)
+            text, n = got if isinstance(got, tuple) else (got, None)
+            return json.dumps([text, time.perf_counter() - began, n])
+
+        return timed
+
+    made = generated(prompts, make, concurrency).select("sample_id", F.from_json("response", "array<variant>").alias("r"))
+    part = lambda i, kind: F.variant_get(F.col("r")[i], "$", kind)
+    return made.select(F.lit(model_name).alias("model_name"), "sample_id", part(0, "string").alias("generation"), part(1, "double").alias("latency_seconds"), part(2, "bigint").alias("generated_tokens"))
+
+
 def summarize(scored: DataFrame) -> DataFrame:
     """Per model: count, rates (grounded over rows with an observation), mean latency and tokens."""
     rate = lambda c: F.avg(F.col(c).cast("int"))

@@ -34,21 +34,40 @@ def order_key(seed: str) -> Column:
 
 @dataclass
 class Selection:
-    """Rows taken by a budget, as stretches of the order: (after, before, largest tokens), bounds exclusive, None: open."""
+    """Rows taken by a budget: whole stretches of the order, and the keys of single rows.
+
+    stretches: (after, before, largest tokens), bounds exclusive, None: open; a handful, as each takes a pass to find. keys: at
+    most FOLD.
+    """
 
     stretches: list[tuple[str | None, str | None, int]] = field(default_factory=list)
+    keys: list[str] = field(default_factory=list)
     tokens: int = 0
 
-    def condition(self, key: Column, tokens: Column) -> Column:
-        out = F.lit(False)
+    def of(self, rows: DataFrame, key: str = "key", tokens: str = "tokens") -> DataFrame:
+        """The rows that are taken."""
+        tests = []
         for after, before, most in self.stretches:
-            part = tokens <= most
+            part = F.col(tokens) <= most
             if after is not None:
-                part = part & (key > after)
+                part = part & (F.col(key) > after)
             if before is not None:
-                part = part & (key < before)
-            out = out | part
-        return out
+                part = part & (F.col(key) < before)
+            tests.append(part)
+        inside = any_of(tests)
+        if not self.keys:
+            return rows.where(inside)
+        single = rows.sparkSession.createDataFrame([(k,) for k in self.keys], "_single string")
+        return rows.join(F.broadcast(single), F.col(key) == F.col("_single"), "left").where(inside | F.col("_single").isNotNull()).drop("_single")
+
+
+def any_of(tests: list[Column]) -> Column:
+    """Their disjunction, as a tree without a long branch."""
+    if not tests:
+        return F.lit(False)
+    while len(tests) > 1:
+        tests = [tests[i] | tests[i + 1] if i + 1 < len(tests) else tests[i] for i in range(0, len(tests), 2)]
+    return tests[0]
 
 
 FOLD = 50_000  # rows (key, tokens) that the driver walks at once
@@ -68,7 +87,7 @@ def select_by_budget(pool: DataFrame, budget: int) -> Selection:
     if not first:
         return out
     out.tokens, after = int(first[0]["tokens"]), first[0]["key"]
-    out.stretches.append((None, after + "\x00", 1 << 62))
+    out.keys.append(after)
     while out.tokens < budget:
         rest = budget - out.tokens
         left = pool.where((F.col("key") > after) & (F.col("tokens") <= rest))
@@ -91,7 +110,7 @@ def select_by_budget(pool: DataFrame, budget: int) -> Selection:
         if n <= FOLD:  # the rest is small: walk it
             for r in left.orderBy("key").collect():
                 if r["tokens"] <= budget - out.tokens:
-                    out.stretches.append((_before(r["key"]), r["key"] + "\x00", 1 << 62))
+                    out.keys.append(r["key"])
                     out.tokens += r["tokens"]
             break
         for r in left.where(F.startswith(F.col("key"), F.lit(prefix))).orderBy("key").collect():
@@ -103,17 +122,17 @@ def select_by_budget(pool: DataFrame, budget: int) -> Selection:
     return out
 
 
-def _before(key: str) -> str:
-    """A bound just below a key of hexadecimal digits and an id: the key without its last sign is smaller, and no row's key."""
-    return key[:-1]
-
-
 @dataclass
 class Subsets:
     specialist: DataFrame
     general: DataFrame
     evaluation: DataFrame
     manifest: dict
+    base: DataFrame
+
+    def release(self) -> None:
+        """Frees what is kept of the filtered samples, once the sets are written."""
+        self.base.unpersist()
 
 
 def default_prefix(capabilities: list[str], domains: list[str]) -> str:
@@ -147,12 +166,22 @@ def build_subsets(samples: DataFrame, capabilities: list[str] = (), domains: lis
     def take(df: DataFrame, budget: int, s: str) -> tuple[DataFrame, int]:
         keyed = df.withColumn("_order", order_key(s))
         got = select_by_budget(keyed.select(F.col("_order").alias("key"), "tokens"), budget)
-        return keyed.where(got.condition(F.col("_order"), F.col("tokens"))).drop("_order"), got.tokens
+        return got.of(keyed, "_order").drop("_order"), got.tokens
 
     target_budget = int(max_train_tokens * target_ratio)
     aim, aim_tokens = take(train.where("is_target"), target_budget, f"{seed}|specialist-target")
     anchor, anchor_tokens = take(train.where("not is_target"), max_train_tokens - target_budget, f"{seed}|specialist-anchor")
     general, general_tokens = take(train, aim_tokens + anchor_tokens, f"{seed}|general")
     name = prefix or default_prefix(capabilities, domains)
-    manifest = {"output_prefix": name, "seed": seed, "target_capabilities": capabilities, "target_domains": domains, "tokens": {"specialist_train": aim_tokens + anchor_tokens, "general_train": general_tokens}, "selection": {"max_train_tokens": max_train_tokens, "target_ratio": target_ratio, "eval_fraction": eval_fraction, "eval_most": eval_most, "min_quality": min_quality, "eval_samples": len(chosen)}}
-    return Subsets(aim.unionByName(anchor), general, evaluation, manifest)
+    rows = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()
+    specialist, held = aim.unionByName(anchor), rows(evaluation)
+    manifest = {
+        "output_prefix": name,
+        "seed": seed,
+        "target_capabilities": capabilities,
+        "target_domains": domains,
+        "counts": {"specialist_train": rows(specialist)["n"], "general_train": rows(general)["n"], "target_eval": held["n"]},
+        "tokens": {"specialist_train": aim_tokens + anchor_tokens, "general_train": general_tokens, "target_eval": held["t"]},
+        "selection": {"max_train_tokens": max_train_tokens, "target_ratio": target_ratio, "eval_fraction": eval_fraction, "eval_most": eval_most, "min_quality": min_quality, **limits, "eval_types": list(eval_types), "eval_required": list(eval_required), "eval_excluded": list(eval_excluded), "eval_candidates": candidates.count()},
+    }
+    return Subsets(specialist, general, evaluation, manifest, base)

@@ -277,7 +277,7 @@ def llm_label_stub(spark, sf_dir):
 @query()
 def model_label_stub(spark, sf_dir):
     def scorer():
-        return lambda texts, candidates: [[((len(t) + 7 * i) % 10) / 10 for i, _ in enumerate(candidates)] for t in texts]
+        return lambda texts, candidates, hypothesis: [[((len(t) + 7 * i) % 10) / 10 for i, _ in enumerate(candidates)] for t in texts]
 
     rows = labeling.model_label(canon_conv(spark, sf_dir), scorer, *both())
     return rows.select("id", F.array_join("capabilities", ",").alias("capabilities"), F.array_join("domains", ",").alias("domains"))

@@ -72,6 +72,26 @@ def validated(samples: DataFrame, strict: bool = False) -> DataFrame:
     return out
 
 
+def noted(metadata: Column, **entries: Column) -> Column:
+    """A metadata object with entries (structs) put in or replaced; where an entry is null, its key is taken out."""
+    kept = F.coalesce(F.from_json(metadata, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    kept = F.map_filter(kept, lambda k, _: ~k.isin(*entries))
+    new = [F.struct(F.lit(k).alias("key"), F.parse_json(F.to_json(v, {"ignoreNullFields": "false"})).alias("value")) for k, v in entries.items()]
+    given = F.map_from_entries(F.filter(F.array(*new), lambda e: e["value"].isNotNull()))
+    return F.to_json(F.map_concat(kept, given))
+
+
+def type_errors(value: Column) -> Column:
+    """Codes of fields of a JSON line that are there but of another type than a sample's."""
+    kinds = {"id": ("STRING",), "source_dataset": ("STRING",), "sample_type": ("STRING",), "messages": ("ARRAY",), "capabilities": ("ARRAY",), "domains": ("ARRAY",), "success": ("BOOLEAN",), "quality_score": ("BIGINT", "DOUBLE", "DECIMAL"), "metadata": ("OBJECT",)}
+    parsed = F.try_parse_json(value)
+    checks = []
+    for name, allowed in kinds.items():
+        kind = F.schema_of_variant(F.variant_get(parsed, f"$.{name}", "variant"))
+        checks.append(F.when(kind.isNotNull() & (kind != "VOID") & ~F.regexp_extract(kind, "^[A-Z]+", 0).isin(*allowed), F.lit(f"type:{name}")))
+    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+
+
 def with_defaults(samples: DataFrame) -> DataFrame:
     """Columns that older rows lack: empty domains and capabilities, no success, score 0, empty metadata."""
     empty = F.array().cast("array<string>")
@@ -80,10 +100,10 @@ def with_defaults(samples: DataFrame) -> DataFrame:
     return samples.withColumns({c: F.coalesce(F.col(c), v) if c in given and c != "success" else (F.col(c) if c in given else v) for c, v in fill.items()})
 
 
-def to_json_lines(samples: DataFrame) -> DataFrame:
-    """One `value` per row: null success is written, null name and metadata of a turn are left out."""
+def to_json_lines(samples: DataFrame, beside: list[str] = ()) -> DataFrame:
+    """One `value` per row (and the columns `beside`): null success is written, null name and metadata of a turn are left out."""
     turns = F.concat(F.lit("["), F.array_join(F.transform("messages", lambda m: F.to_json(m)), ","), F.lit("]"))
     keep = ["id", "source_dataset", "sample_type", "capabilities", "domains", "success", "quality_score"]
     head = F.to_json(F.struct(*keep), {"ignoreNullFields": "false"})
     opened = F.regexp_replace(head, r"\}\z", "")
-    return samples.select(F.concat(opened, F.lit(',"messages":'), turns, F.lit(',"metadata":'), F.coalesce("metadata", F.lit("{}")), F.lit("}")).alias("value"))
+    return samples.select(*beside, F.concat(opened, F.lit(',"messages":'), turns, F.lit(',"metadata":'), F.coalesce("metadata", F.lit("{}")), F.lit("}")).alias("value"))

@@ -6,13 +6,14 @@ import json
 import os
 import re
 from dataclasses import dataclass, replace
+from itertools import accumulate
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sparloom.schema import CANONICAL, to_json_lines
+from sparloom.schema import CANONICAL, sample_errors, to_json_lines, type_errors, with_defaults
 
 
 @dataclass(frozen=True)
@@ -46,28 +47,48 @@ def resolve_source(name: str | None = None, *, path: str | None = None, parser:
     return Source(path, parser, name or path, split or "train", config)
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(row_idx, value) of the non-blank lines, files in the order of their paths.
+def read_lines(spark: SparkSession, paths: str | list[str], where: bool = False) -> DataFrame:
+    """(row_idx, value) of the non-blank lines, files in the order of their paths; with where, also `place` (path:line from 1).
 
     Numbers grow in reading order without gaps between files of one read; counting is by file and place, in two steps, so no
-    task sees more than its file.
+    task sees more than its part of a file.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = spark.read.text(paths).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    local = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
-    counts = lines.groupBy("file", "block").count()
-    base = F.sum("count").over(Window.orderBy("file", "block")) - F.col("count")  # a row for each file block
-    bases = counts.select("file", "block", base.alias("base"))
-    return lines.withColumn("n", local).join(bases, ["file", "block"]).select((F.col("base") + F.col("n")).cast("long").alias("row_idx"), "value")
-
-
-def read_jsonl(spark: SparkSession, paths: str | list[str], schema: StructType = CANONICAL) -> DataFrame:
-    """Canonical rows with row_idx; a line that is no JSON object fails the job and is named."""
-    rows = read_lines(spark, paths)
-    shown = F.concat(F.lit("line "), F.col("row_idx"), F.lit(" is no JSON object: "), F.left("value", F.lit(80)))
+    lines = spark.read.text(paths).select("value", (F.trim("value") != "").cast("int").alias("full"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    part = Window.partitionBy("file", "block").orderBy("at")
+    local = lines.withColumns({"line": F.row_number().over(part), "n": F.sum("full").over(part) - 1})
+    counts = lines.groupBy("file", "block").agg(F.count("*").alias("lines"), F.sum("full").alias("count"))
+    bases = counts.select(  # a row for each file block
+        "file",
+        "block",
+        (F.sum("count").over(Window.orderBy("file", "block")) - F.col("count")).alias("base"),
+        (F.sum("lines").over(Window.partitionBy("file").orderBy("block")) - F.col("lines")).alias("above"),
+    )
+    out = local.join(bases, ["file", "block"]).where("full = 1")
+    place = [F.concat_ws(":", F.regexp_replace("file", "^file:/+", "/"), F.col("above") + F.col("line")).alias("place")] if where else []
+    return out.select((F.col("base") + F.col("n")).cast("long").alias("row_idx"), "value", *place)
+
+
+def read_jsonl(spark: SparkSession, paths: str | list[str], schema: StructType = CANONICAL, validate: bool = False) -> DataFrame:
+    """Canonical rows with row_idx; a line that is no JSON object fails the job and is named as path:line.
+
+    With validate, so does a line with a field of another type or an invalid sample, with the codes of what is wrong.
+    """
+    rows = read_lines(spark, paths, True)
+    shown = F.concat("place", F.lit(" is no JSON object: "), F.left("value", F.lit(80)))
     flat = StructType([f for f in schema.fields if f.name != "metadata"])
-    parsed = rows.select("row_idx", F.when(F.json_object_keys("value").isNull(), F.raise_error(shown).cast("string")).otherwise(F.col("value")).alias("value"))
-    return parsed.select("row_idx", F.from_json("value", flat).alias("s"), F.coalesce(F.get_json_object("value", "$.metadata"), F.lit("{}")).alias("metadata")).select("row_idx", "s.*", "metadata")
+    value = F.when(F.json_object_keys("value").isNull(), F.raise_error(shown).cast("string"))
+    if validate:
+        wrong = F.concat("place", F.lit(": "), F.array_join("types", ","))
+        rows = rows.withColumn("types", type_errors(F.col("value")))
+        value = value.when(F.size("types") > 0, F.raise_error(wrong).cast("string"))
+    parsed = rows.select("row_idx", "place", value.otherwise(F.col("value")).alias("value"))
+    out = parsed.select("row_idx", F.from_json("value", flat).alias("s"), F.coalesce(F.get_json_object("value", "$.metadata"), F.lit("{}")).alias("metadata"), "place").select("row_idx", "s.*", "metadata", "place")
+    if validate:
+        filled = with_defaults(out).withColumn("errors", sample_errors())
+        bad = F.concat("place", F.lit(": "), F.array_join("errors", ","))
+        out = filled.withColumn("id", F.when(F.size("errors") > 0, F.raise_error(bad).cast("string")).otherwise(F.col("id"))).drop("errors")
+    return out.drop("place")
 
 
 def union_sources(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -82,15 +103,35 @@ def union_sources(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-def write_jsonl(samples: DataFrame, path: str) -> None:
-    to_json_lines(samples).write.mode("overwrite").text(path)
+def write_jsonl(samples: DataFrame, path: str) -> int:
+    """The rows that were written, counted as they pass."""
+    seen = Observation()
+    to_json_lines(samples).observe(seen, F.count("*").alias("rows")).write.mode("overwrite").text(path)
+    return seen.get["rows"]
+
 
+def write_shards(samples: DataFrame, path: str, shard_size: int = 50_000) -> int:
+    """Folders shard=00000 and on with exactly shard_size rows each, in reading order, the last with the rest; returns their number.
 
-def write_shards(samples: DataFrame, path: str, shard_size: int = 50_000) -> None:
-    """Part files of at most shard_size rows; no rows give no file with rows."""
+    Rows are numbered by ranges of row_idx, so no task sees more than its range and its shard.
+    """
     if shard_size <= 0:
         raise ValueError("shard_size must be positive")
-    to_json_lines(samples).write.mode("overwrite").option("maxRecordsPerFile", shard_size).text(path)
+    rows = samples.repartitionByRange("row_idx").sortWithinPartitions("row_idx").withColumn("_at", F.monotonically_increasing_id())
+    rows = rows.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)}).persist()
+    try:
+        counts = sorted((r["_part"], r["count"]) for r in rows.groupBy("_part").count().collect())  # a row for each task
+        base = dict(zip([p for p, _ in counts], accumulate((n for _, n in counts), initial=0), strict=False))
+        total = sum(n for _, n in counts)
+        table = samples.sparkSession.createDataFrame(list(base.items()) or [(-1, 0)], "_part long, _base long")
+        number = F.col("_base") + F.col("_at")
+        placed = rows.join(F.broadcast(table), "_part").withColumns({"_row": number, "shard": F.lpad(F.floor(number / shard_size).cast("string"), 5, "0")})
+        lines = placed.select("shard", "_row", F.struct(*samples.columns).alias("s")).select("shard", "_row", "s.*")
+        text = to_json_lines(lines, ["shard", "_row"]).repartition(max(1, -(-total // shard_size)), "shard").sortWithinPartitions("shard", "_row")
+        text.select("shard", "value").write.mode("overwrite").partitionBy("shard").text(path)
+    finally:
+        rows.unpersist()
+    return -(-total // shard_size)
 
 
 def shard_prefix(label: str) -> str:

@@ -111,6 +111,69 @@ def test_a_failing_generator_fails_the_job(spark):
         L.llm_label(frame(spark, [sample(1)]), make, TAX, DOM).collect()
 
 
+def test_whole_members_of_a_cut_object():
+    text = '{"capabilities": ["FIX", {"a": "]}"}], "domains": [], "n": 12, "s": "a\\"b", "o": {"x": [1]}, "bad": tru, "confidence": 0.8'
+    assert L.members("Well: " + text) == {"capabilities": ["FIX", {"a": "]}"}], "domains": [], "n": 12, "s": 'a"b', "o": {"x": [1]}}
+    assert L.members(text + ", ")["confidence"] == 0.8 and L.members("none") == {} and L.members("{") == {} and L.members('{"a": [1, 2') == {}
+    assert L.payload_row('{"capabilities": ["FIX"], "domains": [')["error"]
+
+
+def test_provenance_is_kept(spark, tmp_path):
+    rows = frame(spark, [sample(0, "bug 0", caps=["OLD"], meta='{"x": {"y": 1.5}, "llm_labeling_error": {"method": "before"}}'), sample(1, "bug 1"), sample(2, "bug 2")])
+    answers = ['{"capabilities": ["fix"], "domains": ["software"], "confidence": 0.5, "rationale": "so"}', "hm " * 300, '{"capabilities": ["fix"], "domains": ["art"], "rationale": "cut']
+
+    def make():
+        return lambda prompt: next(a for i, a in enumerate(answers) if f"bug {i}" in prompt)
+
+    out = L.llm_label(rows, make, TAX, DOM, rules=Guardrails({}, {}, {}, ("never",), "CODE"), model="m1")
+    IO.write_jsonl(out.select(*DDL_NAMES), str(tmp_path / "out"))
+    back = IO.read_jsonl(spark, str(tmp_path / "out"), validate=True)
+    meta = {r.id: json.loads(r.metadata) for r in back.collect()}
+    first = meta["id0"]["capability_labeling"]
+    assert first == {"taxonomy_version": "t", "method": "llm_json_v2", "model": "m1", "confidence": 0.5, "rationale": "so", "previous_capabilities": ["OLD"]}
+    assert meta["id0"]["x"] == {"y": 1.5} and "llm_labeling_error" not in meta["id0"] and meta["id0"]["label_guardrails"]["method"] == "post_llm_guardrails_v1"
+    assert len(meta["id1"]["llm_labeling_error"]["raw_response_preview"]) == 500 and meta["id2"]["llm_labeling_recovery"]["recovery"]
+    assert [r.id for r in R.inspect(back, parse_errors=True).collect()] == ["id1"]
+    weak = json.loads(L.relabel(rows, TAX, DOM, 0.3).orderBy("row_idx").first().metadata)["capability_labeling"]
+    assert weak["method"] == "weak_heuristic_v1" and weak["evidence"] == [{"label": "FIX", "score": 0.45, "sources": ["heuristic_keyword"], "cues": ["bug"]}]
+    scored_ = L.model_label(rows, lambda: lambda texts, candidates, hypothesis: [[0.9 if "task" in hypothesis else 0.0] * len(candidates) for _ in texts], TAX, DOM, model="nli").first()
+    assert json.loads(scored_.metadata)["domain_labeling"]["scores"] == {"CODE": 0.9, "ART": 0.9}
+
+
+DDL_NAMES = [c.split()[0] for c in DDL.replace(TURN_DDL, "x").split(", ")][1:]
+
+
+def test_bad_rows_are_named(spark, tmp_path):
+    good = {"id": "a", "source_dataset": "s", "sample_type": "agent", "messages": [{"role": "user", "type": "message", "content": "q", "trainable": False}], "quality_score": 0.5}
+    for name, change, said in (("type", {"quality_score": "high"}, "type:quality_score"), ("role", {"messages": [{**good["messages"][0], "role": "king"}]}, "turn_role"), ("score", {"quality_score": 2}, "quality_score"), ("meta", {"metadata": []}, "type:metadata")):
+        (tmp_path / name).write_text(json.dumps(good) + "\n\n" + json.dumps(good | change) + "\n")
+        with pytest.raises(Exception, match=f"{name}:3: {said}"):
+            IO.read_jsonl(spark, str(tmp_path / name), validate=True).collect()
+    (tmp_path / "fine").write_text(json.dumps(good) + "\n" + json.dumps(good | {"success": None, "metadata": {"k": 1}}))
+    got = IO.read_jsonl(spark, str(tmp_path / "fine"), validate=True).orderBy("row_idx").collect()
+    assert [(r.row_idx, r.capabilities, r.metadata) for r in got] == [(0, [], "{}"), (1, [], '{"k":1}')]
+
+
+def test_servers_and_backends():
+    schema = L.response_schema(TAX, DOM, 3, 1)
+    assert schema["properties"]["capabilities"]["items"]["enum"] == ["FIX", "PLAN", "TOOL_USE"] and schema["properties"]["domains"]["maxItems"] == 1
+    assert {L.chat_url(x) for x in ("http://h", "http://h/v1/", "http://h/v1/chat/completions")} == {"http://h/v1/chat/completions"}
+    assert L.chat_text({"choices": [{"message": {"content": [{"text": "a"}, {"image": 1}, {"text": "b "}]}}]}) == "a\nb"
+    with pytest.raises(RuntimeError):
+        L.http_generator("http://127.0.0.1:9", "m", timeout=1, schema=schema)()("x")
+    own = lambda: str.upper
+    assert L.generator_for(own, "http://h", model="m") is own and L.generator_for(local=own) is own
+    with pytest.raises(ValueError):
+        L.generator_for()
+
+
+def test_generation_loop(spark):
+    prompts = spark.createDataFrame([("a", "one"), ("b", "two")], "sample_id string, prompt string")
+    got = {r.sample_id: r for r in R.generations(prompts, "m", lambda: lambda p: (p.upper(), len(p)), 2).collect()}
+    assert got["a"].generation == "ONE" and got["a"].generated_tokens == 3 and got["b"].latency_seconds >= 0
+    assert R.generations(prompts, "m", lambda: str.upper).first().generated_tokens is None
+
+
 def test_relabel_export_and_examples(spark):
     rows = frame(spark, [sample(0, "a bug, a crash; fix it", caps=["OLD"]), sample(1, "paint", doms=["ART"]), sample(2, "zzz"), sample(3, "x", caps=["PLAN"], meta='{"capability_labeling": {"method": "manual_review_v1"}}')])
     got = {r.id: r for r in L.relabel(rows, TAX, DOM).collect()}
@@ -120,12 +183,14 @@ def test_relabel_export_and_examples(spark):
     assert L.classifier_rows(rows, TAX, DOM, include_unlabeled=True).count() == 4
     assert [e["capabilities"] for e in L.icl_examples(rows, TAX, DOM)] == [["PLAN"]]
     assert len(L.icl_examples(rows, TAX, DOM, allow_weak=True)) == 2
-    assert "PLAN" in L.prompt_rows(rows, TAX, DOM).first().prompt
+    asked = L.prompt_rows(rows, TAX, DOM).orderBy("id").first()
+    assert "PLAN" in asked.prompt and json.loads(asked.metadata) == {"quality_score": 0.9, "success": None, "existing_capabilities": ["OLD"], "existing_domains": []}
+    assert json.loads(out["id0"].metadata)["capabilities"] == ["OLD"]
 
 
 def test_model_label(spark):
     def make():
-        return lambda texts, candidates: [[0.9 if c in t else 0.1 for c in candidates] for t in texts]
+        return lambda texts, candidates, hypothesis: [[0.9 if c in t else 0.1 for c in candidates] for t in texts]
 
     got = L.model_label(frame(spark, [sample(0, "software and fix")]), make, TAX, DOM).first()
     assert (got.capabilities, got.domains) == (["FIX"], ["CODE"])
@@ -166,7 +231,7 @@ def test_json_round_trip(spark, tmp_path):
     both = IO.union_sources(spark, [str(tmp_path / "a"), str(tmp_path / "a")])
     assert sorted(r.row_idx for r in both.collect()) == [0, 1, 2, 3]
     (tmp_path / "bad").write_text('{"id": "x"}\n\n  \nnot json\n')
-    with pytest.raises(Exception, match="line 1 is no JSON object"):
+    with pytest.raises(Exception, match="bad:4 is no JSON object"):
         IO.read_jsonl(spark, str(tmp_path / "bad")).collect()
 
 
@@ -178,8 +243,11 @@ def test_shards_and_limits(spark, tmp_path):
     assert ids(IO.limit_rows(rows, 2)) == ["0", "1"] and len(ids(IO.limit_rows(rows, 0))) == 6
     with pytest.raises(ValueError):
         IO.shard_rows(rows, 3, 3)
-    IO.write_shards(frame(spark, [sample(i) for i in range(5)]).coalesce(1), str(tmp_path / "out"), 2)
-    assert sorted(len(p.read_text().splitlines()) for p in (tmp_path / "out").glob("part-*")) == [1, 2, 2]
+    many = frame(spark, [sample(i) for i in range(25)]).repartition(5)
+    assert IO.write_shards(many, str(tmp_path / "out"), 4) == 7
+    shards = {p.name: [json.loads(x)["id"] for f in p.glob("part-*") for x in f.read_text().splitlines()] for p in (tmp_path / "out").glob("shard=*")}
+    assert shards == {f"shard={k:05d}": [f"id{i}" for i in range(4 * k, min(25, 4 * k + 4))] for k in range(7)}
+    assert IO.write_shards(many.limit(0), str(tmp_path / "none"), 4) == 0 and IO.write_jsonl(many, str(tmp_path / "all")) == 25
     with pytest.raises(ValueError):
         IO.resolve_source("nowhere")
     assert IO.resolve_source("trove", path="/x").label == "trove" and IO.shard_prefix("a/b:c") == "a_b_c"
@@ -256,10 +324,19 @@ def test_budget_matches_the_fold(spark, monkeypatch, fold):
         rows = [(f"{rng.getrandbits(64):016x}|{i}", rng.choice([1, 5, 20, 60, 300])) for i in range(80)]
         df = spark.createDataFrame(rows, "key string, tokens int").repartition(3)
         got = S.select_by_budget(df, budget)
-        taken = sorted(r.key for r in df.where(got.condition(F.col("key"), F.col("tokens"))).collect())
+        taken = sorted(r.key for r in got.of(df).collect())
         assert (taken, got.tokens) == slow_fold(rows, budget) if budget else (taken, got.tokens) == ([], 0)
 
 
+def test_budget_of_the_default_size(spark):
+    rng = random.Random(2)
+    rows = [(f"{rng.getrandbits(64):016x}|{i}", rng.randint(64, 2000)) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "key string, tokens int")
+    got = S.select_by_budget(df, 2_000_000)
+    taken, total = slow_fold(rows, 2_000_000)
+    assert len(taken) > 1500 and sorted(r.key for r in got.of(df).collect()) == taken and got.tokens == total
+
+
 def test_subsets_do_not_leak(spark):
     rng = random.Random(4)
     rows = []
@@ -272,6 +349,8 @@ def test_subsets_do_not_leak(spark):
     assert 0 < len(ev) <= 6 and not {r.group_key for r in ev} & {r.group_key for r in tr}
     assert got.manifest["tokens"]["specialist_train"] == sum(r.tokens for r in tr) <= 4000
     assert sum(r.tokens for r in got.general.collect()) == got.manifest["tokens"]["general_train"]
+    assert got.manifest["counts"] == {"specialist_train": len(tr), "general_train": got.general.count(), "target_eval": len(ev)}
+    assert got.manifest["tokens"]["target_eval"] == sum(r.tokens for r in ev)
     again = S.build_subsets(df.repartition(7), ["FIX"], max_train_tokens=4000, eval_fraction=0.2, eval_most=6)
     assert sorted(r.id for r in again.specialist.collect()) == sorted(r.id for r in tr)
     lone = S.build_subsets(df, ["FIX"], max_train_tokens=400, eval_fraction=1e-9)
