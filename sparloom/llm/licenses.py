@@ -36,24 +36,45 @@ TEMPLATES = {
     "MIT (notice)": "Released under the MIT License",
     "MIT (permission)": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "GPL-3.0 (notice)": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-3.0 (header)": "the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "BSD (conditions of 2 and 3 clauses)": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "BSD-3-Clause": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    "GPL-2.0 (header)": "the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at",
-    "LGPL-2.1 (header)": "the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at",
-    "LGPL-3.0 (header)": "the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at",
-    "AGPL-3.0 (header)": "the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at",
     "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
-    "CC-BY-NC-4.0 (notice)": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
-    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Unlicense (grant)": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "MIT (warranty)": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "BSD (warranty)": 'ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "BSL-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+    "WTFPL": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    "PostgreSQL": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    "OFL-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "EPL-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution",
+    "MPL-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1",
+    "CDDL-1.0": "The contents of this file are subject to the terms of the Common Development and Distribution License",
+    "EUPL-1.2": "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL",
+    "Apache-1.1": "This product includes software developed by the Apache Software Foundation",
+    "Artistic-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0",
+    "Perl": "This library is free software; you can redistribute it and/or modify it under the same terms as Perl itself",
+    "X11": "Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization",
 }
+#: Parts of the wording of GNU headers and notices, and of Creative Commons notices.
+GNU = {"GPL": "General", "LGPL": "Lesser General", "AGPL": "Affero General"}
+GNU_VERSIONS = (("GPL", "1"), ("GPL", "2"), ("GPL", "3"), ("LGPL", "2.1"), ("LGPL", "3"), ("AGPL", "3"))
+CC_KINDS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+CC_VERSIONS = {"2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+for _short, _version in GNU_VERSIONS:
+    _name = f"GNU {GNU[_short]} Public License"
+    TEMPLATES[f"{_short}-{_version} (or later)"] = f"the terms of the {_name} as published by the Free Software Foundation, either version {_version} of the License, or (at"
+    TEMPLATES[f"{_short}-{_version} (only)"] = f"under the terms of the {_name}, version {_version}, as published by the Free Software Foundation"
+for _short, _kind in CC_KINDS.items():
+    for _version, _area in CC_VERSIONS.items():
+        TEMPLATES[f"CC-{_short}-{_version}"] = f"This work is licensed under a Creative Commons {_kind} {_version} {_area} License"
+del _short, _version, _name, _kind, _area
 
 
 def words_of(text: str) -> list[str]:

@@ -96,13 +96,17 @@ def picked(narrow: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
 
 def mixing_plan(docs: DataFrame, seed: int = 42, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, total: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
     """`keep` columns (doc_id if none are named) and size, source_size, target, rate, pick, copies of each row."""
-    keep = [id_col] if keep is None else keep
-    source, size, name = (free_name(docs, x) for x in ("_source", "_size", "_name"))
-    rows = docs.select(*keep, F.col(source_col).alias(source), word_count(F.col(text_col)).alias(size), name_of(F.col(id_col), F.col(text_col)).alias(name))
-    narrow = materialize(docs.select(F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), name_of(F.col(id_col), F.col(text_col)).alias("name")), "narrow", wide=True)
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), name_of(F.col(id_col), F.col(text_col)).alias("name"))
+    narrow = materialize(narrow, "narrow", wide=True)
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     rates = picked(narrow, source_rates(materialize(sizes, "sizes"), weights, most, total), seed)
     rates = rates.select(*[F.col(c).alias(f"_{c}_of") for c in ("source", "source_size", "target", "rate", "pick")])
+    source, size, name = (free_name(docs, x) for x in ("_source", "_size", "_name"))
+    if keep is None:  # the plan alone needs no second look at the texts
+        keep = [id_col]
+        rows = narrow.toDF(id_col, source, size, name)
+    else:
+        rows = docs.select(*keep, F.col(source_col).alias(source), word_count(F.col(text_col)).alias(size), name_of(F.col(id_col), F.col(text_col)).alias(name))
     out = rows.join(rates, F.col(source).cast("string").eqNullSafe(F.col("_source_of")))
     whole = F.floor("_rate_of")
     copies = (whole + (drawn(F.col(name), seed, F.col("_pick_of")) < F.col("_rate_of") - whole).cast("int")).cast("int")

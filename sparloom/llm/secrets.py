@@ -9,7 +9,10 @@ the root text has given the same text before, so cycles end and equal stretches
 decoded character keeps the stretch of the root text that it came from, so a finding in any layer has a span there; what was
 compressed maps to its whole encoded stretch, and what is inside equal compressed texts is worked out once for a document.
 
-Memory: decompression stops at `max_layer` characters of output; such a stretch is reported whole, as kind `packed`.
+Memory: what inflates to over `limit` bytes is read in windows of that size, which end at a sign that no rule can go across, so
+nothing is lost. Only where there is no such sign in a whole window is it cut; windows then overlap by OVERLAP bytes, and the
+encoded stretch is reported whole as well, as kind `packed`. A long text is held whole, with two numbers for each character of
+a layer.
 
 Spans are code points of the root text, end exclusive, ordered by start, then kind as listed, then end.
 
@@ -25,7 +28,7 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -56,6 +59,9 @@ MAGIC = {b"\x1f\x8b": "gzip", b"x\x01": "zlib", b"x\x5e": "zlib", b"x\x9c": "zli
 PACKED_START = re.compile(b"|".join(map(re.escape, MAGIC)))
 PACKED = frozenset(MAGIC.values())
 MAX_LAYER = 32 << 20
+OVERLAP = 1 << 20
+#: 1 for the ASCII signs that stand in no rule and no code.
+ENDS_RULES = bytes(int(c < 128 and not chr(c).isalnum() and chr(c) not in "+/_.=-\"' :%\\{}\t\n\r\x0b\x0c") for c in range(256))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -187,39 +193,77 @@ def escaped_chars(run: str, offset: int) -> list[tuple[str, int, int]]:
     return [("\ufffd" if "\ud800" <= c <= "\udfff" else c, a, b) for c, a, b in out]
 
 
-def member(data: memoryview, kind: str, limit: int) -> tuple[bytes, int]:
-    """What the member at the start inflates to, and the bytes it takes; 0 if it is cut off, damaged or over `limit`.
+def outputs(data: memoryview, kind: str) -> Generator[bytes, None, int]:
+    """What the member at the start inflates to, piece by piece; returns the bytes it takes, 0 if it is cut off or damaged.
 
-    Of damaged data there is what comes before the damage. Over `limit`: limit + 1 bytes.
+    Of damaged data there is what comes before the damage.
     """
-    make = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[kind]()
-    out, size, step = [], 0, 256
+    made = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[kind]()
+    step, most = 256, 1 << 20
     try:
         for at in range(0, len(data), step):
-            out.append(make.decompress(data[at : at + step], limit + 1 - size))
-            size += len(out[-1])
-            if size > limit:
-                break
-            if make.eof:
-                return b"".join(out), min(at + step, len(data)) - len(make.unused_data)
+            chunk = bytes(data[at : at + step])
+            while True:
+                out = made.decompress(chunk, most)
+                if out:
+                    yield out
+                if made.eof:
+                    return min(at + step, len(data)) - len(made.unused_data)
+                chunk = getattr(made, "unconsumed_tail", b"")
+                if not chunk and len(out) < most:
+                    break
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
         pass
-    return b"".join(out), 0
+    return 0
 
 
-def unpack(data: bytes, start: int, limit: int) -> tuple[bytes, int]:
-    """What all members from start on inflate to, and where they end; -1 if the last is cut off, damaged or over `limit`."""
-    view, out, size, at = memoryview(data), [], 0, start
+def all_outputs(data: bytes, start: int) -> Generator[bytes, None, int]:
+    """The pieces of all members from start on; returns where they end, -1 if the last is cut off or damaged."""
+    view, at = memoryview(data), start
     while m := PACKED_START.match(data, at):
-        got, used = member(view[at:], MAGIC[m[0]], limit - size)
-        out.append(got)
-        size += len(got)
+        got = False
+        member = outputs(view[at:], MAGIC[m[0]])
+        try:
+            while True:
+                out = next(member)
+                got = True
+                yield out
+        except StopIteration as end:
+            used = end.value
         if not used:
-            return b"".join(out), at if at > start and not got else -1
+            return at if at > start and not got else -1
         at += used
         while data[at : at + 4] == bytes(4):  # padding between streams of xz
             at += 4
-    return b"".join(out), at
+    return at
+
+
+def unpack(data: bytes, start: int, limit: int) -> tuple[bytes | None, int]:
+    """What all members from start on inflate to (None if that is over `limit`; it isn't held then), and where they end."""
+    parts, size, pieces = [], 0, all_outputs(data, start)
+    while True:
+        try:
+            out = next(pieces)
+        except StopIteration as end:
+            return (b"".join(parts) if size <= limit else None), end.value
+        size += len(out)
+        parts = [*parts, out] if size <= limit and len(parts) < 64 else [b"".join(parts) + out] if size <= limit else []
+
+
+def windows(data: bytes, start: int, limit: int) -> Iterator[tuple[bytes, bool]]:
+    """What is inflated, in windows of about `limit` bytes that end where no rule can go on, so nothing is cut.
+
+    True: the window has no such place; the next one begins a bit before its end.
+    """
+    rest = b""
+    for out in all_outputs(data, start):
+        rest += out
+        if len(rest) >= limit:
+            cut = rest.translate(ENDS_RULES).rfind(b"\1") + 1
+            yield (rest[:cut], False) if cut else (rest, True)
+            rest = rest[cut:] if cut else rest[-max(1, min(OVERLAP, limit // 2)) :]
+    if rest:
+        yield rest, False
 
 
 def in_base64(layer: Layer, core: str, at: np.ndarray, end: int, limit: int) -> Iterator[tuple[str, Layer | tuple[int, int]]]:
@@ -240,22 +284,22 @@ def in_base64(layer: Layer, core: str, at: np.ndarray, end: int, limit: int) ->
             if m.start() < done or m.start() % 3:  # a code begins with a group
                 continue
             plain, stop = unpack(data, m.start(), limit)
-            if len(plain) < LEAST:
+            if plain is not None and len(plain) < LEAST:
                 continue
             a, b = int(at[shift + m.start() // 3 * 4]), to(stop) if 0 <= stop < len(data) else end
-            if len(plain) > limit:
-                yield "packed", (a, b)
-            else:
-                inside = plain.decode("utf-8", "replace")
+            for part, cut in [(plain, False)] if plain is not None else windows(data, m.start(), limit):
+                inside = part.decode("utf-8", "replace")
                 yield MAGIC[m[0]], layer.inner(inside, np.full(len(inside), a), np.full(len(inside), b))
-                done = max(done, stop)
+                if cut:
+                    yield "packed", (a, b)
+            done = max(done, stop)
         for m in READABLE.finditer(data):
             j = np.arange(m.start(), m.end())
             yield "base64", layer.inner(m[0].decode(), at[shift + j * 4 // 3], at[np.minimum(shift - (-(j + 1) * 4 // 3), len(core)) - 1] + 1)
 
 
 def unwrapped(layer: Layer, limit: int) -> Iterator[tuple[str, Layer | tuple[int, int]]]:
-    """(coding, layer inside), or ("packed", stretch) for what would be over the limit."""
+    """(coding, layer inside), and ("packed", stretch) for what had to be cut somewhere."""
     text = layer.text
     if "%" in text:
         for inside in decoded(layer, PERCENT, lambda run, at: utf8_chars(bytes.fromhex(run.replace("%", "")), at, 3)):
