@@ -159,11 +159,15 @@ def sample_summary(samples: DataFrame, chosen: DataFrame, group_by: str = "sourc
 # --- probes ---
 
 
+def load_probes(path: str | None = None) -> list[dict]:
+    """Probe texts with the labels that they should get."""
+    return json.loads(open(path, encoding="utf-8").read() if path else resources.files("sparloom").joinpath("data/probes.json").read_text("utf-8"))
+
+
 def probes(spark: SparkSession, path: str | None = None) -> DataFrame:
     """Labelled single-turn samples whose metadata holds the expected labels."""
-    text = open(path, encoding="utf-8").read() if path else resources.files("sparloom").joinpath("data/probes.json").read_text("utf-8")
     rows = []
-    for i, p in enumerate(json.loads(text)):
+    for i, p in enumerate(load_probes(path)):
         meta = json.dumps({"expected_capabilities": p["capabilities"], "expected_domains": p["domains"]})
         rows.append((i, p["id"], "probes", "reasoning", [("user", "message", p["text"], False, None, None)], [], [], None, 1.0, meta))
     from pyspark.sql.types import LongType, StructField, StructType

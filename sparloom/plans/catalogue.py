@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparloom.functions import turns as X
 from sparloom.functions.labels import Guardrails, Taxonomy, apply_guardrails, normalize_label, one_hot, select_labels
 from sparloom.functions.text import normalized_label, py_json_success, repetition_counts, token_estimate
 from sparloom.operators import labeling, reports, subsets
-from sparloom.operators.quality import filtered
+from sparloom.operators.quality import filtered, matches_eval
 from sparloom.plans import sql as S
 from sparloom.plans.adapters import canon_conv, canon_docs, canon_events, labelled, raw_turns, table
 from sparloom.schema import sample_errors
-from sparloom.sources.parsers import sample_type
+from sparloom.session import scratch
+from sparloom.sources import io
+from sparloom.sources.parsers import parse, sample_type
 from sparloom.streaming.ingest import conversion_stats, converted
+from sparloom.streaming.ingest import error_examples as ingest_errors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,19 +47,28 @@ def canonical_turns(spark, sf_dir):
     return rows.select("id", "pos", "m.role", "m.type", "m.trainable", F.length("m.content").alias("n_chars"))
 
 
-@query(S.conv(", x AS (SELECT id, conv_id % 5 AS k FROM samples) SELECT CASE WHEN k = 0 THEN '' ELSE id END AS id, CASE k WHEN 0 THEN 'id' WHEN 1 THEN 'sample_type' WHEN 2 THEN 'quality_score' WHEN 3 THEN 'trainable_role' ELSE '' END AS error_codes FROM x"))
+@query(
+    S.conv(
+        """, x AS (SELECT id, conv_id % 11 AS k, row_number() OVER () AS r FROM samples) SELECT 'conv-' || regexp_extract(id, '[0-9]+') AS sample, CASE k WHEN 0 THEN 'id' WHEN 1 THEN 'sample_type' WHEN 2 THEN 'quality_score' WHEN 3 THEN 'trainable_role'
+WHEN 4 THEN 'turn_role' WHEN 5 THEN 'turn_type' WHEN 6 THEN 'turn_content' WHEN 7 THEN 'messages' WHEN 8 THEN 'tool_type' WHEN 9 THEN 'quality_score,sample_type' ELSE '' END AS error_codes FROM x"""
+    )
+)
 def raw_schema_validate(spark, sf_dir):
-    """Conversations with one planted fault each (none for every fifth)."""
-    k = F.col("row_idx") % 5
+    """Conversations with planted faults: each code alone, two together, none."""
+    k = F.col("row_idx") % 11
+    first = lambda field, value: F.transform("messages", lambda m, i: F.when(i == 0, m.withField(field, value)).otherwise(m))
+    tool = F.transform("messages", lambda m: m.withField("role", F.lit("tool")).withField("type", F.lit("final")).withField("trainable", F.lit(False)))
+    messages = F.when(k == 3, F.transform("messages", lambda m: m.withField("trainable", F.lit(True)))).when(k == 4, F.transform("messages", lambda m: m.withField("role", F.lit("king")).withField("trainable", F.lit(False)))).when(k == 5, first("type", F.lit("odd"))).when(k == 6, first("content", F.lit(None).cast("string")))
     rows = canon_conv(spark, sf_dir).withColumns(
         {
+            "sample": F.col("id"),
             "id": F.when(k == 0, "").otherwise(F.col("id")),
-            "sample_type": F.when(k == 1, "other").otherwise(F.col("sample_type")),
-            "quality_score": F.when(k == 2, 1.5).otherwise(F.col("quality_score")),
-            "messages": F.when(k == 3, F.transform("messages", lambda m: m.withField("trainable", F.lit(True)))).otherwise(F.col("messages")),
+            "sample_type": F.when(k.isin(1, 9), "other").otherwise(F.col("sample_type")),
+            "quality_score": F.when(k.isin(2, 9), 1.5).otherwise(F.col("quality_score")),
+            "messages": messages.when(k == 7, F.slice("messages", 1, 0)).when(k == 8, tool).otherwise(F.col("messages")),
         }
     )
-    return rows.select("id", F.array_join(sample_errors(), ",").alias("error_codes"))
+    return rows.select("sample", F.array_join(sample_errors(), ",").alias("error_codes"))
 
 
 @query(f"WITH {S.DOCS} SELECT id, tokens FROM docs")
@@ -105,20 +116,50 @@ def success_parse(spark, sf_dir):
 
 @query(
     S.conv(
-        """, t AS (SELECT id, CASE WHEN length(rendered) <= 1200 THEN rendered ELSE left(rendered, 600) || E'\\n\\n[...truncated...]\\n\\n' || right(rendered, 600) END AS ct, left(coalesce(asked, joined), 500) AS tt FROM samples)
+        """, t AS (SELECT id, CASE WHEN length(rendered) <= 24000 THEN rendered ELSE left(rendered, 12000) || E'\\n\\n[...truncated...]\\n\\n' || right(rendered, 12000) END AS ct, left(coalesce(asked, joined), 12000) AS tt FROM samples)
 SELECT id, CAST(length(ct) AS INTEGER) AS n_classifier, sha256(ct) AS classifier_sha, CAST(length(tt) AS INTEGER) AS n_task, sha256(tt) AS task_sha FROM t"""
     )
 )
 def texts(spark, sf_dir):
-    rows = canon_conv(spark, sf_dir).select("id", X.classifier_text(F.col("messages"), 1200).alias("ct"), X.task_text(F.col("messages"), 500).alias("tt"))
+    rows = canon_conv(spark, sf_dir).select("id", X.classifier_text(F.col("messages")).alias("ct"), X.task_text(F.col("messages")).alias("tt"))
     return rows.select("id", F.length("ct").alias("n_classifier"), F.sha2("ct", 256).alias("classifier_sha"), F.length("tt").alias("n_task"), F.sha2("tt", 256).alias("task_sha"))
 
 
-@query(S.lab("SELECT 'conv-' || conv_id AS id, axis, label, score FROM ev"))
+@query(
+    S.lab(
+        """SELECT 'conv-' || ev.conv_id AS id, ev.axis, ev.label, score, array_to_string([x FOR x IN [CASE WHEN n_cues > 0 THEN 'heuristic_keyword' END, CASE WHEN al.label IS NOT NULL THEN 'source_category_alias' END] IF x IS NOT NULL], ',') AS sources,
+ array_to_string(list_sort(list_distinct([x FOR x IN [first_cue, CASE WHEN al.label IS NOT NULL THEN lang END] IF x IS NOT NULL])), ',') AS cues,
+ CAST(row_number() OVER (PARTITION BY ev.conv_id, ev.axis ORDER BY score DESC, ev.label) AS INTEGER) AS place FROM ev JOIN hay USING (conv_id) LEFT JOIN al ON al.conv_id = ev.conv_id AND al.axis = ev.axis AND al.label = ev.label"""
+    )
+)
 def weak_evidence(spark, sf_dir):
     caps, doms = labeling.evidence_of(X.task_text(F.col("messages"), 24000), *both())
     each = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), e.alias("e")) for a, e in (("capabilities", caps), ("domains", doms))]))
-    return canon_conv(spark, sf_dir).select("id", each.alias("x")).select("id", "x.axis", F.explode("x.e").alias("e")).select("id", "axis", "e.label", "e.score")
+    rows = canon_conv(spark, sf_dir).select("id", each.alias("x")).select("id", "x.axis", F.posexplode("x.e").alias("at", "e"))
+    return rows.select("id", "axis", "e.label", "e.score", F.array_join("e.sources", ",").alias("sources"), F.array_join("e.cues", ",").alias("cues"), (F.col("at") + 1).alias("place"))
+
+
+@query(
+    S.lab(
+        """, n AS (SELECT conv_id, count(*) FILTER (WHERE axis = 'capabilities') AS c, count(*) FILTER (WHERE axis = 'domains') AS d FROM ev GROUP BY 1)
+SELECT id, 'weak_heuristic_v1' AS method, 'example-capabilities-1' AS version, CAST(coalesce(c, 0) AS INTEGER) AS n_capabilities, CAST(coalesce(d, 0) AS INTEGER) AS n_domains, '[]' AS previous, lang AS category FROM scored LEFT JOIN n USING (conv_id)"""
+    )
+)
+def label_provenance(spark, sf_dir):
+    """What relabelling leaves in the metadata, beside what was there."""
+    said = lambda path: F.get_json_object("metadata", path)
+    n = lambda axis: F.coalesce(F.size(F.from_json(said(f"$.{axis}_labeling.evidence"), "array<string>")), F.lit(0))
+    return labelled(spark, sf_dir).select("id", said("$.capability_labeling.method").alias("method"), said("$.capability_labeling.taxonomy_version").alias("version"), n("capability").alias("n_capabilities"), n("domain").alias("n_domains"), said("$.domain_labeling.previous_domains").alias("previous"), said("$.category").alias("category"))
+
+
+@query(S.lab("SELECT axis, label, CAST(count(*) AS BIGINT) AS n FROM long GROUP BY 1, 2"))
+def label_counts(spark, sf_dir):
+    return labeling.label_counts(labelled(spark, sf_dir))
+
+
+@query(S.lab("SELECT round(count(*) FILTER (WHERE len(capabilities) = 0 AND len(domains) = 0) / greatest(count(*), 1), 4) AS empty_rate FROM scored"))
+def label_empty_rate(spark, sf_dir):
+    return reports.empty_rate(reports.label_report(labelled(spark, sf_dir)))
 
 
 @query(S.lab("SELECT id, axis, label FROM long"))
@@ -184,20 +225,61 @@ def probed(spark):
     return reports.probe_compare(labeling.relabel(reports.probes(spark), *both(), min_score=0.45))
 
 
-@query()
+@query(S.probe_sql("SELECT id, axis, array_to_string(hit, ',') AS hit, array_to_string(missing, ',') AS missing, array_to_string(extra, ',') AS extra, coverage, exact FROM c"))
 def probe_compare(spark, sf_dir):
     joined = lambda c: F.array_join(c, ",").alias(c)
     return probed(spark).select("id", "axis", joined("hit"), joined("missing"), joined("extra"), "coverage", "exact")
 
 
-@query()
+@query(
+    S.probe_sql(
+        """, r AS (SELECT id, bool_and(exact) AS exact FROM c GROUP BY 1), s AS (SELECT axis, CASE WHEN sum(len(expected)) > 0 THEN round(sum(len(hit))::DOUBLE / sum(len(expected)), 4) ELSE 1.0::DOUBLE END AS share FROM c GROUP BY 1)
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (WHERE exact) AS BIGINT) AS strict_matches, round(count(*) FILTER (WHERE exact) / count(*), 4) AS strict_rate, (SELECT share FROM s WHERE axis = 'capabilities') AS capabilities_coverage, (SELECT share FROM s WHERE axis = 'domains') AS domains_coverage FROM r"""
+    )
+)
 def probe_report(spark, sf_dir):
     return reports.probe_report(probed(spark))
 
 
-@query(S.lab("SELECT id, source_dataset, CAST(length(left(coalesce(asked, joined), 4000)) AS INTEGER) AS text_len FROM scored WHERE list_contains(domains, 'GERMAN_PROSE') ORDER BY conv_id LIMIT 5"))
+@query(S.lab("SELECT id, source_dataset, lang AS category, sha256(left(coalesce(asked, joined), 4000)) AS text_sha, array_to_string(capabilities, ',') AS capabilities, quality_score FROM scored WHERE list_contains(domains, 'GERMAN_PROSE') ORDER BY conv_id LIMIT 5"))
 def inspect_label(spark, sf_dir):
-    return reports.inspect(labelled(spark, sf_dir), label="GERMAN_PROSE").select("id", "source_dataset", F.length("text").alias("text_len"))
+    rows = reports.inspect(labelled(spark, sf_dir).withColumn("metadata", F.to_json(F.struct(F.get_json_object("metadata", "$.category").alias("original_id")))), label="GERMAN_PROSE")
+    return rows.select("id", "source_dataset", F.col("original_id").alias("category"), F.sha2("text", 256).alias("text_sha"), F.array_join("capabilities", ",").alias("capabilities"), "quality_score")
+
+
+@query(f"WITH {S.DOCS}, c AS (SELECT source AS grp, count(*) AS seen FROM docs GROUP BY 1) SELECT grp, CAST(seen AS BIGINT) AS seen, CAST(least(seen, 10) AS BIGINT) AS selected FROM c")
+def sample_summary(spark, sf_dir):
+    rows = canon_docs(spark, sf_dir)
+    return reports.sample_summary(rows, reports.stratified_sample(rows, seed=SEED))
+
+
+@query(f"WITH {S.DOCS} SELECT id FROM docs WHERE contains(lower(joined), 'the ') AND NOT contains(lower(joined), 'and ') AND NOT contains(lower(joined), 'token')")
+def eval_filter(spark, sf_dir):
+    """Samples that may be evaluated on: by type, cues that must and that must not occur."""
+    return measured_joined(canon_docs(spark, sf_dir)).where(matches_eval(["reasoning"], ["THE "], ["and ", "token"])).select("id")
+
+
+@query(f"WITH {S.DOCS} SELECT id, CAST(doc_id AS BIGINT) AS row_idx FROM docs WHERE doc_id % 4 = 1 ORDER BY doc_id LIMIT 25")
+def shard_and_limit(spark, sf_dir):
+    return io.limit_rows(io.shard_rows(canon_docs(spark, sf_dir), 4, 1), 25).select("id", "row_idx")
+
+
+@query(f"WITH {S.DOCS}, n AS (SELECT id, (row_number() OVER (ORDER BY doc_id) - 1) // 300 AS s FROM docs) SELECT lpad(CAST(s AS VARCHAR), 5, '0') AS shard, CAST(count(*) AS BIGINT) AS n, min(id) AS least, max(id) AS most FROM n GROUP BY 1")
+def written_shards(spark, sf_dir):
+    """Exact shards of 300 rows, read back."""
+    path = scratch(spark, "shards")
+    io.write_shards(canon_docs(spark, sf_dir), path, 300)
+    back = spark.read.schema("value string, shard string").text(path)
+    return back.groupBy("shard").agg(F.count("*").alias("n"), F.min(F.get_json_object("value", "$.id")).alias("least"), F.max(F.get_json_object("value", "$.id")).alias("most"))
+
+
+@query(S.conv("SELECT id, source_dataset, sample_type, success, CAST((SELECT count(*) FROM turns t WHERE t.conv_id = s.conv_id) AS INTEGER) AS n_turns, sha256(joined) AS text_sha, lang AS category FROM samples s"))
+def jsonl_round_trip(spark, sf_dir):
+    """Samples as JSON lines, read back and validated."""
+    path = scratch(spark, "lines")
+    io.write_jsonl(canon_conv(spark, sf_dir), path)
+    rows = io.read_jsonl(spark, path, validate=True)
+    return rows.select("id", "source_dataset", "sample_type", "success", F.size("messages").alias("n_turns"), F.sha2(X.joined_text(F.col("messages")), 256).alias("text_sha"), F.get_json_object("metadata", "$.category").alias("category"))
 
 
 @query(f"WITH {S.DOCS} SELECT id, grp FROM (SELECT id, source AS grp, row_number() OVER (PARTITION BY source ORDER BY sha256('{SEED}|' || id), id) AS r FROM docs) WHERE r <= 10")
@@ -218,28 +300,50 @@ def leakage_anti_join(spark, sf_dir):
     return rows.join(F.broadcast(held.select("group_key").distinct()), "group_key", "left_anti").select("id")
 
 
-BUDGET = 50_000
+BUDGET, TIGHT = 2_000_000, 50_000
 
 
-@query(
-    f"""WITH RECURSIVE {S.DOCS}, o AS (SELECT id, tokens, row_number() OVER (ORDER BY sha256('{SEED}|' || group_key || '|' || id)) AS r FROM docs),
-g AS (SELECT r, CAST(tokens AS BIGINT) AS total, true AS taken, id, tokens FROM o WHERE r = 1
-  UNION ALL SELECT o.r, CASE WHEN g.total + o.tokens <= {BUDGET} THEN g.total + o.tokens ELSE g.total END, g.total + o.tokens <= {BUDGET}, o.id, o.tokens FROM g JOIN o ON o.r = g.r + 1)
-SELECT id, tokens FROM g WHERE taken"""
-)
-def token_budget_select(spark, sf_dir):
+def budget_sql(budget: int) -> str:
+    return f"WITH RECURSIVE {S.DOCS}, {S.fold('s', f"SELECT id, tokens, sha256('{SEED}|' || group_key || '|' || id) AS k FROM docs", str(budget))} SELECT id, tokens FROM s"
+
+
+def budgeted(spark, sf_dir, budget):
     rows = measured_tokens(canon_docs(spark, sf_dir)).withColumn("group_key", subsets.group_key()).withColumn("key", subsets.order_key(SEED)).select("id", "key", "tokens")
-    chosen = subsets.select_by_budget(rows.select("key", "tokens"), BUDGET)
-    return rows.where(chosen.condition(F.col("key"), F.col("tokens"))).select("id", "tokens")
+    return subsets.select_by_budget(rows.select("key", "tokens"), budget).of(rows).select("id", "tokens")
+
+
+@query(budget_sql(BUDGET))
+def token_budget_select(spark, sf_dir):
+    return budgeted(spark, sf_dir, BUDGET)
+
+
+@query(budget_sql(TIGHT))
+def token_budget_tight(spark, sf_dir):
+    """A budget for less than the table holds, so that rows are passed over."""
+    return budgeted(spark, sf_dir, TIGHT)
+
+
+def measured_joined(samples: DataFrame) -> DataFrame:
+    return samples.withColumn("joined_text", X.joined_text(F.col("messages")))
 
 
 def measured_tokens(samples: DataFrame) -> DataFrame:
     return samples.withColumn("tokens", token_estimate(X.joined_text(F.col("messages"))))
 
 
-@query()
+@query(S.subset_sql(SEED, "ENGLISH_PROSE", BUDGET, 0.3))
 def build_subsets(spark, sf_dir):
-    got = subsets.build_subsets(labelled(spark, sf_dir), domains=["ENGLISH_PROSE"], max_train_tokens=20_000, min_quality=0.3, seed=SEED)
+    return subset_rows(spark, sf_dir, BUDGET)
+
+
+@query(S.subset_sql(SEED, "ENGLISH_PROSE", 20_000, 0.3))
+def build_subsets_tight(spark, sf_dir):
+    """Budgets for less than the table holds."""
+    return subset_rows(spark, sf_dir, 20_000)
+
+
+def subset_rows(spark, sf_dir, budget):
+    got = subsets.build_subsets(labelled(spark, sf_dir), domains=["ENGLISH_PROSE"], max_train_tokens=budget, min_quality=0.3, seed=SEED)
     named = [(n, d) for n, d in (("specialist", got.specialist), ("general", got.general), ("evaluation", got.evaluation))]
     out = None
     for n, d in named:
@@ -268,19 +372,45 @@ def guardrails(spark, sf_dir):
     return rows.select("id", joined("capabilities", "capabilities"), joined("domains", "domains"), joined("dropped_capabilities", "dropped"), joined("added_capabilities", "added"), "g.coding_frame", "g.applied")
 
 
-@query()
+ANSWERED = f"""asked AS (SELECT *, CAST('0x' || substr(sha256({S.prompt_head(True)} || 'Known about it: ' || '{{"category":"' || lang || '","original_id":"doc-' || conv_id || '"}}' || E'\\nConversation:\\n' || left(coalesce(asked, joined), 12000) || E'\\nAnswer:'), 1, 8) AS BIGINT) % 4 AS kind FROM samples)"""
+
+
+@query(
+    S.guardrail_sql(
+        "SELECT id, sample_type, lower(task) AS low, ['RECALL', 'CRITIQUE'] AS caps, ['ENGLISH_PROSE'] AS doms FROM asked",
+        4,
+        2,
+        "SELECT d.id, CASE WHEN kind = 3 THEN '' ELSE array_to_string(every[1:4], ',') END AS capabilities, CASE WHEN kind = 3 THEN '' ELSE array_to_string(final_doms, ',') END AS domains, kind <> 3 AS parsed_ok, kind = 2 AS recovered, kind = 3 AS noted_error, kind <> 3 AS noted_guardrails, kind = 2 AS noted_recovery FROM d JOIN asked USING (id)",
+    ).replace(", t AS (", f", {ANSWERED}, t AS (", 1)
+)
 def llm_label_stub(spark, sf_dir):
+    """Answers of every kind, and what of them stands in the metadata."""
     rows = labeling.llm_label(canon_conv(spark, sf_dir), labeling.stub_generator, *both(), concurrency=4, rules=Guardrails.load())
-    return rows.select("id", F.array_join("capabilities", ",").alias("capabilities"), F.array_join("domains", ",").alias("domains"), F.col("payload.error").isNull().alias("parsed_ok"), F.col("payload.recovery").isNotNull().alias("recovered"))
+    keys = F.json_object_keys("metadata")
+    noted = [F.array_contains(keys, k).alias(n) for k, n in (("llm_labeling_error", "noted_error"), ("label_guardrails", "noted_guardrails"), ("llm_labeling_recovery", "noted_recovery"))]
+    return rows.select("id", F.array_join("capabilities", ",").alias("capabilities"), F.array_join("domains", ",").alias("domains"), F.col("payload.error").isNull().alias("parsed_ok"), F.col("payload.recovery").isNotNull().alias("recovered"), *noted)
 
 
-@query()
+@query(S.conv(f", {ANSWERED} SELECT id FROM asked WHERE kind = 3 ORDER BY conv_id LIMIT 5"))
+def inspect_parse_errors(spark, sf_dir):
+    rows = labeling.llm_label(canon_conv(spark, sf_dir), labeling.stub_generator, *both(), concurrency=4)
+    return reports.inspect(rows, parse_errors=True).select("id")
+
+
+@query(
+    S.conv(
+        f""", n AS ({S.name_rows()}), x AS (SELECT id, axis, label, ((length(left(coalesce(asked, joined), 12000)) + 7 * ord) % 10) / 10.0::DOUBLE AS score FROM samples, n),
+k AS (SELECT *, row_number() OVER (PARTITION BY id, axis ORDER BY score DESC, label) AS r FROM x WHERE score >= 0.65),
+l AS (SELECT id, axis, string_agg(label, ',' ORDER BY r) AS ls FROM k WHERE r <= CASE axis WHEN 'domains' THEN 2 ELSE 4 END GROUP BY 1, 2)
+SELECT s.id, coalesce(c.ls, '') AS capabilities, coalesce(d.ls, '') AS domains, 'zero_shot_nli_v1' AS method FROM samples s LEFT JOIN l c ON c.id = s.id AND c.axis = 'capabilities' LEFT JOIN l d ON d.id = s.id AND d.axis = 'domains'"""
+    )
+)
 def model_label_stub(spark, sf_dir):
     def scorer():
         return lambda texts, candidates, hypothesis: [[((len(t) + 7 * i) % 10) / 10 for i, _ in enumerate(candidates)] for t in texts]
 
     rows = labeling.model_label(canon_conv(spark, sf_dir), scorer, *both())
-    return rows.select("id", F.array_join("capabilities", ",").alias("capabilities"), F.array_join("domains", ",").alias("domains"))
+    return rows.select("id", F.array_join("capabilities", ",").alias("capabilities"), F.array_join("domains", ",").alias("domains"), F.get_json_object("metadata", "$.domain_labeling.method").alias("method"))
 
 
 EVENT_TEXT = """CASE event_type WHEN 'click' THEN '<tool_call>{"a":1}</tool_call> saw event_' || (event_id - 1) WHEN 'purchase' THEN '<tool_call> {broken} </tool_call> patch' ELSE 'nothing to do' END"""
@@ -306,27 +436,47 @@ def eval_score(spark, sf_dir):
 
 
 @query(
-    f"WITH {EVAL} SELECT model_name, CAST(count(*) AS BIGINT) AS count, round(avg(valid_tool_call::INT), 6) AS valid_tool_call_rate, round(avg(patch_intent::INT), 6) AS patch_intent_rate, round(avg((overlap >= 0.1)::INT), 6) AS observation_grounded_rate, round(avg(event_id % 100), 6) AS avg_generated_tokens FROM m GROUP BY 1"
+    f"WITH {EVAL} SELECT model_name, CAST(count(*) AS BIGINT) AS count, round(avg(valid_tool_call::INT), 6) AS valid_tool_call_rate, round(avg(patch_intent::INT), 6) AS patch_intent_rate, round(avg((overlap >= 0.1)::INT), 6) AS observation_grounded_rate, 0.5::DOUBLE AS avg_latency_seconds, round(avg(event_id % 100), 6) AS avg_generated_tokens FROM m GROUP BY 1"
 )
 def eval_summary(spark, sf_dir):
     rows = reports.summarize(reports.score_generations(generations(spark, sf_dir)))
-    return rows.select("model_name", "count", *[F.round(c, 6).alias(c) for c in ("valid_tool_call_rate", "patch_intent_rate", "observation_grounded_rate", "avg_generated_tokens")])
+    return rows.select("model_name", "count", *[F.round(c, 6).alias(c) for c in ("valid_tool_call_rate", "patch_intent_rate", "observation_grounded_rate", "avg_latency_seconds", "avg_generated_tokens")])
 
 
 NAMED = "CASE role || ' ' || type WHEN 'system message' THEN 'system' WHEN 'user message' THEN 'user' WHEN 'assistant reasoning' THEN 'assistant_reasoning' WHEN 'assistant tool_call' THEN 'assistant_tool_call' WHEN 'assistant final' THEN 'assistant_final' END"
 SEGMENTS = f"segs AS (SELECT conv_id, 2 * pos AS seg, '<|' || {NAMED} || E'|>\\n' AS text, false AS trainable FROM turns UNION ALL SELECT conv_id, 2 * pos + 1, trim(content, {S.BLANK}) || E'\\n', trainable FROM turns)"
 
 
-@query(S.conv(f", {SEGMENTS} SELECT 'conv-' || conv_id AS id, CAST(seg AS INTEGER) AS seg, trainable, CAST(length(text) AS INTEGER) AS n FROM segs"))
+@query(S.conv(f", {SEGMENTS} SELECT 'conv-' || conv_id AS id, CAST(seg AS INTEGER) AS seg, trainable, sha256(text) AS text_sha FROM segs"))
 def transcript_segments(spark, sf_dir):
-    return canon_conv(spark, sf_dir).select("id", F.posexplode(X.segments(F.col("messages"))).alias("seg", "s")).select("id", "seg", "s.trainable", F.length("s.text").alias("n"))
+    return canon_conv(spark, sf_dir).select("id", F.posexplode(X.segments(F.col("messages"))).alias("seg", "s")).select("id", "seg", "s.trainable", F.sha2("s.text", 256).alias("text_sha"))
+
+
+PROMPTS = f"f AS (SELECT conv_id, min(pos) AS p FROM turns WHERE role = 'assistant' GROUP BY 1), s AS (SELECT t.conv_id, coalesce(string_agg('<|' || {NAMED} || E'|>\\n' || trim(content, {S.BLANK}) || E'\\n', '' ORDER BY pos) FILTER (WHERE f.p IS NULL OR pos < f.p), '') || E'<|assistant_final|>\\n' AS p FROM turns t LEFT JOIN f USING (conv_id) GROUP BY 1)"
 
 
-@query(S.conv(f", f AS (SELECT conv_id, min(pos) AS p FROM turns WHERE role = 'assistant' GROUP BY 1), s AS (SELECT t.conv_id, coalesce(string_agg('<|' || {NAMED} || E'|>\\n' || trim(content, {S.BLANK}) || E'\\n', '' ORDER BY pos) FILTER (WHERE f.p IS NULL OR pos < f.p), '') || E'<|assistant_final|>\\n' AS p FROM turns t LEFT JOIN f USING (conv_id) GROUP BY 1) SELECT 'conv-' || conv_id AS id, sha256(p) AS prompt_sha FROM s"))
+@query(S.conv(f", {PROMPTS} SELECT 'conv-' || conv_id AS id, sha256(p) AS prompt_sha FROM s"))
 def eval_prompt(spark, sf_dir):
     return canon_conv(spark, sf_dir).select("id", F.sha2(X.eval_prompt(F.col("messages")), 256).alias("prompt_sha"))
 
 
+@query(S.conv(f", {PROMPTS} SELECT 'conv-' || conv_id AS sample_id, 'echo' AS model_name, sha256(left(p, 50)) AS generation_sha, CAST(length(p) AS BIGINT) AS generated_tokens FROM s"))
+def eval_generations(spark, sf_dir):
+    """The generation loop with a stand-in for a model."""
+    prompts = canon_conv(spark, sf_dir).select(F.col("id").alias("sample_id"), X.eval_prompt(F.col("messages")).alias("prompt"))
+    rows = reports.generations(prompts, "echo", lambda: lambda p: (p[:50], len(p)), 4)
+    return rows.select("sample_id", "model_name", F.sha2("generation", 256).alias("generation_sha"), "generated_tokens")
+
+
+@query(
+    """WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type || ' event_' || event_id AS c, CASE WHEN event_type IN ('signup', 'view') THEN 'user' WHEN event_type IN ('click', 'purchase') THEN 'assistant' ELSE 'tool' END AS role FROM events),
+o AS (SELECT user_id, min(pos) AS o FROM t WHERE role = 'tool' GROUP BY 1), a AS (SELECT t.user_id, min(pos) AS a FROM t JOIN o USING (user_id) WHERE role = 'assistant' AND pos > o GROUP BY 1)
+SELECT 'user-' || t.user_id AS id, sha256(coalesce(string_agg('<|' || CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'assistant_final' ELSE 'tool_observation' END || E'|>\\n' || c || E'\\n', '' ORDER BY pos) FILTER (WHERE a IS NULL OR pos < a), '') || E'<|assistant_final|>\\n') AS prompt_sha FROM t LEFT JOIN a USING (user_id) GROUP BY t.user_id"""
+)
+def eval_prompt_after_observation(spark, sf_dir):
+    return canon_events(spark, sf_dir).select("id", F.sha2(X.eval_prompt(F.col("messages"), "after_first_observation"), 256).alias("prompt_sha"))
+
+
 class CodePoints:
     """A tokenizer of one id per character."""
 
@@ -336,17 +486,40 @@ class CodePoints:
         return [ord(c) for c in text]
 
 
-@query(S.conv(f", {SEGMENTS}, n AS (SELECT conv_id, sum(length(text)) AS a, sum(length(text)) FILTER (WHERE trainable) AS t, arg_max(trainable, seg) AS last FROM segs GROUP BY 1) SELECT 'conv-' || conv_id AS id, CAST(a + 1 AS INTEGER) AS n_ids, CAST(coalesce(t, 0) + last::INT AS INTEGER) AS n_trained FROM n"))
+@query(
+    S.conv(
+        f""", {SEGMENTS}, c AS (SELECT conv_id, seg, trainable, [unicode(x) FOR x IN string_split(text, '')] AS ids FROM segs),
+n AS (SELECT conv_id, list_append(flatten(list(ids ORDER BY seg)), 0) AS ids, list_append(flatten(list(CASE WHEN trainable THEN ids ELSE [-100 FOR x IN ids] END ORDER BY seg)), CASE WHEN arg_max(trainable, seg) THEN 0 ELSE -100 END) AS labels FROM c GROUP BY 1)
+SELECT 'conv-' || conv_id AS id, CAST(len(ids) AS INTEGER) AS n_ids, sha256(array_to_string(ids, ',')) AS ids_sha, sha256(array_to_string(labels, ',')) AS labels_sha FROM n"""
+    )
+)
 def loss_mask(spark, sf_dir):
     rows = reports.loss_mask(canon_conv(spark, sf_dir), CodePoints, 1 << 30)
-    return rows.select("id", F.size("input_ids").alias("n_ids"), F.size(F.filter("labels", lambda x: x != X.IGNORED)).alias("n_trained"))
+    digest = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), ","), 256)
+    return rows.select("id", F.size("input_ids").alias("n_ids"), digest("input_ids").alias("ids_sha"), digest("labels").alias("labels_sha"))
+
 
+@query(S.conv(f", {SEGMENTS}, n AS (SELECT conv_id, sum(length(text)) + 1 AS n FROM segs GROUP BY 1) SELECT 'conv-' || conv_id AS id, CAST(n AS INTEGER) AS n_ids, true AS fits FROM n"))
+def padded_batches(spark, sf_dir):
+    """Examples in padded batches: ids without their padding, and whether all rows of a batch are of one length and at most four."""
+    rows = reports.padded(reports.loss_mask(canon_conv(spark, sf_dir), CodePoints, 1 << 30), 7, 4)
+    batch = Window.partitionBy("batch")
+    fits = (F.min(F.size("input_ids")).over(batch) == F.max(F.size("input_ids")).over(batch)) & (F.count("*").over(batch) <= 4) & (F.size("labels") == F.size("input_ids"))
+    return rows.select("id", F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).alias("n_ids"), fits.alias("fits"))
 
-@query("SELECT source, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT 'conversations' AS source, conv_id AS i FROM conversations JOIN documents ON conv_id = doc_id UNION ALL SELECT 'documents', doc_id FROM documents UNION ALL SELECT DISTINCT 'events', user_id FROM events) GROUP BY 1")
+
+@query(
+    """WITH n AS (SELECT 0 AS o, 'conversations' AS source, count(*) AS n FROM (SELECT DISTINCT conv_id FROM conversations JOIN documents ON conv_id = doc_id) UNION ALL SELECT 1, 'documents', count(*) FROM documents UNION ALL SELECT 2, 'events', count(DISTINCT user_id) FROM events)
+SELECT source, CAST(n AS BIGINT) AS n, CAST(sum(n) OVER (ORDER BY o) - n AS BIGINT) AS first_idx, CAST(sum(n) OVER (ORDER BY o) - 1 AS BIGINT) AS last_idx FROM n"""
+)
 def union_sources(spark, sf_dir):
-    parts = [f(spark, sf_dir).withColumn("from", F.lit(n)) for n, f in (("conversations", canon_conv), ("documents", canon_docs), ("events", canon_events))]
-    every = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
-    return every.groupBy(F.col("from").alias("source")).agg(F.count("*").alias("n"))
+    """Files of JSON lines, one after the other."""
+    base = scratch(spark, "union")
+    for name, make in (("conversations", canon_conv), ("documents", canon_docs), ("events", canon_events)):
+        io.write_jsonl(make(spark, sf_dir), f"{base}/{name}")
+    rows = io.union_sources(spark, [f"{base}/{n}" for n in ("conversations", "documents", "events")])
+    kind = F.when(F.col("id").startswith("conv-"), "conversations").when(F.col("id").startswith("doc-"), "documents").otherwise("events")
+    return rows.groupBy(kind.alias("source")).agg(F.count("*").alias("n"), F.min("row_idx").alias("first_idx"), F.max("row_idx").alias("last_idx"))
 
 
 def raw_lines(spark, sf_dir):
@@ -358,35 +531,78 @@ def raw_lines(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT conv_id, conv_id % 7 = 0 AND bool_or(turn = 0) AS bad FROM conversations GROUP BY 1)
-SELECT metric, CAST(n AS BIGINT) AS n FROM (SELECT 'seen' AS metric, count(*) AS n FROM c UNION ALL SELECT 'parsed', count(*) FROM c WHERE NOT bad UNION ALL SELECT 'errors', count(*) FROM c WHERE bad UNION ALL SELECT 'error:ValueError', count(*) FROM c WHERE bad HAVING count(*) > 0)"""
+    S.all_conv(
+        """SELECT metric, CAST(n AS BIGINT) AS n FROM (SELECT 'seen' AS metric, count(*) AS n FROM ok UNION ALL SELECT 'parsed', count(*) FROM ok WHERE NOT bad UNION ALL SELECT 'errors', count(*) FROM ok WHERE bad UNION ALL SELECT 'error:ValueError', count(*) FROM ok WHERE bad HAVING count(*) > 0
+ UNION ALL SELECT 'written', count(*) FROM ok WHERE fit AND quality_score >= 0.45 UNION ALL SELECT 'skipped', count(*) FROM ok WHERE NOT (fit AND quality_score >= 0.45))"""
+    )
 )
 def stream_convert_stats(spark, sf_dir):
     stats = conversion_stats(converted(raw_lines(spark, sf_dir), "agenttrove", "landing", 0.45, *both()))
-    return stats.where("metric not in ('written', 'skipped')").select("metric", F.col("value").alias("n"))
+    return stats.select("metric", F.col("value").alias("n"))
+
+
+@query(S.all_conv("SELECT CAST(conv_id AS BIGINT) AS row_idx, 'ValueError' AS type, 'unknown role: narrator' AS message, 'id,messages,reward' AS keys FROM ok WHERE bad ORDER BY conv_id LIMIT 5"))
+def error_examples(spark, sf_dir):
+    rows = ingest_errors(converted(raw_lines(spark, sf_dir), "agenttrove", "landing"), 5)
+    return rows.select("row_idx", "type", "message", F.array_join("keys", ",").alias("keys"))
+
+
+@query(S.all_conv("SELECT id, 'agent' AS sample_type, CAST((SELECT count(*) FROM turns t WHERE t.conv_id = ok.conv_id) AS INTEGER) AS n_turns, CAST(n_train AS INTEGER) AS n_trainable, true AS tools_present, 'ENGLISH_PROSE' AS by_category FROM ok"))
+def hermes_rows(spark, sf_dir):
+    """The other raw layout, with tools and a category that names a domain."""
+    t = raw_turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("t"))
+    said = F.transform("t", lambda x: F.struct(F.when(x["role"] == "user", "human").when(x["role"] == "assistant", "gpt").otherwise(x["role"]).alias("from"), x["content"].alias("value")))
+    value = F.to_json(F.struct(F.concat(F.lit("conv-"), F.col("conv_id")).alias("id"), F.lit("english").alias("category"), F.lit("[search]").alias("tools"), said.alias("conversations")))
+    rows = parse(t.select(F.col("conv_id").alias("row_idx"), value.alias("value")), "hermes", "landing").select("sample.*")
+    trained = F.size(F.filter("messages", lambda m: m["trainable"]))
+    present = F.get_json_object("metadata", "$.tools_present") == "true"
+    return rows.select("id", "sample_type", F.size("messages").alias("n_turns"), trained.alias("n_trainable"), present.alias("tools_present"), F.when(F.array_contains("domains", "ENGLISH_PROSE"), "ENGLISH_PROSE").alias("by_category"))
 
 
-@query()
+@query(S.all_conv("SELECT id, sample_type, CAST((SELECT count(*) FROM turns t WHERE t.conv_id = ok.conv_id) AS INTEGER) AS n_turns, success, quality_score FROM ok WHERE fit"))
 def stream_ingest(spark, sf_dir):
     """Landed JSON lines through the streaming converter, and what it wrote."""
     from sparloom.streaming.ingest import stream_convert
 
-    base = tempfile.mkdtemp(prefix="sparloom-stream-")
+    base = scratch(spark, "stream")
     raw_lines(spark, sf_dir).select("value").write.text(f"{base}/in")
     stream_convert(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", "agenttrove", "landing").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("id", "sample_type", F.size("messages").alias("n_turns"), "success", "quality_score")
 
 
-@query()
+@query(
+    S.classifier_labels(
+        f""", n AS ({S.name_rows()}) SELECT id, array_to_string(capabilities, ',') AS labels, array_to_string(domains, ',') AS domains, (SELECT string_agg(CAST(list_contains(s.capabilities, label) AS INTEGER)::VARCHAR, '' ORDER BY ord) FROM n WHERE axis = 'capabilities') AS bits,
+ '{{"quality_score":0.0,"success":' || coalesce(success::VARCHAR, 'null') || ',"capabilities":[],"domains":[]}}' AS metadata FROM scored s WHERE len(capabilities) > 0 OR len(domains) > 0"""
+    )
+)
 def classifier_export(spark, sf_dir):
     rows = labeling.classifier_rows(canon_conv(spark, sf_dir), *both(), min_score=0.5)
-    return rows.select("id", F.array_join("labels", ",").alias("labels"), F.array_join("domains", ",").alias("domains"), F.array_join(F.transform("label_vector", lambda x: x.cast("string")), "").alias("bits"))
+    return rows.select("id", F.array_join("labels", ",").alias("labels"), F.array_join("domains", ",").alias("domains"), F.array_join(F.transform("label_vector", lambda x: x.cast("string")), "").alias("bits"), "metadata")
+
+
+CLASSIFIER = "CASE WHEN length(rendered) <= 12000 THEN rendered ELSE left(rendered, 6000) || E'\\n\\n[...truncated...]\\n\\n' || right(rendered, 6000) END"
 
 
-@query()
+@query(S.conv(f"SELECT id, sha256({S.prompt_head(False)} || E'Conversation:\\n' || {CLASSIFIER} || E'\\nAnswer:') AS prompt_sha, '{{{{\"quality_score\":0.0,\"success\":' || coalesce(success::VARCHAR, 'null') || ',\"existing_capabilities\":[],\"existing_domains\":[]}}}}' AS metadata FROM samples".replace("{{", "{").replace("}}", "}")))
 def labeling_prompts(spark, sf_dir):
-    rows = labelled(spark, sf_dir)
-    shots = labeling.icl_examples(rows, *both(), per_label=1, max_chars=200, allow_weak=True)
-    return labeling.prompt_rows(rows, *both(), shots, 2000).select("id", F.length("prompt").alias("n_chars"))
+    return labeling.prompt_rows(canon_conv(spark, sf_dir), *both()).select("id", F.sha2("prompt", 256).alias("prompt_sha"), "metadata")
 
 
+CAPS = list(Taxonomy.load().names)
+
+
+@query(
+    S.lab(
+        f""", o AS (SELECT row_number() OVER (ORDER BY conv_id) AS r, id, capabilities AS c, domains AS d FROM scored WHERE len(capabilities) > 0 OR len(domains) > 0),
+q AS (SELECT 0::BIGINT AS r, {[2] * len(CAPS)} AS left_, false AS taken, NULL::VARCHAR AS id, CAST([] AS VARCHAR[]) AS c, CAST([] AS VARCHAR[]) AS d
+ UNION ALL SELECT o.r, CASE WHEN t THEN [q.left_[i] - CAST(list_contains(o.c, {S.strings(CAPS)}[i]) AS INTEGER) FOR i IN range(1, {len(CAPS) + 1})] ELSE q.left_ END, t, o.id, o.c, o.d
+ FROM (SELECT q.*, o.r AS r2, list_max(q.left_) > 0 AND (len(o.c) = 0 OR list_max([q.left_[i] FOR i IN range(1, {len(CAPS) + 1}) IF list_contains(o.c, {S.strings(CAPS)}[i])]) > 0) AS t FROM q JOIN o ON o.r = q.r + 1) q JOIN o ON o.r = q.r2)
+SELECT id, array_to_string(c, ',') AS capabilities, array_to_string(d, ',') AS domains FROM q WHERE taken"""
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
+def icl_examples(spark, sf_dir):
+    """Examples for prompts, until each capability has two."""
+    shots = labeling.icl_examples(labelled(spark, sf_dir), *both(), allow_weak=True)
+    rows = [(e["id"], ",".join(e["capabilities"]), ",".join(e["domains"])) for e in shots]
+    return spark.createDataFrame(rows, "id string, capabilities string, domains string")
