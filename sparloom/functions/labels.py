@@ -62,9 +62,11 @@ class Taxonomy:
 
     @classmethod
     def load(cls, path: str | None = None, axis: str = "capabilities") -> Taxonomy:
-        """From a JSON file; without a path, the small example taxonomy of this package."""
-        text = open(path, encoding="utf-8").read() if path else resources.files("sparloom").joinpath(f"data/{axis}.json").read_text("utf-8")
-        return cls.of(json.loads(text), axis)
+        """From a JSON file; without a path, the example taxonomy of this package, whose cues also serve plain lists of its names."""
+        own = resources.files("sparloom").joinpath(f"data/{axis}.json").read_text("utf-8")
+        value = json.loads(open(path, encoding="utf-8").read() if path else own)
+        known = {x.name: x.cues for x in cls.of(json.loads(own), axis).labels} if isinstance(value.get(axis), list) else None
+        return cls.of(value, axis, known)
 
     @property
     def names(self) -> tuple[str, ...]:
@@ -117,11 +119,21 @@ def matched_cues(text: Column, cues: tuple[str, ...]) -> Column:
     return F.filter(F.array(*tests).cast("array<string>"), lambda x: x.isNotNull())
 
 
-def category_values(metadata: Column, row: dict[str, Column] | None = None) -> Column:
-    """Values of the category fields: top-level columns first, then the metadata object, blanks left out."""
-    top = [row[f] for f in CATEGORY_FIELDS if f in (row or {})]
-    inner = [F.get_json_object(metadata, f"$.{f}") for f in CATEGORY_FIELDS]
-    return F.filter(F.array(*top, *inner).cast("array<string>"), lambda x: x.isNotNull() & (strip(x) != ""))
+def category_values(metadata: Column, row: Column | None = None) -> Column:
+    """Values of the category fields, blanks left out: strings and lists of strings of a raw JSON row, then strings of the metadata object."""
+
+    def found(value: Column, key: str, lists: bool) -> Column:
+        at = F.try_variant_get(value, f"$.{key}", "variant")
+        kind = F.coalesce(F.schema_of_variant(at), F.lit("VOID"))
+        out = F.when(kind == "STRING", F.array(F.try_variant_get(value, f"$.{key}", "string")))
+        return out.when(kind == "ARRAY<STRING>", F.from_json(F.to_json(at), "array<string>")) if lists else out
+
+    def values(json: Column, lists: bool) -> Column:
+        none = F.array().cast("array<string>")
+        return bind(F.try_parse_json(json), lambda v: F.flatten(F.array(*[F.coalesce(found(v, f, lists), none) for f in CATEGORY_FIELDS])))
+
+    every = values(metadata, False) if row is None else F.concat(values(row, True), values(F.coalesce(metadata, F.lit("{}")), False))
+    return F.filter(every, lambda x: strip(x) != "")
 
 
 def label_evidence(text: Column, categories: Column, taxonomy: Taxonomy, marker: tuple[str, tuple[str, ...]] | None = None) -> Column:

@@ -136,8 +136,7 @@ def parse(raw: DataFrame, layout: str, source: str, capabilities: Taxonomy | Non
     rows = rows.select("*", F.when(F.col("message").isNotNull(), F.col("message")).when(F.size("messages") < 1, F.lit("no turn has text")).alias("problem"), joined_text(F.col("messages")).alias("text"))
     named = F.coalesce(truthy(value, *spec["id"]), F.left(F.sha2(F.concat_ws("|", F.lit(source), F.get_json_object(value, "$.original_source"), F.to_json("raw")), 256), F.lit(24)))
     kind = F.lit("agent") if layout == "hermes" else sample_type(F.col("text"), *[truthy(value, k) for k in ("category", "subcategory", "original_source")])
-    top = {f: F.get_json_object(value, f"$.{f}") for f in ("category", "subcategory", "task", "task_type", "source_category", "original_source")}
-    said = category_values(F.get_json_object(value, "$.metadata"), top)
+    said = category_values(F.get_json_object(value, "$.metadata"), value)
     sample = F.struct(
         named.alias("id"),
         F.lit(source).alias("source_dataset"),

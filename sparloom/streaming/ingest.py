@@ -61,13 +61,15 @@ def stream_convert(spark: SparkSession, landing: str, output: str, checkpoint: s
     return rows.where("written").select(*names).writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_label(spark: SparkSession, canonical: str, output: str, checkpoint: str, label: Callable[[DataFrame], DataFrame], interval: str | None = None) -> StreamingQuery:
+def stream_label(spark: SparkSession, canonical: str, output: str, checkpoint: str, label: Callable[[DataFrame], DataFrame], interval: str | None = None, done: DataFrame | None = None) -> StreamingQuery:
     """Labels canonical files as they are closed. Without an interval: what is there now, then ends.
 
-    A batch overwrites the folder of its number, so a repeated batch leaves no second copy.
+    A batch overwrites the folder of its number, so a repeated batch leaves no second copy. done: rows that are labelled
+    already; samples with an id of theirs are left out.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        batch = batch if done is None else batch.join(done.select("id").distinct(), "id", "left_anti")
         label(batch).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     stream = spark.readStream.schema(SAMPLE_DDL).parquet(canonical).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

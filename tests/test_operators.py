@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparloom.functions.labels import Guardrails, Taxonomy, apply_guardrails, label_evidence, normalize_labels, select_labels
+from sparloom.functions.labels import Guardrails, Taxonomy, apply_guardrails, category_values, label_evidence, normalize_labels, select_labels
 from sparloom.operators import labeling as L
 from sparloom.operators import reports as R
 from sparloom.operators import subsets as S
@@ -47,6 +47,19 @@ def test_weak_evidence(spark):
         Taxonomy.of({"domains": ["a"]}, "domains")
 
 
+def test_categories_of_rows_and_metadata(spark):
+    row = json.dumps({"category": ["a", "b"], "task": "t", "subcategory": 3, "task_type": " ", "source_category": ["x", 1]})
+    df = spark.createDataFrame([(row, '{"category": "m", "task": ["no"]}'), ("[]", None)], "r string, m string")
+    got = [r[0] for r in df.select(category_values(F.col("m"), F.col("r"))).collect()]
+    assert got == [["a", "b", "t", "m"], []] and df.select(category_values(F.col("m"))).first()[0] == ["m"]
+
+
+def test_plain_lists_take_known_cues(tmp_path):
+    (tmp_path / "t.json").write_text('{"capabilities": ["RECALL", "OTHER"]}')
+    labels = Taxonomy.load(str(tmp_path / "t.json")).labels
+    assert "tint" in labels[0].cues and labels[1].cues == ()
+
+
 def test_label_lists(spark):
     df = spark.createDataFrame([(["software", "x", "CODE", "art"], {"a": 0.7, "b": 0.9, "c": 0.7, "d": 0.1})], "l array<string>, m map<string,double>")
     assert df.select(normalize_labels(F.col("l"), DOM)).first()[0] == ["CODE", "ART"]
@@ -302,6 +315,9 @@ def test_conversion(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     stream_label(spark, str(tmp_path / "out"), str(tmp_path / "labelled"), str(tmp_path / "c2"), lambda df: L.relabel(df, TAX, DOM, 0.45)).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "labelled")).count() == 3
+    known = spark.createDataFrame([("t1",)], "id string")
+    stream_label(spark, str(tmp_path / "out"), str(tmp_path / "rest"), str(tmp_path / "c3"), lambda df: L.relabel(df, TAX, DOM, 0.45), done=known).awaitTermination()
+    assert "t1" not in {r.id for r in spark.read.parquet(str(tmp_path / "rest")).collect()}
 
 
 def slow_fold(rows, budget):
