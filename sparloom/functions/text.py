@@ -32,12 +32,12 @@ def token_estimate(text: Column) -> Column:
 def repetition_counts(text: Column, n: int = NGRAM) -> Column:
     """(n_ngrams, n_dup): n-grams of the lower-case words without the last one, and how many of them repeat an earlier one.
 
-    Both are 0 for fewer than 2n words.
+    Both are 0 for fewer than 2n words. N-grams are compared by 64-bit hashes, within one text.
     """
 
     def of(w: Column) -> Column:
         last = F.greatest(F.size(w) - n - 1, F.lit(0))
-        grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i + 1, n), "\x01"))
+        grams = bind(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(n)])))
         none = F.struct(F.lit(0).alias("n_ngrams"), F.lit(0).alias("n_dup"))
         full = bind(grams, lambda g: F.struct(F.size(g).alias("n_ngrams"), (F.size(g) - F.size(F.array_distinct(g))).alias("n_dup")))
         return F.when(F.size(w) < 2 * n, none).otherwise(full)
