@@ -14,7 +14,7 @@ from sparloom.llm.licenses import license_matches
 from sparloom.llm.media import media_columns
 from sparloom.llm.mixing import mixing_plan
 from sparloom.llm.pii import KINDS as PII_KINDS
-from sparloom.llm.pii import pii_spans
+from sparloom.llm.pii import base_spans, pii_spans
 from sparloom.llm.secrets import KINDS, secret_spans
 from sparloom.llm.simhash import near_duplicates
 from sparloom.llm.token_files import read_token_files, write_token_files
@@ -105,6 +105,25 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def base_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of operator 5 alone, which SQL can express."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    found = base_spans(rows, "text").select("doc_id", F.concat(*PII_KINDS[:4]).alias("base"))
+    return found.select("doc_id", *[counted(F.col("base"), k).alias(f"n_{k}") for k in PII_KINDS[:4]], F.sha2(spelled(F.col("base"), PII_KINDS), 256).alias("base_sha256"))
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of operator 7 alone, which SQL can express."""
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[counted(F.col("base"), k).alias(f"n_{k}") for k in KINDS[:3]], F.sha2(spelled(F.col("base"), KINDS), 256).alias("base_sha256"))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payloads of operator 2 as they are read back, which SQL can express."""
+    found = media_columns(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -130,6 +149,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_licenses": op9_licenses,
     "op10_kd_shards": op10_kd_shards,
+    "base_pii": base_pii,
+    "base_secrets": base_secrets,
+    "media_payloads": media_payloads,
 }
 
 #: Sources of r = 3 * size / weight below the level are full; the level is that of the first source that is not.
@@ -180,4 +202,42 @@ SELECT w.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS
 FROM w LEFT JOIN hit ON hit.doc_id = w.id LEFT JOIN named ON named.doc_id = w.id LEFT JOIN longest ON longest.doc_id = w.id WHERE side = 'd'
 """
 
-SQL: dict[str, str] = {"op6_decontamination": OP6_SQL, "op4_mixing": OP4_SQL}
+def spans_sql(kinds: list[tuple[str, str, int, str]]) -> str:
+    """Counts and digest of the matches of (kind, pattern, group, test of a match v and its group w) in each text."""
+    found = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {i} AS ord, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {g}) AS w, string_split_regex(t, '{p}') AS g FROM t" for i, (k, p, g, _) in enumerate(kinds))
+    sure = " OR ".join(f"kind = '{k}' AND {test}" for k, _, _, test in kinds)
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+x AS (SELECT doc_id, kind, ord, m, g, unnest(range(len(m))) AS i FROM f),
+y AS (SELECT doc_id, kind, ord, i, m[i + 1] AS v, coalesce(list_sum([length(g[j + 1]) FOR j IN range(i + 1)]), 0) + coalesce(list_sum([length(m[j + 1]) FOR j IN range(i)]), 0) AS a FROM x),
+z AS (SELECT y.*, f.w[i + 1] AS w, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM y JOIN f USING (doc_id, kind)),
+s AS (SELECT doc_id, kind, ord, CAST(a AS BIGINT) AS a, CAST(a + length(v) AS BIGINT) AS b FROM z WHERE {sure})
+SELECT t.doc_id, {", ".join(f"CAST(count(*) FILTER (WHERE kind = '{k}') AS BIGINT) AS n_{k}" for k, *_ in kinds)},
+       sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord, b), '')) AS base_sha256
+FROM t LEFT JOIN s USING (doc_id) GROUP BY t.doc_id"""
+
+
+BYTES_SQL = "len([p FOR p IN string_split(v, '.') IF length(ltrim(p, '0')) > 3 OR CAST('0' || right(ltrim(p, '0'), 3) AS INTEGER) > 255]) = 0"
+LUHN_SQL = "length(d) BETWEEN 12 AND 19 AND list_sum([CASE WHEN (CAST(d[length(d) - j] AS INTEGER) * (1 + j % 2)) > 9 THEN CAST(d[length(d) - j] AS INTEGER) * (1 + j % 2) - 9 ELSE CAST(d[length(d) - j] AS INTEGER) * (1 + j % 2) END FOR j IN range(length(d))]) % 10 = 0"
+PII_SQL = spans_sql(
+    [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 0, "true"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 0, BYTES_SQL),
+        ("card", r"[0-9]([\x20-]?[0-9])+", 0, LUHN_SQL),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0, "length(d) BETWEEN 9 AND 15"),
+    ]
+)
+NAMES = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in n) for n in ("password", "passwd", "secret", "token", "api_?key"))
+QUOTE = "[\"'']"  # a quote or an apostrophe, inside a string of SQL
+SECRETS_SQL = spans_sql(
+    [
+        ("assign", rf"({NAMES})" + QUOTE + r"?\x20*[:=]\x20*" + QUOTE + r"?([A-Za-z0-9+/_.=-]+)", 2, "length(w) >= 8"),
+        ("access", r"AKIA[A-Z0-9]+", 0, "length(v) >= 16"),
+        ("hex", r"[0-9a-f]{32,}", 0, "true"),
+    ]
+)
+MEDIA_SQL = r"""WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, octet_length(b) AS n, CASE WHEN octet_length(b) = 0 THEN 576 ELSE (576 - octet_length(b) % 576) % 576 END AS more FROM t)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n + more AS BIGINT) AS payload_bytes, sha256(b || unhex(repeat('FF', CAST(more AS INTEGER)))) AS payload_sha256 FROM n"""
+
+SQL: dict[str, str] = {"op6_decontamination": OP6_SQL, "op4_mixing": OP4_SQL, "base_pii": PII_SQL, "base_secrets": SECRETS_SQL, "media_payloads": MEDIA_SQL}

@@ -100,3 +100,11 @@ def test_long_chunks_and_bad_bytes():
     assert enc.encode([b"ab\xff cd"])[0] == np.array(tk.encode("ab\ufffd cd", add_special_tokens=False).ids, "<u4").tobytes()
     changed = {"normalizer": None, "model": {}, "added_tokens": []}
     assert not T.is_chunked(changed)
+
+
+def test_exported_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"some words {i} " * 5) for i in range(30)], "doc_id long, text string")
+    shards = T.write_token_files(docs, Q.tokenizer_path(), ids_per_file=50)
+    T.export_files(shards, str(tmp_path))
+    files = [T.TokenFile(p.read_bytes()) for p in sorted(tmp_path.glob("*.pfr"))]
+    assert [d for f in files for d in f.doc_ids] == list(range(30)) and len(files) == shards.count() > 3
