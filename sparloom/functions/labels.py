@@ -144,7 +144,7 @@ def label_evidence(text: Column, categories: Column, taxonomy: Taxonomy, marker:
     hay = F.lower(F.concat_ws("\n", text, categories))
 
     def entry_of(label: Label, low: Column, values: Column) -> Column:
-        named = F.filter(values, lambda v: normalize_label(v, taxonomy) == label.name)
+        named = F.transform(F.filter(values, lambda v: v["label"] == label.name), lambda v: v["value"])
         by_cues = matched_cues(low, label.cues) if label.cues else F.array().cast("array<string>")
 
         def entry(b: Column) -> Column:
@@ -168,7 +168,9 @@ def label_evidence(text: Column, categories: Column, taxonomy: Taxonomy, marker:
 
     if not taxonomy.labels:
         return F.array().cast(EVIDENCE)
-    return bind(F.struct(hay.alias("hay"), categories.alias("categories")), of)
+    # the table of aliases stands once in the plan, not once for each label
+    named = F.transform(categories, lambda v: F.struct(v.alias("value"), normalize_label(v, taxonomy).alias("label")))
+    return bind(F.struct(hay.alias("hay"), named.alias("categories")), of)
 
 
 def labels_of(evidence: Column, least: float = 0.0) -> Column:
