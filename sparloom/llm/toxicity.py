@@ -48,7 +48,7 @@ DECAY, SPAN, LONGEST, SYMBOLS = 0.6, 9, 26, 64
 #: Symbols: 0 stands for no symbol, then a blank, a sign, letters, digits, other letters; 63 ends a sentence.
 BLANK, SIGN, END = 1, 2, 63
 LOWEST = -3.0  # the margin of a text without stretches
-PART = 1 << 20  # characters that are read at once
+PART = 1 << 18  # characters that are read at once
 WHITE = re.compile(r"\s")
 
 _latin = np.arange(256)
@@ -130,13 +130,12 @@ def cut(codes: np.ndarray, of: np.ndarray, first: np.ndarray, last: np.ndarray)
         start = np.minimum(np.repeat(a, n) + nth * step, np.repeat(b, n) - (LONGEST - 2))
         first, last = np.concatenate([first[~long], start]), np.concatenate([last[~long], start + LONGEST - 2])
     size = last - first + 2
-    padded = np.concatenate([[0], codes, np.zeros(LONGEST, np.uint8)])  # place p is at p + 1
-    span = np.arange(LONGEST)
-    rows = padded[first[:, None] + span]
-    rows[span >= size[:, None]] = 0
+    padded = np.concatenate([np.zeros(1, np.uint8), codes, np.zeros(LONGEST, np.uint8)])  # place p is at p + 1
+    rows = np.lib.stride_tricks.sliding_window_view(padded, LONGEST)[first]
+    rows[np.arange(LONGEST, dtype=np.uint8) >= size.astype(np.uint8)[:, None]] = 0
     rows[:, 0] = BLANK
     rows[np.arange(len(rows)), size - 1] = BLANK
-    return rows.astype(np.uint8), size.astype(np.int64), of[first]
+    return rows, size.astype(np.uint8), of[first].astype(np.int32)
 
 
 @cache
@@ -164,7 +163,7 @@ def numbers(rows: np.ndarray, n: int) -> np.ndarray:
 
 def kernel_matrix(rows: np.ndarray, size: np.ndarray, others: np.ndarray, other_size: np.ndarray, group: int = 64) -> np.ndarray:
     """Kernels of all rows with all others, as sums over the subsequences that any of a group of the others has."""
-    out = np.zeros((len(rows), len(others)))
+    out = np.zeros((len(rows), len(others)), np.float32)
     for a in range(0, len(others), group):
         theirs = [(at, numbers(others[a : a + group][at], n), triples(n)[1]) for n, at in by_size(other_size[a : a + group])]
         used = np.unique(np.concatenate([ids.ravel() for _, ids, _ in theirs]))
@@ -233,7 +232,10 @@ KEY = np.random.default_rng(3).integers(1, 1 << 62, LONGEST, dtype=np.int64) | 1
 
 def names_of(rows: np.ndarray) -> np.ndarray:
     """A 64-bit sum of each row; stretches that share it are taken for one."""
-    return (rows.astype(np.int64) + 1) @ KEY
+    out = np.full(len(rows), KEY.sum())
+    for i, k in enumerate(KEY):
+        out += rows[:, i] * k
+    return out
 
 
 def parts(texts: list[bytes]) -> Iterator[tuple[list[int], list[str]]]:
@@ -265,16 +267,22 @@ def pieces(text: str) -> Iterator[str]:
         at = back.start() if back and back.start() > at else max(end - near, at + 1)
 
 
-def support_vectors(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
+def support_vectors(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30, step: int = 1024) -> np.ndarray:
     """Weights of the squared-hinge machine, by Newton steps over the points inside the margin; the last is the bias."""
-    z = np.hstack([z, np.ones((len(z), 1))])
-    keep = np.eye(z.shape[1])
+    n = z.shape[1] + 1
+    keep = np.eye(n)
     keep[-1, -1] = 1e-3
-    w, inside = np.zeros(z.shape[1]), np.ones(len(z), bool)
+    w, inside = np.zeros(n), np.ones(len(z), bool)
     for _ in range(rounds):
-        part = z[inside] * cost[inside, None]
-        w = np.linalg.solve(keep + part.T @ z[inside], part.T @ y[inside])
-        now = y * (z @ w) < 1
+        left, right = keep.copy(), np.zeros(n)
+        at = np.flatnonzero(inside)
+        for i in range(0, len(at), step):  # a few rows at a time, in double precision
+            some = at[i : i + step]
+            x = np.hstack([z[some].astype(np.float64), np.ones((len(some), 1))])
+            left += (x * cost[some, None]).T @ x
+            right += x.T @ (cost[some] * y[some])
+        w = np.linalg.solve(left, right)
+        now = y * (z @ w[:-1].astype(np.float32) + w[-1]) < 1
         if (now == inside).all():
             break
         inside = now
@@ -288,30 +296,33 @@ class Sample:
         rows, size, names, own = [], [], [], []
         for of, part in parts(texts):
             r, n, t = stretches(part)
-            name = names_of(r)
-            pair = np.unique(np.stack([np.asarray(of, np.int64)[t], name], axis=1), axis=0) if len(t) else np.zeros((0, 2), np.int64)
-            _, first = np.unique(name, return_index=True)
+            name, first, which = np.unique(names_of(r), return_index=True, return_inverse=True)
             rows.append(r[first])
             size.append(n[first])
-            names.append(name[first])
-            own.append(pair)
-        names, first = np.unique(np.concatenate(names), return_index=True)
+            names.append(name)
+            # (text, stretch of this part) as one number
+            own.append(np.unique(np.asarray(of, np.int64)[t] * len(name) + which))
+        every = np.concatenate(names)
+        known, first = np.unique(every, return_index=True)
         self.rows, self.size = np.concatenate(rows)[first], np.concatenate(size)[first]
-        own = np.unique(np.concatenate(own), axis=0)
-        self.unit = np.searchsorted(names, own[:, 1])
-        self.edges = np.searchsorted(own[:, 0], np.arange(len(texts) + 1))
-        label = y[own[:, 0]]
-        self.pos, self.neg = (np.bincount(self.unit[label == x], minlength=len(names)) for x in (1, 0))
+        del rows, every, first
+        pairs = [k // len(n) * len(known) + np.searchsorted(known, n)[k % len(n)] for k, n in zip(own, names, strict=True) if len(n)]
+        del own, names
+        pairs = np.unique(np.concatenate(pairs) if pairs else np.zeros(0, np.int64))
+        text, self.unit = pairs // max(1, len(known)), (pairs % max(1, len(known))).astype(np.int32)
+        self.edges = np.searchsorted(text, np.arange(len(texts) + 1))
+        label = y[text]
+        self.pos, self.neg = (np.bincount(self.unit[label == x], minlength=len(known)) for x in (1, 0))
 
     def of(self, text: int) -> np.ndarray:
         return self.unit[self.edges[text] : self.edges[text + 1]]
 
 
 def fitted(rows: np.ndarray, size: np.ndarray, y: np.ndarray, cost: np.ndarray, marks: np.ndarray, mark_size: np.ndarray) -> Machine:
-    value, vector = np.linalg.eigh(kernel_matrix(marks, mark_size, marks, mark_size))
+    value, vector = np.linalg.eigh(kernel_matrix(marks, mark_size, marks, mark_size).astype(np.float64))
     use = value > 1e-6 * value.max()
     root = vector[:, use] / np.sqrt(value[use])
-    w = support_vectors(kernel_matrix(rows, size, marks, mark_size) @ root, y, cost)
+    w = support_vectors(kernel_matrix(rows, size, marks, mark_size) @ root.astype(np.float32), y, cost)
     return Machine(marks, mark_size, root @ w[:-1], float(w[-1]))
 
 
@@ -371,7 +382,7 @@ def train(texts: list[bytes], toxic: list[int], seed: int = 7) -> Machine | None
     return machine
 
 
-def learned(texts: list[bytes], y: np.ndarray, seed: int, rounds: int = 4, sides: int = 350, against: int = 4000, each: int = 3) -> tuple[Machine | None, np.ndarray]:
+def learned(texts: list[bytes], y: np.ndarray, seed: int, rounds: int = 3, sides: int = 350, against: int = 4000, each: int = 3) -> tuple[Machine | None, np.ndarray]:
     """(machine, margins of the texts)."""
     rng = np.random.default_rng(seed)
     if not (0 < y.sum() < len(y)):
