@@ -46,6 +46,7 @@ HINTS = {
 }
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 BLOCK = 128  # matches whose places are summed together
+WORDS = 256  # words and signs that are looked up together
 #: Cuts a string at every sign that is not a letter or digit, on both of its sides.
 BOUNDARY = r"(?<=[^\p{L}\p{N}])|(?=[^\p{L}\p{N}])"
 NOT_TERM = r"[^\p{L}\p{N}]+"
@@ -64,6 +65,12 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def let(values: dict[str, str], body: str) -> str:
+    """body with v.<name> for each value, which is worked out once. A column of an inner projection may be put into a lambda and
+    worked out for each of its elements instead."""
+    return f"transform(array(named_struct({', '.join(f"'{k}', {x}" for k, x in values.items())})), v -> {body})[0]"
+
+
 def base_spans(rows: DataFrame, text: str) -> DataFrame:
     """rows with a column for each base kind: array of (kind, start, end, value)."""
     others, t = rows.columns, F.col(text)
@@ -72,11 +79,10 @@ def base_spans(rows: DataFrame, text: str) -> DataFrame:
     sized = found.select(*others, *[f"m_{k}" for k in PATTERNS], *[F.expr(f"transform(m_{k}, (m, i) -> named_struct('gap', cast(length(g_{k}[i]) as bigint), 'len', cast(length(m) as bigint)))").alias(f"l_{k}") for k in PATTERNS])
     blocks = "sequence(0, (size(l_{k}) - 1) div {b})"
     offsets = f"aggregate(transform({blocks}, b -> aggregate(slice(l_{{k}}, b * {{b}} + 1, {{b}}), 0L, (s, x) -> s + x.gap + x.len)), array(0L), (s, x) -> concat(s, array(element_at(s, -1) + x)))"
-    placed = sized.select("*", *[F.expr(offsets.format(k=k, b=BLOCK)).alias(f"o_{k}") for k in PATTERNS])
     places = f"""flatten(transform({blocks}, b -> aggregate(slice(l_{{k}}, b * {{b}} + 1, {{b}}),
-        named_struct('at', o_{{k}}[b], 'out', cast(array() as array<struct<a:bigint,b:bigint>>)),
+        named_struct('at', v.o[b], 'out', cast(array() as array<struct<a:bigint,b:bigint>>)),
         (s, x) -> named_struct('at', s.at + x.gap + x.len, 'out', concat(s.out, array(named_struct('a', s.at + x.gap, 'b', s.at + x.gap + x.len)))), s -> s.out)))"""
-    placed = placed.select("*", *[F.expr(places.format(k=k, b=BLOCK)).alias(f"p_{k}") for k in PATTERNS])
+    placed = sized.select("*", *[F.expr(let({"o": offsets.format(k=k, b=BLOCK)}, places.format(k=k, b=BLOCK))).alias(f"p_{k}") for k in PATTERNS])
 
     def spans(k: str) -> Column:
         whole = F.expr(f"transform(p_{k}, (p, i) -> named_struct('kind', '{k}', 'start', p.a, 'end', p.b, 'value', m_{k}[i]))")
@@ -96,15 +102,21 @@ def entity(x: Column) -> Column:
 
 
 def all_places(texts: DataFrame, text: str, terms: str) -> DataFrame:
-    """texts with column `terms` (array of strings) replaced by the spans of these terms in the text, which is dropped."""
-    w, at = free_name(texts, "_w"), free_name(texts, "_at")
+    """texts with column `terms` (array of strings) replaced by the spans of these terms in the text, which is dropped.
+
+    A block of words is first intersected with the terms, so words are compared with the few that stand in their block.
+    """
+    w, block = (free_name(texts, x) for x in ("_w", "_block"))
     others = [c for c in texts.columns if c not in (text, terms)]
-    blocks = f"sequence(0, (size({w}) - 1) div {BLOCK})"
     cut = texts.select(*others, terms, F.split(text, BOUNDARY, -1).alias(w))
-    cut = cut.select("*", F.expr(f"aggregate(transform({blocks}, b -> aggregate(slice({w}, b * {BLOCK} + 1, {BLOCK}), 0L, (s, x) -> s + length(x))), array(0L), (s, x) -> concat(s, array(element_at(s, -1) + x)))").alias(at))
-    spans = f"""flatten(transform({blocks}, b -> aggregate(slice({w}, b * {BLOCK} + 1, {BLOCK}),
-        named_struct('at', {at}[b], 'out', cast(array() as {SPANS})),
-        (s, x) -> named_struct('at', s.at + length(x), 'out', if(array_contains({terms}, lower(x)), concat(s.out, array(named_struct('kind', 'term', 'start', s.at, 'end', s.at + length(x), 'value', lower(x)))), s.out)), s -> s.out)))"""
+    cut = cut.select("*", F.expr(f"transform(sequence(0, (size({w}) - 1) div {WORDS}), b -> slice({w}, b * {WORDS} + 1, {WORDS}))").alias(block))
+    cut = cut.select(*others, terms, block)
+    starts = f"aggregate(transform({block}, x -> aggregate(x, 0L, (s, y) -> s + length(y))), array(0L), (s, x) -> concat(s, array(element_at(s, -1) + x)))"
+    met = f"filter(transform({block}, (x, b) -> named_struct('at', v.at[b], 'x', x, 'hit', array_intersect(transform(x, y -> lower(y)), v.terms))), k -> size(k.hit) > 0)"
+    cut = cut.select(*others, F.expr(let({"at": starts, "terms": terms}, met)).alias(block))
+    spans = f"""flatten(transform({block}, k -> aggregate(k.x,
+        named_struct('at', k.at, 'out', cast(array() as {SPANS})),
+        (s, x) -> named_struct('at', s.at + length(x), 'out', if(array_contains(k.hit, lower(x)), concat(s.out, array(named_struct('kind', 'term', 'start', s.at, 'end', s.at + length(x), 'value', lower(x)))), s.out)), s -> s.out)))"""
     return cut.select(*others, F.expr(spans).alias(terms))
 
 
@@ -162,6 +174,6 @@ def united(spans: Column) -> Column:
 
 def sanitized(text: str, spans: str) -> Column:
     """The text with [NAME] for each span of united()."""
-    cut = F.expr(f"""transform({spans}, (x, i) -> concat(substring({text}, cast(if(i = 0, 0, {spans}[i - 1].end) + 1 as int), cast(x.start - if(i = 0, 0, {spans}[i - 1].end) as int)), '[', x.name, ']'))""")
-    end = F.coalesce(F.try_element_at(F.col(spans), F.lit(-1))["end"], F.lit(0))
-    return F.concat(F.array_join(cut, ""), F.substring(text, (end + 1).cast("int"), F.length(text)))
+    cut = "transform(v.x, (x, i) -> concat(substring(v.t, cast(if(i = 0, 0, v.x[i - 1].end) + 1 as int), cast(x.start - if(i = 0, 0, v.x[i - 1].end) as int)), '[', x.name, ']'))"
+    rest = "substring(v.t, cast(coalesce(try_element_at(v.x, -1).end, 0) + 1 as int), length(v.t))"
+    return F.expr(let({"x": spans, "t": text}, f"concat(array_join({cut}, ''), {rest})"))
