@@ -115,7 +115,9 @@ def cue_pattern(cue: str) -> str | None:
 
 def matched_cues(text: Column, cues: tuple[str, ...]) -> Column:
     """The cues that occur in lower-case text, in their order."""
-    tests = [F.when(F.rlike(text, F.lit(p)), F.lit(c)) for c in cues if (p := cue_pattern(c))]
+    # a plain search for the longest word of a cue spares most pattern matches
+    core = lambda c: max(c.strip().lower().split(" "), key=len)
+    tests = [F.when(F.contains(text, F.lit(core(c))) & F.rlike(text, F.lit(p)), F.lit(c)) for c in cues if (p := cue_pattern(c))]
     return F.filter(F.array(*tests).cast("array<string>"), lambda x: x.isNotNull())
 
 
