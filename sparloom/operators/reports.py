@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 import time
+from array import array
 from importlib import resources
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -242,58 +245,98 @@ def summary_markdown(rows: list[dict]) -> str:
     return "\n".join(lines) + "\n"
 
 
+#: Ids that a task of loss_mask or padded gathers before it hands them on, beside those of one example or one batch.
+HELD = 1 << 18
+
+
+def id_lists(values, sizes: list[int]) -> pa.Array:
+    """Lists of the given sizes, one after the other in values."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.asarray(values, np.int32)))
+
+
 def loss_mask(samples: DataFrame, make_tokenizer, max_length: int = 8192, add_eos: bool = True) -> DataFrame:
     """(id, input_ids, labels, attention_mask): ids of the transcript, -100 where a segment is not trained on.
 
     make_tokenizer() gives a callable from text to ids, with eos_id or None as attribute; it is called once in each task. The end
-    id is trained on only if the id before it is.
+    id is trained on only if the id before it is. Segments after max_length ids are not read. A task holds an Arrow batch of
+    text, one example and HELD ids.
     """
 
     def run(batches):
         tokenizer = make_tokenizer()
         eos = getattr(tokenizer, "eos_id", None)
+
+        def example(segs):
+            a, b = array("i"), array("i")
+            for s in segs:
+                got = array("i", list(tokenizer(s["text"])))
+                a += got
+                b += got if s["trainable"] else array("i", [X.IGNORED]) * len(got)
+                if len(a) >= max_length:
+                    return a[:max_length], b[:max_length]
+            if add_eos and eos is not None:
+                a.append(eos)
+                b.append(eos if b and b[-1] != X.IGNORED else X.IGNORED)
+            return a[:max_length], b[:max_length]
+
         for part in batches:
-            ids, labels = [], []
-            for segs in part["segs"]:
-                a, b = [], []
-                for s in segs:
-                    got = list(tokenizer(s["text"]))
-                    a += got
-                    b += got if s["trainable"] else [X.IGNORED] * len(got)
-                if add_eos and eos is not None:
-                    a.append(eos)
-                    b.append(eos if b and b[-1] != X.IGNORED else X.IGNORED)
-                ids.append(a[:max_length])
-                labels.append(b[:max_length])
-            yield part[["id"]].assign(input_ids=ids, labels=labels, attention_mask=[[1] * len(a) for a in ids])
-
-    return samples.select("id", X.segments(F.col("messages")).alias("segs")).mapInPandas(run, "id string, input_ids array<int>, labels array<int>, attention_mask array<int>")
+            start, ids, labels, sizes = 0, array("i"), array("i"), []
+            for i, segs in enumerate(part.column(1), 1):
+                a, b = example(segs.as_py())
+                ids += a
+                labels += b
+                sizes.append(len(a))
+                if len(ids) >= HELD or i == part.num_rows:
+                    columns = [part.column(0).slice(start, i - start), *(id_lists(x, sizes) for x in (ids, labels, np.ones(len(ids), np.int32)))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "input_ids", "labels", "attention_mask"])
+                    start, ids, labels, sizes = i, array("i"), array("i"), []
+
+    return samples.select("id", X.segments(F.col("messages")).alias("segs")).mapInArrow(run, "id string, input_ids array<int>, labels array<int>, attention_mask array<int>")
 
 
 def padded(examples: DataFrame, pad_id: int, batch: int) -> DataFrame:
     """Examples in batches of at most `batch` neighbours in the order of id, padded on the right to the longest of their batch.
 
-    Each task fills batches from its own range of ids, so only the last batch of a range may be short.
+    Each task fills batches from its own range of ids, so only the last batch of a range may be short. It holds an Arrow batch of
+    examples, one padded batch and HELD ids.
     """
+    fills = {"input_ids": pad_id, "labels": X.IGNORED, "attention_mask": 0}
 
     def run(parts):
-        import pandas as pd
         from pyspark import TaskContext
 
-        number, left = TaskContext.get().partitionId() << 33, None
+        number, waiting, made, held = TaskContext.get().partitionId() << 33, [], [], 0
+
+        def fill():
+            """Moves the waiting rows to made, as a batch; its size."""
+            nonlocal number
+            wide = max(len(x) for _, x, *_ in waiting)
+            made.extend((name, number, [np.append(x, np.full(max(0, wide - len(x)), value, np.int32)) for x, value in zip(lists, fills.values(), strict=True)]) for name, *lists in waiting)
+            n, number = (wide + 1) * len(waiting), number + 1
+            waiting.clear()
+            return n
 
-        def filled(rows):
-            wide = max(map(len, rows["input_ids"]))
-            fill = lambda column, value: [[*x, *[value] * (wide - len(x))] for x in rows[column]]
-            return pd.DataFrame({"id": rows["id"], "batch": number, "input_ids": fill("input_ids", pad_id), "labels": fill("labels", X.IGNORED), "attention_mask": fill("attention_mask", 0)})
+        def out():
+            columns = [[x[k] for _, _, x in made] for k in range(len(fills))]
+            arrays = [pa.array([name for name, *_ in made], pa.string()), pa.array([n for _, n, _ in made], pa.int64()), *(id_lists(np.concatenate(c), [*map(len, c)]) for c in columns)]
+            made.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["id", "batch", *fills])
 
         for part in parts:
-            left = part if left is None else pd.concat([left, part], ignore_index=True)
-            while len(left) >= batch:
-                yield filled(left[:batch])
-                left, number = left[batch:], number + 1
-        if left is not None and len(left):
-            yield filled(left)
-
-    rows = examples.select("id", "input_ids", "labels", "attention_mask").repartitionByRange("id").sortWithinPartitions("id")
-    return rows.mapInPandas(run, "id string, batch long, input_ids array<int>, labels array<int>, attention_mask array<int>")
+            names = part.column(0).to_pylist()
+            lists = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in part.columns[1:]]
+            for i, name in enumerate(names):
+                waiting.append((name, *(values[at[i] : at[i + 1]] for at, values in lists)))
+                if len(waiting) >= batch:
+                    held += fill()
+                    if held >= HELD:
+                        yield out()
+                        held = 0
+            waiting[:] = [(name, *(x.copy() for x in own)) for name, *own in waiting]  # a view would keep the whole Arrow batch
+        if waiting:
+            fill()
+        if made:
+            yield out()
+
+    rows = examples.select("id", *fills).repartitionByRange("id").sortWithinPartitions("id")
+    return rows.mapInArrow(run, "id string, batch long, input_ids array<int>, labels array<int>, attention_mask array<int>")

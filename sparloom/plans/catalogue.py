@@ -503,9 +503,10 @@ def loss_mask(spark, sf_dir):
 def padded_batches(spark, sf_dir):
     """Examples in padded batches: ids without their padding, and whether all rows of a batch are of one length and at most four."""
     rows = reports.padded(reports.loss_mask(canon_conv(spark, sf_dir), CodePoints, 1 << 30), 7, 4)
+    rows = rows.select("id", "batch", F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).alias("n_ids"), F.size("input_ids").alias("wide"), F.size("labels").alias("n_labels"))
     batch = Window.partitionBy("batch")
-    fits = (F.min(F.size("input_ids")).over(batch) == F.max(F.size("input_ids")).over(batch)) & (F.count("*").over(batch) <= 4) & (F.size("labels") == F.size("input_ids"))
-    return rows.select("id", F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).alias("n_ids"), fits.alias("fits"))
+    fits = (F.min("wide").over(batch) == F.max("wide").over(batch)) & (F.count("*").over(batch) <= 4) & (F.col("n_labels") == F.col("wide"))
+    return rows.select("id", "n_ids", fits.alias("fits"))
 
 
 @query(

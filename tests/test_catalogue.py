@@ -95,3 +95,9 @@ def test_errors_inside_the_corpus_operators_are_raised(tmp_path):
     (copy / "sparloom" / "llm" / "common.py").write_text("import no_such_module\n")
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
     assert done.returncode and "no_such_module" in done.stderr
+
+
+def test_padded_batches_moves_sizes_not_ids(spark):
+    plan = catalogue.QUERIES["padded_batches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    below = plan.children().head().children().head().output().toString()  # what the window gets
+    assert "wide#" in below and "input_ids#" not in below and "attention_mask#" not in below

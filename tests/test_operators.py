@@ -432,5 +432,48 @@ def test_loss_mask_and_padding(spark):
             assert r.input_ids[size[r.id] :] == [7] * n and r.labels[size[r.id] :] == [-100] * n and sum(r.attention_mask) == size[r.id]
 
 
+def test_loss_mask_holds_few_ids(spark):
+    class Grown:
+        """20,000 ids a text; the first is by how many MB the process has grown."""
+
+        eos_id = None
+
+        def __init__(self):
+            self.before = self.now()
+
+        def now(self):
+            with open("/proc/self/statm") as f:
+                return int(f.read().split()[1]) * 4096 >> 20
+
+        def __call__(self, text):
+            return [max(0, self.now() - self.before), *range(1000, 20999)]
+
+    rows = frame(spark, [sample(i) for i in range(100)]).coalesce(1)
+    got = R.loss_mask(rows, Grown, 1 << 30).select(F.size("input_ids").alias("n"), F.element_at("input_ids", 60001).alias("mb"), F.size(F.filter("labels", lambda x: x != -100)).alias("kept"))
+    assert got.agg(F.count("*"), F.min("n"), F.max("n"), F.min("kept"), F.max("kept")).first() == (100, 80000, 80000, 20000, 20000)
+    assert got.agg(F.max("mb")).first()[0] < 100
+
+
+def test_padding_over_many_arrow_batches(spark):
+    """Batches filled across Arrow batches of seven rows and sent on in several parts; labels longer than the ids stay."""
+    n = 3000
+    rows = spark.range(n).select(F.format_string("%05d", "id").alias("id"), F.sequence(F.lit(1), (F.col("id") % 997 + 1).cast("int")).alias("input_ids"))
+    rows = rows.select("id", "input_ids", F.when(F.col("id") == "00000", F.array(F.lit(5), F.lit(6))).otherwise(F.transform("input_ids", lambda x: -x)).alias("labels"), F.transform("input_ids", lambda x: F.lit(1)).alias("attention_mask"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = R.padded(rows, 7, 4).orderBy("id").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = {}
+    for r in got:
+        by.setdefault(r.batch, []).append(r)
+    assert [r.id for r in got] == [f"{i:05d}" for i in range(n)] and sum(len(x) < 4 for x in by.values()) <= 4
+    for i, r in enumerate(got):
+        size, wide = i % 997 + 1, max(int(x.id) % 997 + 1 for x in by[r.batch])
+        pad = wide - size
+        assert r.input_ids == [*range(1, size + 1), *[7] * pad] and r.attention_mask == [1] * size + [0] * pad
+        assert r.labels == ([-x for x in range(1, size + 1)] + [-100] * pad if i else [5, 6] + [-100] * (wide - 2))
+
+
 def test_measures_are_kept(spark):
     assert {"joined_text", "tokens", "repetition"} <= set(measured(frame(spark, [sample(0)])).columns)
