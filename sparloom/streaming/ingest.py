@@ -27,6 +27,16 @@ def converted(raw: DataFrame, layout: str, source: str, min_quality: float = 0.0
     return flat.withColumn("written", F.coalesce(ok, F.lit(False)))
 
 
+def kept(rows: DataFrame, *names: str) -> DataFrame:
+    """The named columns of the rows that are written.
+
+    A generator stands before the filter, as the planner would else put a copy of the whole conversion into it, in which each use
+    of a parsed value parses the row again.
+    """
+    once = rows.select(F.explode(F.array(F.struct(*names, "written"))).alias("row"))
+    return once.where("row.written").select(*[F.col("row")[n].alias(n) for n in names])
+
+
 def conversion_stats(rows: DataFrame) -> DataFrame:
     """(metric, value): seen, parsed, written, skipped, errors, and error:<type> for each type."""
     head = rows.agg(F.count("*").alias("seen"), F.count(F.when(F.col("error").isNull(), 1)).alias("parsed"), F.count(F.when(F.col("written"), 1)).alias("written"), F.count(F.when(~F.col("written"), 1)).alias("skipped"), F.count("error").alias("errors"))
@@ -58,7 +68,7 @@ def stream_convert(spark: SparkSession, landing: str, output: str, checkpoint: s
         lines = lines.where(F.pmod("row_idx", F.lit(shards)) == shard)
     rows = converted(lines, layout, source, **options)
     names = [c.split()[0] for c in SAMPLE_DDL.split(", ")]
-    return rows.where("written").select(*names).writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return kept(rows, *names).writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_label(spark: SparkSession, canonical: str, output: str, checkpoint: str, label: Callable[[DataFrame], DataFrame], interval: str | None = None, done: DataFrame | None = None) -> StreamingQuery:

@@ -320,6 +320,19 @@ def test_conversion(spark, tmp_path):
     assert "t1" not in {r.id for r in spark.read.parquet(str(tmp_path / "rest")).collect()}
 
 
+def test_stream_filter_has_no_copy_of_the_conversion(spark, tmp_path):
+    rows = converted(raw(spark, RAW), "agenttrove", "src", 0.0, TAX, DOM, min_tokens=1)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_text("\n".join(map(json.dumps, RAW)))
+    query = stream_convert(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c"), "agenttrove", "src", capabilities=TAX, domains=DOM, min_tokens=1)
+    query.awaitTermination()
+    filters = [x for x in query._jsq.explainInternal(False).split("\n") if "Filter" in x]
+    assert filters and not any("from_json" in x or "get_json_object" in x for x in filters)
+    names = ["id", "sample_type", "messages", "capabilities", "domains", "success", "quality_score", "metadata"]
+    want = sorted(map(str, rows.where("written").select(*names).collect()))
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(*names).collect())) == want and len(want) == 2
+
+
 def slow_fold(rows, budget):
     taken, total = [], 0
     for key, tokens in sorted(rows):
