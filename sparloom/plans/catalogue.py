@@ -604,6 +604,5 @@ SELECT id, array_to_string(c, ',') AS capabilities, array_to_string(d, ',') AS d
 )
 def icl_examples(spark, sf_dir):
     """Examples for prompts, until each capability has two."""
-    shots = labeling.icl_examples(labelled(spark, sf_dir), *both(), allow_weak=True)
-    rows = [(e["id"], ",".join(e["capabilities"]), ",".join(e["domains"])) for e in shots]
-    return spark.createDataFrame(rows, "id string, capabilities string, domains string")
+    rows = labeling.icl_rows(labelled(spark, sf_dir), *both(), allow_weak=True)
+    return rows.select("id", F.array_join("capabilities", ",").alias("capabilities"), F.array_join("domains", ",").alias("domains"))

@@ -11,6 +11,7 @@ from sparloom.operators import labeling as L
 from sparloom.operators import reports as R
 from sparloom.operators import subsets as S
 from sparloom.operators.quality import filtered, matches_target, measured, scored
+from sparloom.plans import catalogue
 from sparloom.schema import TURN_DDL, sample_errors, to_json_lines, validated
 from sparloom.sources import io as IO
 from sparloom.sources.parsers import parse
@@ -201,6 +202,40 @@ def test_relabel_export_and_examples(spark):
     assert json.loads(out["id0"].metadata)["capabilities"] == ["OLD"]
 
 
+def test_examples_equal_the_fold(spark):
+    """Against the fold row by row; the list holds what the fold takes and the driver is sent no other row."""
+    rng = random.Random(7)
+
+    def fold(rows, names, per_label):
+        left, out = dict.fromkeys(names, per_label), []
+        for r in sorted(rows):
+            caps, doms = sorted(set(r[5]) & set(names)), sorted(set(r[6]) & {"CODE", "ART"})
+            if max(left.values()) <= 0:
+                break
+            if (caps or doms) and (not caps or any(left[c] > 0 for c in caps)):
+                left = {n: left[n] - (n in caps) for n in left}
+                out.append((r[1], caps, doms))
+        return out
+
+    pairs = [("FIX", "PLAN"), ("FIX",), (), ("PLAN",), ("FIX", "TOOL_USE"), ("NONE", "PLAN")]
+    for caps, per_label in ((pairs, 2), (pairs, 5), (pairs[:4], 2), (pairs, 0), ([()], 2)):
+        rows = [sample(i, caps=rng.choice(caps), doms=rng.choice([(), ("ART",), ("CODE", "ART")])) for i in range(60)]
+        rng.shuffle(rows)
+        got = L.icl_examples(frame(spark, rows), TAX, DOM, per_label, allow_weak=True)
+        assert [(e["id"], e["capabilities"], e["domains"]) for e in got] == fold(rows, list(TAX.names), per_label)
+    # FIX goes below zero before the others are full: the end must be found all the same
+    rows = [sample(0, caps=("FIX", "PLAN")), sample(1, caps=("FIX", "TOOL_USE")), *(sample(i, doms=("ART",)) for i in range(2, 9))]
+    assert len(L.icl_examples(frame(spark, rows), TAX, DOM, 1, allow_weak=True)) == 2
+
+
+def test_examples_query_sends_no_rows_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(type(frame(spark, [sample(0)])), "toLocalIterator", lambda *_: pytest.fail("rows go to the driver"))
+    rows = frame(spark, [sample(i, caps=("FIX",) if i % 2 else (), doms=("ART",)) for i in range(50)])
+    monkeypatch.setattr(catalogue, "labelled", lambda *_: rows)
+    monkeypatch.setattr(catalogue, "both", lambda: (TAX, DOM))
+    assert catalogue.icl_examples(spark, "").count() == 27
+
+
 def test_model_label(spark):
     def make():
         return lambda texts, candidates, hypothesis: [[0.9 if c in t else 0.1 for c in candidates] for t in texts]
